@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, html, language, licenses, mixing, quality, suffixes, toxicity
+from . import decontaminate, fingerprint, html, jaccard, language, licenses, mixing, quality, suffixes, toxicity
 from .common import remainder, table
 
 
@@ -57,11 +57,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_benchmark_decontamination, op3_quality_classifier, op4_suffix_dedup, op5_toxicity, op6_source_mixing, op7_html_extraction, op8_language_id, op10_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_benchmark_decontamination, op3_quality_classifier, op4_suffix_dedup, op5_toxicity, op6_source_mixing, op7_html_extraction, op8_language_id, op9_jaccard_join, op10_fingerprints)}
 
 #: The letters that are folded, and what separates words.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
