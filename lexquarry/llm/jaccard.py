@@ -81,21 +81,27 @@ def _texts(batch: pa.RecordBatch, k: int) -> Iterator[bytes]:
         yield t.as_py() or b""
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingles = Shingles()
-    for batch in batches:
-        own = [shingles(t) for t in _texts(batch, 1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(s) for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int64())], names=["id", "node", "n"])
+def _sets(size: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(size)
+        for batch in batches:
+            own = [shingles(t) for t in _texts(batch, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(s) for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int64())], names=["id", "node", "n"])
+
+    return sets
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingles = Shingles()
-    for batch in batches:
-        own = [shingles(t) for t in {*_texts(batch, 1)}]
-        if own:
-            h, n = np.unique(np.concatenate(own), return_counts=True)
-            often = n >= FREQUENT_IN_BLOCK
-            yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["h", "n"])
+def _frequent(size: int):
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(size)
+        for batch in batches:
+            own = [shingles(t) for t in {*_texts(batch, 1)}]
+            if own:
+                h, n = np.unique(np.concatenate(own), return_counts=True)
+                often = n >= FREQUENT_IN_BLOCK
+                yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["h", "n"])
+
+    return frequent
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -111,9 +117,9 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _postings(n_buckets: int, frequent):
+def _postings(n_buckets: int, frequent, size: int, percent: int):
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, (often, rank) = Shingles(), frequent.value
+        shingles, (often, rank) = Shingles(size), frequent.value
         for batch in batches:
             tokens, owners, places, nodes, sizes = [], [], [], [], []
             seen = set()
@@ -127,7 +133,7 @@ def _postings(n_buckets: int, frequent):
                 if len(often):
                     at = np.minimum(np.searchsorted(often, own), len(often) - 1)
                     late = np.where(often[at] == own, rank[at], 0)
-                first = np.lexsort((own, late))[: prefix_length(len(own))]
+                first = np.lexsort((own, late))[: prefix_length(len(own), percent)]
                 tokens.append(own[first])
                 owners.append(np.full(len(first), len(nodes), np.uint32))
                 places.append(np.arange(len(first), dtype=np.uint32))
@@ -150,65 +156,71 @@ def _postings(n_buckets: int, frequent):
     return postings
 
 
-def _index(key: tuple, group: pa.Table) -> pa.Table:
-    """The index lists of a bucket without what can't have a partner: (token, node, size, place)."""
-    parts, base = [[], [], [], [], []], 0
-    for blob in group.column("blob"):
-        h, own, place, sizes, nodes = _unpack(blob.as_py(), "<u8", "<u4", "<u4", "<u4", "<u8")
-        for p, x in zip(parts, (h, own.astype(np.int64) + base, place, sizes, nodes.reshape(-1, 2)), strict=True):
-            p.append(x)
-        base += len(sizes)
-    h, own, place, sizes, nodes = (np.concatenate(p) for p in parts)
-    hit = np.argsort(h, kind="stable")
-    h, own, place = h[hit], own[hit], place[hit]
-    same = h[1:] == h[:-1]
-    keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    h, own, place = h[keep], own[keep], place[keep]
-    a, b, size = nodes[own, 0], nodes[own, 1], sizes[own].astype(np.int64)
-    order = np.lexsort((b, a, size, h))  # lists by size
-    h, a, b, size, place = h[order], a[order], b[order], size[order], place[order]
-    if len(h):  # a set of several rows is in a list once
-        first = np.concatenate(([True], (h[1:] != h[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        h, a, b, size, place = h[first], a[first], b[first], size[first], place[first]
-        # neighbours of the list whose sizes don't fit end a block: who fits neither neighbour fits nobody
-        fits = (h[1:] == h[:-1]) & (100 * size[:-1] >= PERCENT * size[1:])
-        keep = np.concatenate((fits, [False])) | np.concatenate(([False], fits))
-        h, a, b, size, place = h[keep], a[keep], b[keep], size[keep], place[keep]
-    names = np.ascontiguousarray(np.stack([a, b], 1)).tobytes()
-    return pa.table({"token": pa.array(h.view(np.int64)), "node": pa.array([names[i : i + 16] for i in range(0, len(names), 16)], pa.binary()), "size": pa.array(size), "place": pa.array(place.astype(np.int64))})
-
-
-def _fit(a: str, b: str) -> Column:
+def _index(percent: int):
+    def index(key: tuple, group: pa.Table) -> pa.Table:
+        """The index lists of a bucket without what can't have a partner: (token, node, size, place)."""
+        parts, base = [[], [], [], [], []], 0
+        for blob in group.column("blob"):
+            h, own, place, sizes, nodes = _unpack(blob.as_py(), "<u8", "<u4", "<u4", "<u4", "<u8")
+            for p, x in zip(parts, (h, own.astype(np.int64) + base, place, sizes, nodes.reshape(-1, 2)), strict=True):
+                p.append(x)
+            base += len(sizes)
+        h, own, place, sizes, nodes = (np.concatenate(p) for p in parts)
+        hit = np.argsort(h, kind="stable")
+        h, own, place = h[hit], own[hit], place[hit]
+        same = h[1:] == h[:-1]
+        keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        h, own, place = h[keep], own[keep], place[keep]
+        a, b, size = nodes[own, 0], nodes[own, 1], sizes[own].astype(np.int64)
+        order = np.lexsort((b, a, size, h))  # lists by size
+        h, a, b, size, place = h[order], a[order], b[order], size[order], place[order]
+        if len(h):  # a set of several rows is in a list once
+            first = np.concatenate(([True], (h[1:] != h[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            h, a, b, size, place = h[first], a[first], b[first], size[first], place[first]
+            # neighbours of the list whose sizes don't fit end a block: who fits neither neighbour fits nobody
+            fits = (h[1:] == h[:-1]) & (100 * size[:-1] >= percent * size[1:])
+            keep = np.concatenate((fits, [False])) | np.concatenate(([False], fits))
+            h, a, b, size, place = h[keep], a[keep], b[keep], size[keep], place[keep]
+        names = np.ascontiguousarray(np.stack([a, b], 1)).tobytes()
+        return pa.table({"token": pa.array(h.view(np.int64)), "node": pa.array([names[i : i + 16] for i in range(0, len(names), 16)], pa.binary()), "size": pa.array(size), "place": pa.array(place.astype(np.int64))})
+
+    return index
+
+
+def _fit(a: str, b: str, percent: int) -> Column:
     """Whether sets can be similar, by their sizes and by what is left of them behind the shingle they share."""
     size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
     most = F.least(size_a - F.col(f"{a}.place"), size_b - F.col(f"{b}.place"))
-    return (100 * F.least(size_a, size_b) >= PERCENT * F.greatest(size_a, size_b)) & ((100 + PERCENT) * most >= PERCENT * (size_a + size_b))
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each a first its text, then the texts of the b it is to be compared with."""
-    shingles = Shingles()
-    a, own = None, np.zeros(0, np.uint64)
-    for batch in batches:
-        left, right = [], []
-        for x, y, t in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text"), strict=True):
-            if y is None:
-                if x != a:
-                    a, own = x, shingles(t.as_py())
-            elif x == a and similar(own, shingles(t.as_py())):
-                left.append(x)
-                right.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
-
-
-def _links(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    return (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)) & ((100 + percent) * most >= percent * (size_a + size_b))
+
+
+def _verify(size: int, percent: int):
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each a first its text, then the texts of the b it is to be compared with."""
+        shingles = Shingles(size)
+        a, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            left, right = [], []
+            for x, y, t in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text"), strict=True):
+                if y is None:
+                    if x != a:
+                        a, own = x, shingles(t.as_py())
+                elif x == a and similar(own, shingles(t.as_py()), percent):
+                    left.append(x)
+                    right.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+
+    return verify
+
+
+def _links(pairs: DataFrame, texts: DataFrame, n: int, verify) -> DataFrame:
     """The pairs (a, b) that are similar."""
     first = texts.join(pairs.select(F.col("a").alias("node")).distinct(), "node").select(F.col("node").alias("a"), F.lit(None).cast("binary").alias("b"), "text")
     others = pairs.join(texts.withColumnRenamed("node", "b"), "b").select("a", "b", "text")
-    return first.unionByName(others).repartition(n, "a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(_verify, "a binary, b binary")
+    return first.unionByName(others).repartition(n, "a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(verify, "a binary, b binary")
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id for each row: the smallest id that links reach, its own included.
 
     Null and empty texts have no shingles, no links, and their own id. Rows of the same id and text have the same
@@ -218,31 +230,31 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     small_batches(spark)
     n = partitions(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    sets = written(rows.mapInArrow(_sets, f"id {docs.schema[id_col].dataType.simpleString()}, node binary, n long"), "sets")
+    sets = written(rows.mapInArrow(_sets(size), f"id {docs.schema[id_col].dataType.simpleString()}, node binary, n long"), "sets")
     # the order: shingles that are frequent within blocks of rows come last, the most frequent ones last of all
-    often = rows.mapInArrow(_frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+    often = rows.mapInArrow(_frequent(size), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
     h = often["h"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(h)
     frequent = spark.sparkContext.broadcast((h[by], often["n"].to_numpy(np.int64)[by]))  # FREQUENT entries at most
-    posts = rows.mapInArrow(_postings(n, frequent), "bucket int, blob binary")
-    lists = written(posts.groupBy("bucket").applyInArrow(_index, "token long, node binary, size long, place long"), "lists")
+    posts = rows.mapInArrow(_postings(n, frequent, size, percent), "bucket int, blob binary")
+    lists = written(posts.groupBy("bucket").applyInArrow(_index(percent), "token long, node binary, size long, place long"), "lists")
     firsts = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("id"))
     active = lists.select("node").distinct().join(firsts, "node")
-    own = rows.mapInArrow(_named, f"id {docs.schema[id_col].dataType.simpleString()}, text binary, node binary")
+    own = rows.mapInArrow(_named(size), f"id {docs.schema[id_col].dataType.simpleString()}, text binary, node binary")
     texts = written(own.join(active, ["id", "node"], "left_semi").select("node", "text"), "texts")
     # first round: leaders
     near = lists.where(F.col("place") < LEADING)
     leaders = near.groupBy("token").agg(F.min(F.struct("node", "size", "place")).alias("x"))
-    starred = near.select("token", F.struct("node", "size", "place").alias("y")).join(leaders, "token").where(F.col("x.node") < F.col("y.node")).where(_fit("x", "y"))
-    links = written(_links(cut(starred.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()), texts, n), "links")
+    starred = near.select("token", F.struct("node", "size", "place").alias("y")).join(leaders, "token").where(F.col("x.node") < F.col("y.node")).where(_fit("x", "y", percent))
+    links = written(_links(cut(starred.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()), texts, n, _verify(size, percent)), "links")
     known = cut(connected_components(links, "a", "b"))
     # second round: what is in one list, in different components, and can be similar
     named = lists.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     cross = named.join(mixed, "token").select("token", "component", F.struct("node", "size", "place").alias("x"))
     other = cross.select("token", F.col("component").alias("other"), F.col("x").alias("y"))
-    pairs = cross.join(other, "token").where((F.col("x.node") < F.col("y.node")) & (F.col("component") != F.col("other"))).where(_fit("x", "y"))
-    more = _links(cut(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()), texts, n)
+    pairs = cross.join(other, "token").where((F.col("x.node") < F.col("y.node")) & (F.col("component") != F.col("other"))).where(_fit("x", "y", percent))
+    more = _links(cut(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()), texts, n, _verify(size, percent))
     found = cut(connected_components(links.unionByName(more), "a", "b"))
     # the smallest id of each component, by way of its sets
     at = firsts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -252,8 +264,19 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingles = Shingles()
-    for batch in batches:
-        own = [node_of(shingles(t)) for t in _texts(batch, 1)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.binary())], names=["id", "text", "node"])
+def _named(size: int):
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(size)
+        for batch in batches:
+            own = [node_of(shingles(t)) for t in _texts(batch, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.binary())], names=["id", "text", "node"])
+
+    return named
+
+
+def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
+    """docs with one document of each component, that of the smallest id. Rows that share an id stay or go together;
+    rows without an id or without words stay."""
+    found = jaccard_components(docs, id_col=id_col, **how)
+    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
+    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")

@@ -466,9 +466,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     parts.append(text[at:i])
                     at = j
                 kept = b"".join([*parts, text[at:]])
-                out.append((o, k, len(text) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept))
+                out.append((o, k, len(text) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["order", "key", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["order", "key", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def _by_bucket(blobs: DataFrame, docs: DataFrame, n: int, passed) -> DataFrame:
@@ -479,8 +479,8 @@ def _by_bucket(blobs: DataFrame, docs: DataFrame, n: int, passed) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """order, key, digest, n_bytes, n_removed, n_spans, kept_sha256, kept (null where the text stays whole or goes
-    whole) for each row.
+    """order, key, digest, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that are left), kept (these as text,
+    without characters that were cut in two; null where the text stays whole or goes whole) for each row.
 
     Null texts are empty. Texts that a smaller document has whole go whole, and only one of each is sorted. Rows with
     the same id never remove from each other; null ids count as larger than all. Texts of under LENGTH bytes stay.
@@ -503,7 +503,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # texts with much in common mostly meet, and their runs are short; a task that gets too much is split by Spark
     runs = marked.hint("rebalance", "near").mapInArrow(_runs(n), "bucket int, blob binary")
     cover = runs.repartition(n, "bucket").groupBy("bucket").applyInArrow(_merged(n), "bucket int, blob binary")
-    cut = written(_by_bucket(cover, _with_bucket(marked.select("order", "key", "text"), n), n, (_cut, "order long, key long, n_removed long, n_spans long, kept_sha256 string, kept binary")), "kept")
+    cut = written(_by_bucket(cover, _with_bucket(marked.select("order", "key", "text"), n), n, (_cut, "order long, key long, n_removed long, n_spans long, kept_sha256 string, kept string")), "kept")
     out = rows.join(copies, "digest", "left").withColumn("key", F.xxhash64("order", "digest"))
     out = out.join(cut, ["order", "key"], "left")
     gone = F.col("first").isNotNull() & (F.col("order") > F.col("first"))
@@ -529,3 +529,19 @@ def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     kind = docs.schema[id_col].dataType
     out = repeated_spans(docs, id_col=id_col, text_col=text_col)
     return out.select(F.when(F.col("order") < (1 << 63) - 1, F.col("order")).cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_chars: str | None = None) -> DataFrame:
+    """docs without the bytes that smaller documents have; those of which nothing is left go, texts that were empty
+    before stay. A character that is cut in two goes whole. n_chars names a column of lengths to keep true."""
+    big = F.lit((1 << 63) - 1)
+    changed = repeated_spans(docs, id_col=id_col, text_col=text_col).where("n_removed > 0")
+    changed = changed.select("order", F.col("digest").alias("_digest"), "kept", (F.col("n_removed") == F.col("n_bytes")).alias("_gone")).dropDuplicates(["order", "_digest"])
+    keyed = docs.withColumns({"_order": F.coalesce(F.col(id_col).cast("long"), big), "_sha": F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)})
+    out = keyed.join(changed, (F.col("_order") == F.col("order")) & (F.col("_sha") == F.col("_digest")), "left").where("_gone is null or not _gone")
+    text = F.coalesce(F.col("kept"), F.col(text_col))
+    out = out.withColumn(text_col, text)
+    if n_chars:
+        out = out.withColumn(n_chars, F.when(F.col("kept").isNull(), F.col(n_chars)).otherwise(F.length(text_col)).cast(docs.schema[n_chars].dataType))
+    return out.select(*docs.columns)
+
