@@ -34,6 +34,7 @@ def local_session(cpus: str | int = "*", partitions: int = 8, **conf: str) -> Sp
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        "spark.sql.streaming.stopTimeout": "60s",
     }.items():
         builder = builder.config(k, conf.pop(k, v))
     for k, v in conf.items():
