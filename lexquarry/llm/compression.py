@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import zstandard as zstd
 
-#: zstandard level: 1 is fast, and the margins between dictionaries hardly grow beyond.
+#: zstandard level where callers name none.
 LEVEL = 3
 
 

@@ -1,7 +1,8 @@
 """Language identification by compression.
 
 Each language has a dictionary of raw text. All windows of a text are compressed with each, and the language with
-the smallest sum wins; where the next one is hardly larger, the prediction is marked as rejected.
+the smallest sum wins; where the next one is hardly larger, the prediction is marked as rejected. Texts are reduced
+to small letters first, so that capitals, figures and decoration neither help nor hide a language.
 """
 
 from __future__ import annotations
@@ -18,23 +19,34 @@ from .common import small_batches, uniform
 from .compression import Compressors, windows
 
 #: Rows of a language that its dictionary is made from at most (about), bytes from each, and bytes of the dictionary.
-TRAINING_ROWS, ROW_BYTES, DICTIONARY_BYTES = 300, 2048, 32 << 10
+TRAINING_ROWS, ROW_BYTES, DICTIONARY_BYTES = 300, 2048, 64 << 10
 WINDOW_BYTES = 2048
+#: From this zstandard level on matches of few letters are found, which tell related languages apart.
+LEVEL = 9
+
+_LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: A margin, in bytes, that is too narrow to tell languages apart.
 NARROW = 2
 #: What a text without letters has.
 UNDETERMINED = "und"
 
 
+def letters(text: str) -> bytes:
+    """The words of a text in small letters, a space between them."""
+    return b" ".join(text.lower().encode().translate(_LETTERS).split())
+
+
 class LanguageModel:
     def __init__(self, samples: dict[str, list[bytes]]):
         self.languages = sorted(samples)
-        self.compressors = Compressors([_content(samples[k]) for k in self.languages], raw=True)
+        self.compressors = Compressors([_content(samples[k]) for k in self.languages], raw=True, level=LEVEL)
 
     def predict(self, text: bytes) -> tuple[str, float, bool]:
         """The language, the score in [0, 1] and whether the margin is narrow."""
-        if not self.languages or not any(c.isalpha() for c in text.decode(errors="ignore")):
+        decoded = text.decode(errors="ignore")
+        if not self.languages or not any(c.isalpha() for c in decoded):
             return UNDETERMINED, 0.0, True
+        text = letters(decoded)
         total = np.zeros(len(self.languages))
         for w in windows(text, WINDOW_BYTES):
             total += self.compressors.lengths(w)
@@ -68,7 +80,7 @@ def train_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     drawn = own.where(F.col("_u") < share[F.col("_lang")]).select("_lang", "_u", F.substring(F.col("_text").cast("binary"), 1, ROW_BYTES).alias("_text"))
     samples: dict[str, list[bytes]] = {k: [] for k in counts}
     for r in sorted((r._lang, r._u, bytes(r._text)) for r in drawn.collect()):
-        samples[r[0]].append(r[2])
+        samples[r[0]].append(letters(r[2].decode(errors="ignore")))
     return LanguageModel(samples)
 
 
