@@ -3,7 +3,8 @@
 A string of LENGTH bytes holds at least one anchor: a position whose GRAM-gram hash is the smallest of all that start
 in some LENGTH-byte window. Copies of a string have the same anchors, so only suffixes at anchors are sorted.
 
-1. The hashes of all anchors are exchanged as packed blocks; those that one document alone has are dropped.
+1. The hashes of all anchors, with a byte for each side's neighbours, are exchanged as packed blocks; anchors whose
+   gram no other text has, with the same neighbours on one side, are dropped. Equal texts count as one.
 2. Each task sorts the suffixes at its anchors that are left (LENGTH bytes after, and the bytes before in reverse)
    and front-codes the runs: each entry has the length of its common prefix with the one before, and the rest.
 3. Runs are exchanged by the hash of the gram and merged by a loser tree that knows the common prefix of each run's
@@ -27,6 +28,8 @@ from .common import partitions, small_batches, written
 
 LENGTH, GRAM = 50, 24
 BEFORE = LENGTH - GRAM
+#: A string of LENGTH bytes around a gram goes on for so many on one of its sides at least.
+SIDE = BEFORE // 2
 #: Entries of a run at most, and bytes of text whose anchors make a block: bounds of a task's memory.
 RUN_ENTRIES, BLOCK_BYTES = 150_000, 4 << 20
 _MASK = (1 << 64) - 1
@@ -48,6 +51,22 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return out | np.uint64(1)
 
 
+def _sides(data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A byte that the SIDE bytes before, and one that those behind each gram hash to; 0 where the text has fewer."""
+    power = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(SIDE)], np.uint64)
+    begins = np.concatenate(([0], ends[:-1]))[np.searchsorted(ends, at, side="right")]
+    limit = ends[np.searchsorted(ends, at, side="right")]
+    out = []
+    for first, fits in ((at - SIDE, at - SIDE >= begins), (at + GRAM, at + GRAM + SIDE <= limit)):
+        h = np.zeros(len(at), np.uint64)
+        own = np.where(fits, first, 0)
+        for k in range(SIDE):
+            h += _TABLE[data[own + k]] * power[k]
+        h ^= h >> np.uint64(31)
+        out.append(np.where(fits, h * _MIX % np.uint64(255) + np.uint64(1), 0).astype(np.uint8))
+    return out[0], out[1]
+
+
 def _sliding(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     """op over each run of width neighbours."""
     have, out = 1, x
@@ -140,15 +159,17 @@ def _post(n: int):
             at, h = anchors(data, ends)
             doc = np.searchsorted(ends, at, side="right").astype(np.uint32)
             bucket = _bucket(h, n)
-            order = np.lexsort((doc, h, bucket))
-            h, doc, bucket = h[order], doc[order], bucket[order]
-            first = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, bool)
-            h, doc, bucket = h[first], doc[first], bucket[first]  # a gram of a document counts once
+            sides = _sides(data, at, ends) if len(at) else (np.zeros(0, np.uint8),) * 2
+            both = sides[0].astype(np.uint16) << np.uint16(8) | sides[1]
+            order = np.lexsort((both, doc, h, bucket))
+            h, doc, bucket, both = h[order], doc[order], bucket[order], both[order]
+            first = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (both[1:] != both[:-1]))) if len(h) else np.zeros(0, bool)
+            h, doc, bucket, both = h[first], doc[first], bucket[first], both[first]  # the same of a document counts once
             orders, keys = np.array([k[0] for k, _ in block], np.int64), np.array([k[1] for k, _ in block], np.int64)
             out = []
             for b, i, j in _slices(bucket):
                 used, own = np.unique(doc[i:j], return_inverse=True)
-                out.append((b, _pack(_short(h[i:j]), own.astype(np.uint16 if len(used) < 65536 else np.uint32), orders[used], keys[used], np.array([len(used)], np.int64))))
+                out.append((b, _pack(_short(h[i:j]), own.astype(np.uint16 if len(used) < 65536 else np.uint32), orders[used], keys[used], np.array([len(used)], np.int64), both[i:j])))
             if out:
                 yield _rows(out)
 
@@ -164,23 +185,38 @@ def _shared(n: int, n_docs: int):
 
     def shared(key: tuple, group: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
-        hs, ids, orders, keys, base = [], [], [], [], 0
+        hs, ids, orders, keys, sides, base = [], [], [], [], [], 0
         for blob in group.column("blob"):
             raw = blob.as_py()
-            short, _, o, k, count = _unpack(raw, np.uint8, np.uint8, np.int64, np.int64, np.int64)
+            short, _, o, k, count, both = _unpack(raw, np.uint8, np.uint8, np.int64, np.int64, np.int64, np.uint16)
             own = _unpack(raw, np.uint8, np.uint16 if count[0] < 65536 else np.uint32)[1]
             hs.append(_long(short))
             ids.append(own.astype(np.int64) + base)
             orders.append(o)
             keys.append(k)
+            sides.append(both)
             base += len(o)
-        h, doc, o, k = (np.concatenate(x) for x in (hs, ids, orders, keys))
-        order = np.argsort(h, kind="stable")
-        h, doc = h[order], doc[order]
-        same = h[1:] == h[:-1]
-        keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        h, doc, o, k, both = (np.concatenate(x) for x in (hs, ids, orders, keys, sides))
+        # equal texts are one
+        same = np.lexsort((o, k))
+        first = np.concatenate(([True], (k[same][1:] != k[same][:-1]) | (o[same][1:] != o[same][:-1])))
+        one = np.empty(len(k), np.int64)
+        one[same] = same[np.flatnonzero(first)][np.cumsum(first) - 1]
+        doc = one[doc]
+        keep = np.zeros(len(h), bool)
+        for side in (both >> np.uint16(8), both & np.uint16(255)):
+            order = np.lexsort((doc, side, h))
+            hh, ss, dd = h[order], side[order], doc[order]
+            alike = (hh[1:] == hh[:-1]) & (ss[1:] == ss[:-1]) & (ss[1:] > 0)
+            other = alike & (dd[1:] != dd[:-1])
+            # runs of alike ones that hold several texts
+            run = np.concatenate(([0], np.cumsum(~alike)))
+            many = np.zeros(run[-1] + 1, bool)
+            many[run[1:][other]] = True
+            keep[order[many[run]]] = True
         h, doc = h[keep], doc[keep]
-        # a gram's documents are different ones: each block has a document once, and a document is in one block
+        pairs = np.unique(np.stack([doc.astype(np.uint64), h], 1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
+        doc, h = pairs[:, 0].astype(np.int64), np.ascontiguousarray(pairs[:, 1])
         to = _doc_bucket(k, n_docs)[doc]
         order = np.lexsort((doc, to))
         h, doc, to = h[order], doc[order], to[order]
@@ -409,7 +445,7 @@ def _mark(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
     bucket = None
     for batch in batches:
         out = []
-        for b, blob, o, k, t in zip(batch.column("bucket").to_pylist(), batch.column("blob"), batch.column("order").to_pylist(), batch.column("key").to_pylist(), batch.column("text"), strict=True):
+        for b, blob, o, k, t, twin in zip(batch.column("bucket").to_pylist(), batch.column("blob"), batch.column("order").to_pylist(), batch.column("key").to_pylist(), batch.column("text"), batch.column("twin").to_pylist(), strict=True):
             if b != bucket:
                 bucket, wanted = b, {}
             if blob.is_valid:
@@ -418,7 +454,7 @@ def _mark(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
                 order = np.argsort(own, kind="stable")
                 for d, i, j in _slices(own[order]):
                     wanted.setdefault((int(orders[d]), int(keys[d])), []).append((int(of[0]), h[order[i:j]]))
-            elif found := wanted.get((o, k)):
+            elif found := wanted.pop((twin, k), None):  # the first of equal texts, that of the smallest id
                 text = t.as_py()
                 at, h = anchors(np.frombuffer(text, np.uint8), np.array([len(text)]))
                 full = (h & np.uint64((1 << 40) - 1), _bucket(h, n))
@@ -473,9 +509,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _by_bucket(blobs: DataFrame, docs: DataFrame, n: int, passed) -> DataFrame:
     """Blobs and the documents they are for meet in a task, the blobs of each bucket first, and are streamed through."""
-    own = docs.select("bucket", F.lit(None).cast("binary").alias("blob"), "order", "key", "text", F.lit(1).alias("kind"))
-    both = blobs.select("bucket", "blob", F.lit(0).cast("long").alias("order"), F.lit(0).cast("long").alias("key"), F.lit(None).cast("binary").alias("text"), F.lit(0).alias("kind")).unionByName(own)
-    return both.repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(*passed)
+    own = docs.select(F.pmod("key", F.lit(n)).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("blob"), "order", "key", "text", "twin", F.lit(1).alias("kind"))  # as _doc_bucket
+    zero = F.lit(0).cast("long")
+    both = blobs.select("bucket", "blob", zero.alias("order"), zero.alias("key"), F.lit(None).cast("binary").alias("text"), zero.alias("twin"), F.lit(0).alias("kind")).unionByName(own)
+    return both.repartition(n, "bucket").sortWithinPartitions("bucket", "kind", "order").mapInArrow(*passed)
+
+
+def _fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of equal texts those alone whose id is smaller than all before in this task: a hot text is exchanged a few times
+    a task, and its first document always is."""
+    least: dict[tuple[int, int], int] = {}
+    for batch in batches:
+        keep = []
+        for o, k, twin in zip(*[batch.column(c).to_pylist() for c in ("order", "key", "twin")], strict=True):
+            keep.append(least.get((twin, k), o + 1) > o)
+            if keep[-1]:
+                least[twin, k] = o
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -490,21 +540,20 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("order"), F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
     firsts = written(rows.where(f"n_bytes >= {LENGTH}").groupBy("digest").agg(F.min("order").alias("first"), F.count("*").alias("n")), "first-copies")
-    whole = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("order"), F.sha2(text, 256).alias("digest"), text.alias("text"))
     copies = firsts.where("n > 1").select("digest", "first")
-    # one row of each text; most texts are there once, so only the digests of the others take part
-    own = whole.where(F.octet_length("text") >= LENGTH).join(copies, "digest", "left").where("first is null or order = first")
-    own = own.select("order", F.xxhash64("order", "digest").alias("key"), "text")
+    sha = F.sha2(text, 256)
+    own = docs.where(F.octet_length(text) >= LENGTH).select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("order"), F.xxhash64(sha, F.lit(1)).alias("key"), text.alias("text"), F.xxhash64(sha, F.lit(2)).alias("twin"))
     n = partitions(spark)
-    posts = own.mapInArrow(_post(n), "bucket int, blob binary")
+    # the blocks of postings know texts by two hashes of their digest: equal texts are one from here on
+    posts = own.select(F.col("twin").alias("order"), "key", "text").mapInArrow(_post(n), "bucket int, blob binary")
     shared = posts.repartition(n, "bucket").groupBy("bucket").applyInArrow(_shared(n, n), "bucket int, blob binary")
-    bucketed = _with_bucket(own, n)
-    marked = written(_by_bucket(shared, bucketed, n, (_marker(n), _MARKED)), "suffixes")
+    firsts_only = own.mapInArrow(_fewer, "order long, key long, text binary, twin long")
+    marked = written(_by_bucket(shared, firsts_only, n, (_marker(n), _MARKED)), "suffixes")
     # texts with much in common mostly meet, and their runs are short; a task that gets too much is split by Spark
     runs = marked.hint("rebalance", "near").mapInArrow(_runs(n), "bucket int, blob binary")
     cover = runs.repartition(n, "bucket").groupBy("bucket").applyInArrow(_merged(n), "bucket int, blob binary")
-    cut = written(_by_bucket(cover, _with_bucket(marked.select("order", "key", "text"), n), n, (_cut, "order long, key long, n_removed long, n_spans long, kept_sha256 string, kept string")), "kept")
-    out = rows.join(copies, "digest", "left").withColumn("key", F.xxhash64("order", "digest"))
+    cut = written(_by_bucket(cover, marked.select("order", "key", "text", F.lit(0).cast("long").alias("twin")), n, (_cut, "order long, key long, n_removed long, n_spans long, kept_sha256 string, kept string")), "kept")
+    out = rows.join(copies, "digest", "left").withColumn("key", F.xxhash64("digest", F.lit(1)))
     out = out.join(cut, ["order", "key"], "left")
     gone = F.col("first").isNotNull() & (F.col("order") > F.col("first"))
     return out.select(
@@ -520,10 +569,6 @@ def _marker(n: int):
     return marker
 
 
-def _with_bucket(docs: DataFrame, n: int) -> DataFrame:
-    return docs.select(F.pmod("key", F.lit(n)).cast("int").alias("bucket"), "order", "key", "text")  # as _doc_bucket
-
-
 def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
     kind = docs.schema[id_col].dataType
