@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .catalogs import CITATION_WORDS, EU_ACTS, SOCIAL_CODE_PARTS, SWISS_CODES
@@ -100,7 +100,10 @@ def _by_rule(text: Column, template: str, any_case: bool, jurisdiction: str | No
 
 def parse_general(text: Column) -> Column:
     """The reference of a citation of any but the EU, Spanish, Finnish, Italian and Dutch forms; null if none."""
-    text = collapsed(text)
+    return _general(collapsed(text))
+
+
+def _general(text: Column) -> Column:
     out = None
     for rule in GENERAL:
         matches, found = _by_rule(text, *rule)
@@ -242,10 +245,22 @@ def _with(ref: Column, **changes: Column) -> Column:
 def parse_citation(text: Column, jurisdiction: Column) -> Column:
     """The reference that a citation means to a reader of that jurisdiction; null if there is none or it isn't certain.
 
-    text should be a column, not an expression: it is looked at many times.
+    As one expression; parse_citations has the same in steps, which plan and run faster.
     """
     clean = collapsed(text)
-    general = parse_general(text)
+    return _in_jurisdiction(clean, jurisdiction, _general(clean), _eu_alias_article(clean))
+
+
+def parse_citations(rows: DataFrame, text_col: str, jurisdiction: Column, out: str = "reference") -> DataFrame:
+    """rows with the reference of each citation. The clean text and what several rules need are columns of their own,
+    made once for each row."""
+    own = rows.columns
+    step = rows.withColumn("_clean", collapsed(F.col(text_col))).withColumn("_jurisdiction", jurisdiction)
+    step = step.withColumns({"_general": _general(F.col("_clean")), "_alias": _eu_alias_article(F.col("_clean"))})
+    return step.select(*own, _in_jurisdiction(F.col("_clean"), F.col("_jurisdiction"), F.col("_general"), F.col("_alias")).alias(out))
+
+
+def _in_jurisdiction(clean: Column, jurisdiction: Column, general: Column, alias: Column) -> Column:
     none_yet = general["jurisdiction"].isNull()
     eu_code = celex_of_alias(general["law_code"])
     swiss = (general["reference_type"] == "article") & general["law_code"].isin(SWISS_CODES)
@@ -257,15 +272,15 @@ def parse_citation(text: Column, jurisdiction: Column) -> Column:
         (clean.rlike(a) & F.upper(take(a, 2)).isin(SWISS_CODES), _reference(F.upper(take(a, 2)), take(a, 1), "article", "CH")),
         (clean.rlike(b) & F.upper(take(b, 1)).isin(SWISS_CODES), _reference(F.upper(take(b, 1)), take(b, 2), "article", "CH")),
     )
-    foreign = F.when(general.isNotNull(), none_yet & eu_code.isNotNull()).otherwise(is_eu_alias(text))  # an EU act, elsewhere
+    foreign = F.when(general.isNotNull(), none_yet & eu_code.isNotNull()).otherwise(alias.isNotNull())  # an EU act, elsewhere
     return (
         F.when(jurisdiction == "NL", _dutch(clean))
         .when(jurisdiction == "IT", _italian(clean))
         .when(jurisdiction == "ES", _spanish(clean))
         .when(jurisdiction == "FI", _finnish(clean))
-        .when(jurisdiction == "EU", F.coalesce(_eu_celex_article(clean), _eu_alias_article(clean), _eu_named_article(clean), as_eu))
+        .when(jurisdiction == "EU", F.coalesce(_eu_celex_article(clean), alias, _eu_named_article(clean), as_eu))
         .when(foreign, _nothing())
-        .when(jurisdiction == "AT", F.when(general.isNotNull(), F.when(none_yet, _with(general, jurisdiction=F.lit("AT"))).otherwise(general)).otherwise(parse_general(F.concat(F.lit("AT "), text))))
+        .when(jurisdiction == "AT", F.when(general.isNotNull(), F.when(none_yet, _with(general, jurisdiction=F.lit("AT"))).otherwise(general)).otherwise(_general(F.concat(F.lit("AT "), clean))))
         .when(jurisdiction == "CH", F.when(general.isNotNull(), as_swiss).otherwise(swiss_article))
         .otherwise(general)
     )

@@ -6,13 +6,15 @@ to be rejected.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import citations, extract, present
+from ..functions import catalogs, citations, extract, present
 from ..operators import index, resolve, search, temporal
+from ..sources import payloads
 from ..streaming import sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,7 +63,7 @@ def celex_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def citation_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations by CELEX number, parsed and resolved to acts, counted by document type."""
     rows = _celex_of_orders(_table(spark, sf_dir, "orders")).select(F.concat(F.lit("Art. 5 CELEX "), "celex").alias("citation"))
-    parsed = rows.select(citations.parse_citation(F.col("citation"), F.lit("EU")).alias("r"))
+    parsed = citations.parse_citations(rows, "citation", F.lit("EU"), "r")
     return parsed.groupBy(F.col("r.eu_document_type").alias("document_type")).agg(F.count("*").alias("n_citations"), F.countDistinct("r.eu_celex").alias("n_acts"))
 
 
@@ -251,3 +253,42 @@ def markdown_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT event_id, coalesce(CAST(json_extract_string(props, '$.code') AS BIGINT), CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k FROM events")
 def json_field_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.code").try_cast("long"), F.get_json_object("props", "$.k").try_cast("long")).alias("k"))
+
+
+@_query("SELECT user_id, event_type, arg_max(event_id, ts) AS event_id, arg_max(value, ts) AS value FROM events GROUP BY 1, 2")
+def streaming_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a file stream, merged into a two-slot index: what index_upsert makes in a batch."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/lexquarry-checkpoints"
+    home = f"{folder}/streams/{uuid.uuid4().hex}"
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    # the table is a file or a folder of files, among other tables
+    events = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parque[t]").select("user_id", "event_type", "ts", "event_id", "value")
+    store = index.SlotStore(spark, f"{home}/store")
+    sync.upsert_stream(events, store, ["user_id", "event_type"], "ts", f"{home}/progress").awaitTermination()
+    return store.read().select("user_id", "event_type", "event_id", "value")
+
+
+@_query("""WITH a(celex, kind) AS (VALUES ('32016R0679', 'R'), ('32022L2555', 'L'), ('32099D1234', 'D'))
+           SELECT celex, kind AS document_type, count(*) AS n_orders FROM a JOIN orders ON o_orderkey % 3 = CASE kind WHEN 'R' THEN 0 WHEN 'L' THEN 1 ELSE 2 END GROUP BY ALL""")
+def citation_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acts cited by name, in a language that changes from order to order."""
+    acts = [(0, 2016, 679, 2), (1, 2022, 2555, 3), (2, 2099, 1234, 4)]
+    forms = [(i, rest, w[1][0], f"{w[kind]} ({w[-1]}) {year}/{number}") for i, w in enumerate(catalogs.CITATION_WORDS) for rest, year, number, kind in acts]
+    table = F.broadcast(spark.createDataFrame(forms, "i int, rest int, mark string, act string"))  # three rows a language
+    orders = _table(spark, sf_dir, "orders")
+    cited = orders.join(table, (F.floor(orders["o_orderkey"] / 3) % len(catalogs.CITATION_WORDS) == table["i"]) & (orders["o_orderkey"] % 3 == table["rest"]))
+    texts = cited.select(F.concat_ws(" ", "mark", (F.col("o_orderkey") % 90 + 1).cast("string"), "act").alias("t"))
+    rows = citations.parse_citations(texts, "t", F.lit("EU"), "r")
+    return rows.groupBy(F.col("r.eu_celex").alias("celex"), F.col("r.eu_document_type").alias("document_type")).agg(F.count("*").alias("n_orders"))
+
+
+@_query()
+def strict_xml_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of composed documents, of which some are broken or of another identity."""
+    orders = _table(spark, sf_dir, "orders").where("o_orderkey < 2000")
+    code = F.format_string("BWBR%07d", "o_custkey")
+    article = F.concat(F.lit('<artikel label="Artikel '), (F.col("o_orderkey") % 5).cast("string"), F.lit('"><al>'), F.col("o_orderpriority"), F.lit("</al></artikel>"))
+    end = F.when(F.col("o_orderkey") % 11 == 0, "").otherwise("</wetgeving></toestand>")
+    xml = F.concat(F.lit('<toestand bwb-id="'), F.when(F.col("o_orderkey") % 13 == 0, "BWBR0").otherwise(code), F.lit('" bwb-ng-vast-deel="1"><wetgeving xml:lang="nl">'), article, end)
+    got = orders.select("o_orderkey", payloads.bwb_article(xml, code, F.lit("1"), F.lit("3")).alias("x"))
+    return got.select("o_orderkey", F.col("x.status").alias("status"), F.col("x.text").alias("text"))

@@ -41,7 +41,7 @@ CASES = [
 
 def parsed(spark, rows):
     df = spark.createDataFrame([(i, t, j) for i, (t, j) in enumerate(rows)], "i int, t string, j string")
-    got = df.select("i", citations.parse_citation(F.col("t"), F.col("j")).alias("r")).collect()
+    got = citations.parse_citations(df, "t", F.col("j"), "r").collect()
     return {r.i: r.r and (r.r.law_code, r.r.section, r.r.reference_type, r.r.jurisdiction, r.r.subsection, r.r.eu_celex) for r in got}
 
 
@@ -50,6 +50,12 @@ def test_citations(spark):
     assert [got[i] for i in range(len(CASES))] == [e for *_, e in CASES]
 
 
+def test_one_expression_is_the_same(spark):
+    df = spark.createDataFrame([(t, j) for t, j, _ in CASES[:12]], "t string, j string")
+    steps = citations.parse_citations(df, "t", F.col("j"), "r")
+    assert steps.withColumn("e", citations.parse_citation(F.col("t"), F.col("j"))).where("not (r <=> e)").count() == 0
+
+
 def test_citations_of_all_languages(spark):
     rows = [(f"{marks[0]} 6 {act} ({org}) 2016/679", "EU") for _, marks, act, _, _, org in catalogs.CITATION_WORDS]
     rows += [(f"{act} ({org}) 2022/2555 {marks[-1]}. 3", "EU") for _, marks, _, act, _, org in catalogs.CITATION_WORDS]
