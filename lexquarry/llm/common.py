@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,9 +41,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are over: Spark deletes them when the driver's garbage is collected,
+    which in a long job may be much later than needed."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the fold of a row. A null id has the fold of the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
@@ -58,4 +67,4 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-__all__ = ["BATCH_ROWS", "cut", "partitions", "remainder", "shared_dir", "small_batches", "table", "uniform", "written"]
+__all__ = ["BATCH_ROWS", "cut", "partitions", "release", "remainder", "shared_dir", "small_batches", "table", "uniform", "written"]

@@ -436,7 +436,7 @@ def _merged(n_docs: int):
     return merged
 
 
-_MARKED = "order long, key long, text binary, marks binary, near long"
+_MARKED = "order long, key long, text binary, marks binary"
 
 
 def _mark(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -461,9 +461,9 @@ def _mark(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
                 keep = np.zeros(len(at), bool)
                 for of, hs in found:
                     keep |= (full[1] == of) & np.isin(full[0], hs)
-                out.append((o, k, text, at[keep].astype(np.uint32).tobytes(), int(h[keep].min() >> np.uint64(1)) if keep.any() else 0))
+                out.append((o, k, text, at[keep].astype(np.uint32).tobytes()))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["order", "key", "text", "marks", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["order", "key", "text", "marks"])
 
 
 def union_of(spans: np.ndarray) -> list[tuple[int, int]]:
@@ -478,7 +478,7 @@ def union_of(spans: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
     """Of each bucket first the intervals, then the texts: what they keep."""
     spans: dict[tuple[int, int], list[np.ndarray]] = {}
     done: set[tuple[int, int]] = set()
@@ -502,7 +502,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     parts.append(text[at:i])
                     at = j
                 kept = b"".join([*parts, text[at:]])
-                out.append((o, k, len(text) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
+                out.append((o, k, len(text) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if texts else None))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["order", "key", "n_removed", "n_spans", "kept_sha256", "kept"])
 
@@ -528,9 +528,10 @@ def _fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
     """order, key, digest, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that are left), kept (these as text,
-    without characters that were cut in two; null where the text stays whole or goes whole) for each row.
+    without characters that were cut in two; null where the text stays whole or goes whole, or if texts aren't asked
+    for) for each row.
 
     Null texts are empty. Texts that a smaller document has whole go whole, and only one of each is sorted. Rows with
     the same id never remove from each other; null ids count as larger than all. Texts of under LENGTH bytes stay.
@@ -549,10 +550,9 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     shared = posts.repartition(n, "bucket").groupBy("bucket").applyInArrow(_shared(n, n), "bucket int, blob binary")
     firsts_only = own.mapInArrow(_fewer, "order long, key long, text binary, twin long")
     marked = written(_by_bucket(shared, firsts_only, n, (_marker(n), _MARKED)), "suffixes")
-    # texts with much in common mostly meet, and their runs are short; a task that gets too much is split by Spark
-    runs = marked.hint("rebalance", "near").mapInArrow(_runs(n), "bucket int, blob binary")
+    runs = marked.mapInArrow(_runs(n), "bucket int, blob binary")
     cover = runs.repartition(n, "bucket").groupBy("bucket").applyInArrow(_merged(n), "bucket int, blob binary")
-    cut = written(_by_bucket(cover, marked.select("order", "key", "text", F.lit(0).cast("long").alias("twin")), n, (_cut, "order long, key long, n_removed long, n_spans long, kept_sha256 string, kept string")), "kept")
+    cut = written(_by_bucket(cover, marked.select("order", "key", "text", F.lit(0).cast("long").alias("twin")), n, (lambda batches: _cut(batches, texts), "order long, key long, n_removed long, n_spans long, kept_sha256 string, kept string")), "kept")
     out = rows.join(copies, "digest", "left").withColumn("key", F.xxhash64("digest", F.lit(1)))
     out = out.join(cut, ["order", "key"], "left")
     gone = F.col("first").isNotNull() & (F.col("order") > F.col("first"))
@@ -572,7 +572,7 @@ def _marker(n: int):
 def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
     kind = docs.schema[id_col].dataType
-    out = repeated_spans(docs, id_col=id_col, text_col=text_col)
+    out = repeated_spans(docs, id_col=id_col, text_col=text_col, texts=False)
     return out.select(F.when(F.col("order") < (1 << 63) - 1, F.col("order")).cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
