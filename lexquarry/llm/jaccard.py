@@ -33,23 +33,27 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
+class _Hashes(dict):
+    """Hashes of words, made when they are first met."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
 class Shingles:
     """The set of a text: sorted, distinct hashes."""
 
     def __init__(self, size: int = SHINGLE) -> None:
-        self.size, self._known = size, {}
+        self.size, self._known = size, _Hashes()
 
     def __call__(self, text: bytes) -> np.ndarray:
         toks = text.translate(_LOWER).split()
         if not toks:
             return np.zeros(0, np.uint64)
-        known = self._known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        for w in set(toks):
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, toks), np.uint64, len(toks))
+        if len(self._known) > CACHED_WORDS:
+            self._known.clear()
+        h = np.fromiter(map(self._known.__getitem__, toks), np.uint64, len(toks))
         n = min(self.size, len(h))
         m = len(h) - n + 1
         out = np.full(m, n, np.uint64)
@@ -58,7 +62,8 @@ class Shingles:
             out ^= out >> np.uint64(31)
         out *= _ODD[0]
         out ^= out >> np.uint64(32)
-        return np.unique(out)
+        out.sort()
+        return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def node_of(own: np.ndarray) -> bytes | None:
@@ -82,28 +87,24 @@ def _texts(batch: pa.RecordBatch, k: int) -> Iterator[bytes]:
 
 
 def _sets(size: int):
+    """One pass: a row for each document (id, node, n), and one (h, often) for each shingle that is frequent in a block."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(size)
         for batch in batches:
             own = [shingles(t) for t in _texts(batch, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(s) for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int64())], names=["id", "node", "n"])
+            nodes = [node_of(s) for s in own]
+            once = list({x: s for s, x in zip(own, nodes, strict=True) if x}.values())  # equal sets count once
+            h, n = np.unique(np.concatenate(once), return_counts=True) if once else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            often = n >= FREQUENT_IN_BLOCK
+            h, n, blank = h[often].view(np.int64), n[often].astype(np.int64), [None] * int(often.sum())
+            ids = pa.concat_arrays([batch.column(0), pa.array(blank, batch.schema.field(0).type)])
+            none = [None] * len(own)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes + blank, pa.binary()), pa.array([len(s) for s in own] + blank, pa.int64()), pa.array(none + h.tolist(), pa.int64()), pa.array(none + n.tolist(), pa.int64())], names=["id", "node", "n", "h", "often"])
 
     return sets
 
 
-def _frequent(size: int):
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(size)
-        for batch in batches:
-            own = [shingles(t) for t in {*_texts(batch, 1)}]
-            if own:
-                h, n = np.unique(np.concatenate(own), return_counts=True)
-                often = n >= FREQUENT_IN_BLOCK
-                yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["h", "n"])
-
-    return frequent
-
-
 def _pack(*arrays: np.ndarray) -> bytes:
     return zstd.ZstdCompressor(level=1).compress(b"".join(a.nbytes.to_bytes(8, "little") + a.tobytes() for a in arrays))
 
@@ -120,6 +121,8 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
 def _postings(n_buckets: int, frequent, size: int, percent: int):
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, (often, rank) = Shingles(size), frequent.value
+        maybe = np.zeros(1 << 22, bool)  # most shingles aren't frequent: one look tells
+        maybe[often & np.uint64((1 << 22) - 1)] = True
         for batch in batches:
             tokens, owners, places, nodes, sizes = [], [], [], [], []
             seen = set()
@@ -129,11 +132,13 @@ def _postings(n_buckets: int, frequent, size: int, percent: int):
                 if node is None or node in seen:
                     continue
                 seen.add(node)
-                late = np.zeros(len(own), np.int64)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
-                    late = np.where(often[at] == own, rank[at], 0)
-                first = np.lexsort((own, late))[: prefix_length(len(own), percent)]
+                first = np.arange(min(len(own), prefix_length(len(own), percent)))
+                some = np.flatnonzero(maybe[own & np.uint64((1 << 22) - 1)])
+                if len(some):
+                    at = np.minimum(np.searchsorted(often, own[some]), len(often) - 1)
+                    late = np.zeros(len(own), np.int64)
+                    late[some] = np.where(often[at] == own[some], rank[at], 0)
+                    first = np.argsort(late, kind="stable")[: len(first)]
                 tokens.append(own[first])
                 owners.append(np.full(len(first), len(nodes), np.uint32))
                 places.append(np.arange(len(first), dtype=np.uint32))
@@ -224,15 +229,17 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """id, n_shingles, component_id for each row: the smallest id that links reach, its own included.
 
     Null and empty texts have no shingles, no links, and their own id. Rows of the same id and text have the same
-    result; a null id has the component of its text's links, null if that is only its own.
+    result. A row without an id links with nothing; it has the component of rows with its very set, else null.
     """
     spark = docs.sparkSession
     small_batches(spark)
     n = partitions(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    sets = written(rows.mapInArrow(_sets(size), f"id {docs.schema[id_col].dataType.simpleString()}, node binary, n long"), "sets")
+    kind = docs.schema[id_col].dataType.simpleString()
+    passed = written(rows.mapInArrow(_sets(size), f"id {kind}, node binary, n long, h long, often long"), "sets")
+    sets = passed.where("h is null").select("id", "node", "n")
     # the order: shingles that are frequent within blocks of rows come last, the most frequent ones last of all
-    often = rows.mapInArrow(_frequent(size), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+    often = passed.where("h is not null").groupBy("h").agg(F.sum("often").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
     h = often["h"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(h)
     frequent = spark.sparkContext.broadcast((h[by], often["n"].to_numpy(np.int64)[by]))  # FREQUENT entries at most
@@ -240,8 +247,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     lists = written(posts.groupBy("bucket").applyInArrow(_index(percent), "token long, node binary, size long, place long"), "lists")
     firsts = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("id"))
     active = lists.select("node").distinct().join(firsts, "node")
-    own = rows.mapInArrow(_named(size), f"id {docs.schema[id_col].dataType.simpleString()}, text binary, node binary")
-    texts = written(own.join(active, ["id", "node"], "left_semi").select("node", "text"), "texts")
+    # one text for each set that is in a list: its row is found by the id, and told from others of that id by its set
+    own = rows.join(active.withColumnRenamed("node", "wanted"), "id").mapInArrow(_wanted(size), "node binary, text binary")
+    texts = written(own, "texts")
     # first round: leaders
     near = lists.where(F.col("place") < LEADING)
     leaders = near.groupBy("token").agg(F.min(F.struct("node", "size", "place")).alias("x"))
@@ -264,14 +272,15 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def _named(size: int):
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _wanted(size: int):
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(size)
         for batch in batches:
-            own = [node_of(shingles(t)) for t in _texts(batch, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.binary())], names=["id", "text", "node"])
+            nodes, texts = batch.column(batch.schema.get_field_index("wanted")), batch.column(batch.schema.get_field_index("text"))
+            good = pa.array([x.as_py() == node_of(shingles(t.as_py() or b"")) for x, t in zip(nodes, texts, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([nodes, texts], names=["node", "text"]).filter(good)
 
-    return named
+    return wanted
 
 
 def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
