@@ -263,7 +263,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     other = cross.select("token", F.col("component").alias("other"), F.col("x").alias("y"))
     pairs = cross.join(other, "token").where((F.col("x.node") < F.col("y.node")) & (F.col("component") != F.col("other"))).where(_fit("x", "y", percent))
     more = _links(cut(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()), texts, n, _verify(size, percent))
-    found = cut(connected_components(links.unionByName(more), "a", "b"))
+    # the first round's components are stars already: few steps are left
+    stars = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    found = cut(connected_components(stars.unionByName(more), "a", "b"))
     # the smallest id of each component, by way of its sets
     at = firsts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = at.groupBy("component").agg(F.min("id").alias("component_id"))
