@@ -83,9 +83,10 @@ def _pattern(template: str, any_case: bool) -> tuple[str, list[str]]:
     return ("(?iu)" if any_case else "") + r"\A" + " ".join(out) + r"\z", names
 
 
-def _reference(code: Column, section: Column, kind: str | None, jurisdiction: str | Column | None, subsection: Column | None = None, celex: Column | None = None, document: Column | None = None) -> Column:
-    text = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("string")
-    return F.struct(text(code).alias("law_code"), text(section).alias("section"), text(kind).alias("reference_type"), text(jurisdiction).alias("jurisdiction"), text(subsection).alias("subsection"), text(celex).alias("eu_celex"), text(document).alias("eu_document_type"))
+def _reference(code: Column, section: Column, kind: str | None, jurisdiction: str | None, subsection: Column | None = None, celex: Column | None = None, document: Column | None = None) -> Column:
+    none, text = F.expr("cast(null as string)"), lambda x: F.expr(f"cast({'null' if x is None else repr(x)} as string)")
+    values = [code, section, text(kind), text(jurisdiction), *[none if x is None else x for x in (subsection, celex, document)]]
+    return F.struct(*values).cast(REFERENCE)
 
 
 def _nothing() -> Column:
@@ -126,8 +127,13 @@ def padded_number(number: Column) -> Column:
     return F.when(good, F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number))
 
 
+def _map_sql(pairs: dict[str, str]) -> str:
+    """A map literal; as SQL text it is one call to the JVM and not one for each value. Values have no quotes."""
+    return "map(" + ", ".join(f"'{x}'" for kv in pairs.items() for x in kv) + ")"
+
+
 def _literal_map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    return F.expr(_map_sql(pairs))
 
 
 def celex_of_alias(code: Column) -> Column:
@@ -167,8 +173,9 @@ def _eu_alias_article(text: Column) -> Column:
 
 def _words_table() -> Column:
     """One literal row a language: its markers, names of acts by type, and code, in small letters."""
-    rows = [F.struct(F.array(*[F.lit(m.lower()) for m in marks]).alias("marks"), _literal_map({r.lower(): "R", l.lower(): "L", d.lower(): "D"}).alias("acts"), F.lit(org.lower()).alias("org")) for _, marks, r, l, d, org in CITATION_WORDS]
-    return F.array(*rows)
+    marked = lambda marks: ", ".join(f"'{m.lower()}'" for m in marks)
+    rows = [f"named_struct('marks', array({marked(marks)}), 'acts', {_map_sql({r.lower(): 'R', l.lower(): 'L', d.lower(): 'D'})}, 'org', '{org.lower()}')" for _, marks, r, l, d, org in CITATION_WORDS]
+    return F.expr(f"array({', '.join(rows)})")
 
 
 def document_type_of(label: Column) -> Column:
