@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lexquarry.llm import decontaminate, jaccard
+from lexquarry.llm import decontaminate
+
+from .test_exact import brute_components
 
 DATA = "/root/testdata/sf0.001"
 
@@ -18,8 +20,7 @@ def test_stages(spark):
         if k < 4:
             assert docs.columns == start.columns
         if k == 1:
-            own = jaccard.jaccard_components(before, size=5, percent=80).collect()
-            assert ids == {r.component_id for r in own}
+            assert ids == {c for *_, c in brute_components([(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()], 5, 80)}
         if k == 3:
             items = spark.read.parquet(f"{DATA}/benchmark.parquet")
             assert decontaminate.find_contamination(docs, items).where("size(hit_items) > 0").count() == 0
