@@ -43,21 +43,21 @@ def balanced_targets(cells: DataFrame, dimension: str, power: float = 0.5) -> Da
 def rake(cells: DataFrame, targets: dict[str, DataFrame], *, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells with weight: raked tokens, whose margins have the targets' shares and whose sum is 1.
 
-    cells: the dimensions and tokens, a row for each. Values without a target keep their share; cells without tokens
-    have the weight 0. Each margin is a small aggregation, joined back by value; a round ends in a checkpoint, so the
+    cells: the dimensions and tokens, a row for each. Shares of a margin should sum to 1; values without a
+    target keep their weight, and cells without tokens have the weight 0. Each margin is a small aggregation, joined back by value; a round ends in a checkpoint, so the
     plan stays short. It stops at the tolerance or after the rounds.
     """
-    now = cut(cells.withColumn("weight", F.col("tokens").cast("double")))
+    # normalised first, so that a round needs no totals
+    all_ = cells.agg(F.sum("tokens").cast("double").alias("_all"))
+    now = cut(cells.join(all_, F.lit(True)).withColumn("weight", F.coalesce(F.col("tokens") / F.nullif(F.col("_all"), F.lit(0.0)), F.lit(0.0))).drop("_all"))
     dims = [d for d in DIMENSIONS if d in targets]
+    aims = {d: cut(targets[d].select(F.col("value").alias("_w"), "share")) for d in dims}
     for _ in range(rounds):
-        errors = []
-        step = now
+        errors, step = [], now
         for d in dims:
-            margin = step.groupBy(F.col(d).alias("_v")).agg(F.sum("weight").alias("_m"))
-            total = step.agg(F.sum("weight").alias("_t"))
-            factor = margin.join(targets[d].select(F.col("value").alias("_w"), "share"), F.col("_v").eqNullSafe(F.col("_w")), "left").join(F.broadcast(total), F.lit(True))
-            factor = factor.select("_v", F.when(F.col("_m") > 0, F.coalesce(F.col("share"), F.col("_m") / F.col("_t")) / F.col("_m")).otherwise(0.0).alias("_f"), F.coalesce(F.abs(F.col("_m") / F.col("_t") - F.col("share")) / F.col("share"), F.lit(0.0)).alias(f"_e_{d}"))
-            step = step.join(factor, step[d].eqNullSafe(factor["_v"])).withColumn("weight", F.col("weight") * F.col("_f")).drop("_v", "_f")
+            margin = step.groupBy(F.col(d).alias("_v")).agg(F.sum("weight").alias("_m")).join(aims[d], F.col("_v").eqNullSafe(F.col("_w")), "left")
+            factor = margin.select("_v", F.when(F.col("_m") > 0, F.coalesce(F.col("share") / F.col("_m"), F.lit(1.0))).otherwise(0.0).alias("_f"))
+            step = step.join(factor, step[d].eqNullSafe(factor["_v"])).withColumn("weight", F.col("weight") * F.col("_f")).withColumn(f"_e_{d}", F.when(F.col("_f") > 0, F.abs(1 - 1 / F.col("_f"))).otherwise(0.0)).drop("_v", "_f")
             errors.append(f"_e_{d}")
         step = cut(step)
         worst = step.agg(F.max(F.greatest(*[F.col(e) for e in errors], F.lit(0.0)))).first()[0]

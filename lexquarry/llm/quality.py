@@ -171,3 +171,14 @@ def score_quality(docs: DataFrame, model: RuleModel, *, text_col: str = "text",
     own = [c for c in docs.columns if c != score_col]
     with_stats = docs.select(*[F.col(f"`{c}`") for c in own], *[c.alias(f"_{s}") for s, c in statistics(F.col(text_col)).items()])
     return with_stats.select(*[F.col(f"`{c}`") for c in own], model.score().alias(score_col))
+
+
+def keep_quality(docs: DataFrame, model: RuleModel, threshold: float, *, text_col: str = "text") -> DataFrame:
+    """docs that score threshold or more.
+
+    A filter on the score would be pushed below the statistics, and every rule would make its own again; it stops at
+    a projection with a row number, which it therefore looks at.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    with_stats = docs.select(*own, F.monotonically_increasing_id().alias("_row"), *[c.alias(f"_{s}") for s, c in statistics(F.col(text_col)).items()])
+    return with_stats.where((model.score() >= threshold) & (F.col("_row") >= 0)).select(*own)

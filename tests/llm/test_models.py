@@ -127,14 +127,13 @@ def test_raking_reaches_the_margins(spark):
 
 
 def brute_rake(cells, targets, rounds):
-    w = {k: float(v) for k, v in cells.items()}
+    w = {k: v / sum(cells.values()) for k, v in cells.items()}
     for _ in range(rounds):
         for d, t in targets.items():
-            total = sum(w.values())
             m = {}
             for k, v in w.items():
                 m[k[d]] = m.get(k[d], 0) + v
-            w = {k: v * t.get(k[d], m[k[d]] / total) / m[k[d]] if m[k[d]] else 0.0 for k, v in w.items()}
+            w = {k: v * t.get(k[d], m[k[d]]) / m[k[d]] if m[k[d]] else 0.0 for k, v in w.items()}
     total = sum(w.values())
     return {k: v / total for k, v in w.items()}
 
