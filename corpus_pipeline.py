@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexquarry.llm import decontaminate, jaccard, mixing, quality, suffixes
 from lexquarry.llm.common import table, written
@@ -19,7 +18,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the rules reject go. Empty texts are scored as such."""
     ship(spark)
     model = quality.train_quality(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model, score_col="_score").where(F.col("_score") >= QUALITY).select(*docs.columns)
+    return quality.keep_quality(docs, model, QUALITY)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
