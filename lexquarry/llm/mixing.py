@@ -2,7 +2,7 @@
 
 Documents fall into cells of source, language and topic. The cells' token weights are raked, one margin after the
 other, until the weighted margins are the targets; a document is then kept with a probability in proportion to its
-cell's factor. Only cells, never documents, take part in the iterations, and all of it is DataFrame operations.
+cell's factor, with one constant for all cells, so that the sample has these margins too. Only cells, never documents, take part in the iterations, and all of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -71,9 +71,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], *, rounds: int = ROUND
 def mixing_weights(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, targets: dict[str, DataFrame] | None = None, keep: float = 0.5) -> DataFrame:
     """docs with topic, n_tokens, weight and probability (columns of these names are replaced).
 
-    keep is the share of all tokens that the sample is to have where no probability is cut off at 1: the factor of a
-    cell is its raked share over its share of the tokens, a probability keep times that, divided by the largest such
-    factor only where it would pass 1 (so rare cells are kept whole). Null sources and languages are values of their
+    keep is the share of all tokens that the sample is to have at most: the factor of a cell is its raked share over
+    its share of the tokens, a probability keep times that. Where the largest factor would pass 1 by that, all cells
+    have the same smaller constant in place of keep, 1 over the largest factor: no probability is cut off, the margins
+    of probability times tokens stay the targets, and the cell that needs it most is kept whole. Null sources and languages are values of their
     own. A document without tokens has the probability of its cell, 0 if the whole cell has no tokens.
     """
     made = [*(["topic"] if topic is not None or "topic" not in docs.columns else []), "n_tokens", "weight", "probability"]
@@ -86,9 +87,10 @@ def mixing_weights(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     raked = raked.join(F.broadcast(total), F.lit(True))
     raked = raked.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.when(F.col("tokens") > 0, F.col("weight") * F.col("_all") / F.col("tokens")).otherwise(0.0).alias("weight"))
     raked = cut(raked)
+    most = raked.agg(F.least(F.lit(float(keep)), 1 / F.nullif(F.max("weight"), F.lit(0.0))).alias("_keep"))
+    raked = raked.join(F.broadcast(most), F.lit(True)).withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.col("_keep"))).drop("_keep")
     same = reduce(lambda a, b: a & b, [rows[d].eqNullSafe(raked[f"_{d}"]) for d in DIMENSIONS])
-    out = rows.join(raked, same, "left").drop(*[f"_{d}" for d in DIMENSIONS])
-    return out.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * keep))
+    return rows.join(raked, same, "left").drop(*[f"_{d}" for d in DIMENSIONS])
 
 
 def sampled(id_col: Column, probability: Column, seed: str = "mix") -> Column:
