@@ -1,7 +1,7 @@
 """Extraction of the main text by the consensus of a host's pages.
 
-Each page's containers are scored; the generalised path (tags, classes without digits) of its best one is the
-page's vote. Spark counts the votes of each host, and every page is extracted again with the path that won there;
+Each page's containers are scored, and from the best one the article around it is climbed to; its generalised path
+(tags, classes without digits) is the page's vote. Spark counts the votes of each host, and every page is extracted again with the path that won there;
 a page without such a container falls back on its own best one.
 """
 
@@ -32,14 +32,20 @@ _DIGITS = re.compile(r"\d+")
 #: A start tag of these ends an open element of the same group.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _CONTAINERS = frozenset("article main section div td body html center".split())
+#: An element around the best container is its article only if at most this share of its text is links.
+LINKED = 0.3
 
 
 class _Node:
-    __slots__ = ("bad", "begin", "end", "links", "name", "own", "path", "score_base", "text")
+    __slots__ = ("bad", "begin", "end", "links", "name", "own", "parent", "path", "score_base", "text", "whole")
 
-    def __init__(self, name: str, path: str, bad: bool, begin: int, base: float):
-        self.name, self.path, self.bad, self.begin, self.score_base = name, path, bad, begin, base
-        self.end, self.text, self.links, self.own = -1, 0, 0, 0
+    def __init__(self, name: str, path: str, bad: bool, begin: int, base: float, parent: _Node | None = None):
+        self.name, self.path, self.bad, self.begin, self.score_base, self.parent = name, path, bad, begin, base, parent
+        self.end, self.text, self.links, self.own, self.whole = -1, 0, 0, 0, 0
+
+    def holds_articles(self) -> bool:
+        """Whether the element says that it is an article or what articles are in."""
+        return self.score_base > 0 and self.name in _CONTAINERS and self.name not in ("html", "body")
 
 
 def parse(page: str) -> tuple[list[_Node], list[tuple[int, str, bool]]]:
@@ -65,6 +71,10 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str, bool]]]:
                     if x.name not in ("p", "b", "i", "em", "strong", "span", "a", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "blockquote", "pre", "font", "u", "small", "code"):
                         x.own += size
                         break
+                for x in reversed(open_):
+                    if x.score_base and x.holds_articles():
+                        x.whole += 0 if linked else size
+                        break
         elif raw:
             pieces.append((begin, " ", not open_[-1].bad))
 
@@ -120,7 +130,7 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str, bool]]]:
         if name == "header" and not top.bad and any(x.name in ("article", "main") for x in open_):
             bad = bool(NOISE.search(marks.get("class", "")))  # the heading of the article itself
         classes = ".".join(sorted({_DIGITS.sub("#", c.lower()) for c in marks.get("class", "").split()}))
-        node = _Node(name, f"{top.path}/{name}" + (f".{classes}" if classes else ""), bad, m.start(), 1.5 * (name in ("article", "main")) + 0.6 * bool(GOOD.search(said)))
+        node = _Node(name, f"{top.path}/{name}" + (f".{classes}" if classes else ""), bad, m.start(), 1.5 * (name in ("article", "main")) + 0.6 * bool(GOOD.search(said)), top)
         nodes.append(node)
         open_.append(node)
         if name in SILENT:  # raw until the end tag
@@ -132,20 +142,36 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str, bool]]]:
 
 
 def score(node: _Node) -> float:
-    """Text that stands directly in the container's paragraphs counts, links count against it."""
-    if node.bad or not node.own:
+    """Text that stands directly in the container's paragraphs counts, links count against it. For an element that
+    holds articles, text of its parts counts too, unless they hold articles themselves."""
+    counted = max(node.own, node.whole)
+    if node.bad or not counted:
         return 0.0
-    return (node.own * (1 + node.score_base)) * (1 - min(1.0, node.links / node.text))
+    return (counted * (1 + node.score_base)) * (1 - min(1.0, node.links / node.text))
+
+
+def article_around(node: _Node) -> _Node:
+    """The outermost element around node that holds articles, up to the nearest article, as far as links stay few and
+    it has more text than what it is around."""
+    top, x = node, node
+    while x.name != "article" and x.parent is not None:
+        x = x.parent
+        if x.holds_articles():
+            if x.bad or x.links > LINKED * x.text:
+                break
+            if x.text > top.text:
+                top = x
+    return top
 
 
 def best_container(nodes: list[_Node]) -> _Node | None:
     found = [(score(x), -x.begin, x) for x in nodes if x.name in _CONTAINERS or not x.name]
     top = max(found, key=lambda s: s[:2], default=None)
-    return top[2] if top and top[0] > 0 else None
+    return article_around(top[2]) if top and top[0] > 0 else None
 
 
 def vote(page: str) -> tuple[str, float]:
-    """The generalised path of the page's best container and the weight of the vote; "" for a page without text."""
+    """The generalised path of the article around the page's best container and the weight of the vote; "" for a page without text."""
     best = best_container(parse(page)[0])
     return (best.path or "/", 1.0) if best else ("", 0.0)
 
