@@ -4,7 +4,8 @@ Sets are ordered by a global order (frequent shingles last), and similar sets sh
 Index lists of such shingles are kept in blocks by size, so that whole stretches without a partner of a fitting size
 are skipped. A first round compares each set with the leader of its list only; sets that are linked take their
 answers over from each other, so a second round compares just the pairs of an index list that lie in different
-components. Links that are skipped join sets that are connected already: components lose nothing.
+components. Links that are skipped join sets that are connected already: components lose nothing. Where the links
+themselves are asked for (jaccard_links, jaccard_join), every pair of an index list that fits is verified instead.
 """
 
 from __future__ import annotations
@@ -225,12 +226,8 @@ def _links(pairs: DataFrame, texts: DataFrame, n: int, verify) -> DataFrame:
     return first.unionByName(others).repartition(n, "a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(verify, "a binary, b binary")
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """id, n_shingles, component_id for each row: the smallest id that links reach, its own included.
-
-    Null and empty texts have no shingles, no links, and their own id. Rows of the same id and text have the same
-    result. A row without an id links with nothing; it has the component of rows with its very set, else null.
-    """
+def _candidates(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """sets (id, node, n), firsts (the smallest id of each node), the index lists, and a text for each node in them."""
     spark = docs.sparkSession
     small_batches(spark)
     n = partitions(spark)
@@ -250,6 +247,17 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # one text for each set that is in a list: its row is found by the id, and told from others of that id by its set
     own = rows.join(active.withColumnRenamed("node", "wanted"), "id").mapInArrow(_wanted(size), "node binary, text binary")
     texts = written(own, "texts")
+    return sets, firsts, lists, texts
+
+
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """id, n_shingles, component_id for each row: the smallest id that links reach, its own included.
+
+    Null and empty texts have no shingles, no links, and their own id. Rows of the same id and text have the same
+    result. A row without an id links with nothing; it has the component of rows with its very set, else null.
+    """
+    n = partitions(docs.sparkSession)
+    sets, firsts, lists, texts = _candidates(docs, id_col, text_col, size, percent)
     # first round: leaders
     near = lists.where(F.col("place") < LEADING)
     leaders = near.groupBy("token").agg(F.min(F.struct("node", "size", "place")).alias("x"))
@@ -266,14 +274,47 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # the first round's components are stars already: few steps are left
     stars = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
     found = cut(connected_components(stars.unionByName(more), "a", "b"))
-    # the smallest id of each component, by way of its sets
-    at = firsts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = at.groupBy("component").agg(F.min("id").alias("component_id"))
-    by_node = at.select("node", "component").join(least, "component").select("node", "component_id")
+    by_node = _components(firsts, found)
     out = sets.join(by_node, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
+def _all_links(lists: DataFrame, texts: DataFrame, n: int, size: int, percent: int) -> DataFrame:
+    """a, b: every pair of different sets that are similar, once. All pairs of an index list that fit are verified."""
+    member = lists.select("token", F.struct("node", "size", "place").alias("x"))
+    pairs = member.join(member.select("token", F.col("x").alias("y")), "token").where(F.col("x.node") < F.col("y.node")).where(_fit("x", "y", percent))
+    return written(_links(cut(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()), texts, n, _verify(size, percent)), "all-links")
+
+
+def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """class_a, class_b (class_a < class_b): the links between different sets, each once. Equal sets are a class, named by its smallest id."""
+    _, firsts, lists, texts = _candidates(docs, id_col, text_col, size, percent)
+    links = _all_links(lists, texts, partitions(docs.sparkSession), size, percent)
+    named = links.join(firsts.select(F.col("node").alias("a"), F.col("id").alias("_x")), "a").join(firsts.select(F.col("node").alias("b"), F.col("id").alias("_y")), "b")
+    return named.select(F.least("_x", "_y").alias("class_a"), F.greatest("_x", "_y").alias("class_b"))
+
+
+def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """As jaccard_components, with class_id (the smallest id of an equal set) and n_links: with how many other sets its
+    set is linked. Here no link is passed over, so that groups of near copies cost the square of their different sets.
+
+    Texts without shingles have their own id as class and no links.
+    """
+    sets, firsts, lists, texts = _candidates(docs, id_col, text_col, size, percent)
+    links = _all_links(lists, texts, partitions(docs.sparkSession), size, percent)
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    by_node = _components(firsts, cut(connected_components(links, "a", "b"))).join(firsts.withColumnRenamed("id", "class_id"), "node").join(degree, "node", "left")
+    out = sets.join(by_node, "node", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _components(firsts: DataFrame, found: DataFrame) -> DataFrame:
+    """node, component_id: the smallest id of each component, by way of its sets."""
+    at = firsts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = at.groupBy("component").agg(F.min("id").alias("component_id"))
+    return at.select("node", "component").join(least, "component").select("node", "component_id")
+
+
 def _wanted(size: int):
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(size)

@@ -58,7 +58,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from lexquarry.llm import mixing
+from lexquarry.llm import jaccard, mixing
 
 
 def test_sample_has_the_targets(spark):
@@ -16,3 +16,17 @@ def test_sample_has_the_targets(spark):
     total = sum(r.probability * r.n_tokens for r in got)
     for v, share in (("a", 0.5), ("b", 0.3), ("c", 0.2)):
         assert sum(r.probability * r.n_tokens for r in got if r.source == v) / total == pytest.approx(share)
+
+
+def test_jaccard_join_keeps_every_link(spark, docs):
+    words = [f"w{i}" for i in range(120)]
+    near = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in (0, 40, 80)]  # any two are similar
+    texts = [" ".join(words), *near, near[1].upper(), "alone here", "", None]
+    got = {r.doc_id: r for r in jaccard.jaccard_join(docs(texts)).collect()}
+    sets = [frozenset(tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))) if (w := (t or "").lower().split()) else None for t in texts]
+    similar = lambda a, b: a != b and 100 * len(a & b) >= 85 * len(a | b)
+    for k, s in enumerate(sets):
+        assert got[k].n_links == (len({x for x in sets if x and similar(s, x)}) if s else 0)
+    assert [got[k].class_id for k in range(8)] == [0, 1, 2, 3, 2, 5, 6, 7]
+    assert [got[k].component_id for k in range(8)] == [0, 0, 0, 0, 0, 5, 6, 7]
+    assert got[1].n_links == 3
