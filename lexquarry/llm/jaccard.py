@@ -1,11 +1,11 @@
-"""Set similarity join on word n-grams, exact, by set-relation skipping.
+"""Set similarity join on word n-grams, exact, by prefix filter and verification.
 
 Sets are ordered by a global order (frequent shingles last), and similar sets share one of their first shingles.
-Index lists of such shingles are kept in blocks by size, so that whole stretches without a partner of a fitting size
-are skipped. A first round compares each set with the leader of its list only; sets that are linked take their
-answers over from each other, so a second round compares just the pairs of an index list that lie in different
-components. Links that are skipped join sets that are connected already: components lose nothing. Where the links
-themselves are asked for (jaccard_links, jaccard_join), every pair of an index list that fits is verified instead.
+Index lists of such shingles lose the entries that have no neighbour of a fitting size; lists then meet in a join, with
+size and place as a filter. Where components are enough (jaccard_components), a first round compares each set with the
+leader of its list only, and a second round just the pairs of a list that lie in different components: links that are
+skipped join sets that are connected already. Where the links themselves are asked for (jaccard_links, jaccard_join),
+every pair of a list that fits is verified instead.
 """
 
 from __future__ import annotations
