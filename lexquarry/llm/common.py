@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import math
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,11 +25,17 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is set only where none is (tests on one machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found or "/tmp/lexquarry-checkpoints")
-    return found or "/tmp/lexquarry-checkpoints"
+    """The folder that all executors share, as the session names it. Where none is named a local master, whose
+    executors are one process, has one of its own; on a cluster that is an error."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="lexquarry-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(found)
+    return found
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,6 +53,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that was written, once all that reads it has been written itself."""
+    spark = df.sparkSession
+    for root in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    release(spark)
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of steps that are over: Spark deletes them when the driver's garbage is collected,
     which in a long job may be much later than needed."""
@@ -61,10 +78,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text, at most about, whose hashes one bucket gets.
+BUCKET_BYTES = 16 << 20
+
+
+def buckets(docs: DataFrame, text_col: str) -> int:
+    """As many as keep a bucket's share of the texts small, whatever the setting for shuffles is."""
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    return max(partitions(docs.sparkSession), math.ceil(size / BUCKET_BYTES))
+
+
 def uniform(*parts: Column | str) -> Column:
     """A number in [0, 1) that depends on the parts alone."""
     text = F.concat_ws("\x1f", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-__all__ = ["BATCH_ROWS", "cut", "partitions", "release", "remainder", "shared_dir", "small_batches", "table", "uniform", "written"]
+__all__ = ["BATCH_ROWS", "buckets", "cut", "discard", "partitions", "release", "remainder", "shared_dir", "small_batches", "table", "uniform", "written"]

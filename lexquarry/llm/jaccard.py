@@ -1,33 +1,40 @@
-"""Set similarity join on word n-grams, exact, by prefix filter and verification.
-
-Sets are ordered by a global order (frequent shingles last), and similar sets share one of their first shingles.
-Index lists of such shingles lose the entries that have no neighbour of a fitting size; lists then meet in a join, with
-size and place as a filter. Where components are enough (jaccard_components), a first round compares each set with the
-leader of its list only, and a second round just the pairs of a list that lie in different components: links that are
-skipped join sets that are connected already. Where the links themselves are asked for (jaccard_links, jaccard_join),
-every pair of a list that fits is verified instead.
+"""Set similarity join on word n-grams, exact, by the relations between sets.
+
+1. Texts are shingled once. A set's hashes are exchanged in packed buckets, where each learns how many sets have it, and
+   those that several have go back to their sets. A set of which fewer than the needed share are with others at all has
+   no partner; with natural text nearly all go here, and only hashes that somebody shares are kept of the others.
+2. Sets gather in frames: each is compared with the first set of the index list of its rarest hashes, and joins it if it
+   is broadly like it. Frames are cut into blocks of a bounded size.
+3. Index lists of first hashes (prefixes, rarest first) hold a row for each frame, not for each set. Cut by bands of
+   sizes, and skipped by size and position of their blocks, they tell which different frames can have links.
+4. Two blocks meet in a task, which has the answers of one set, its counts with all sets of the other block, and derives
+   those of each similar set from them: only the hashes in which both differ from it are looked up. Links leave the task
+   as a sum and a root for each set, never as pairs, so a large group of near copies costs rows by its size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, small_batches, written
+from .common import buckets, cut, discard, partitions, small_batches, written
 from .components import connected_components
 
 SHINGLE, PERCENT = 4, 85
-#: Shingles that are put last in the order, at most, and how often one must be among a block's rows to count. Any
-#: order gives the same result, so these bounds change the cost alone.
-FREQUENT, FREQUENT_IN_BLOCK = 100_000, 6
-#: The leader of an index list is compared with the sets that have its shingle among their first so many.
+#: Similarity, in percent, with the first set of a frame that makes a set join it. It changes the cost and no result.
+FRAME = 50
+#: A set looks for frames in the lists of so many of its first hashes.
 LEADING = 2
+#: Bytes of hashes in a block of a frame, entries of an index list that meet in one task, blocks that follow another.
+FRAME_BYTES, LIST_ENTRIES, FOLLOWERS = 2 << 20, 4096, 64
+#: Hashes that a task holds before it hands its buckets on.
+HELD = 1_000_000
 CACHED_WORDS = 200_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -72,46 +79,24 @@ def node_of(own: np.ndarray) -> bytes | None:
     return xxhash.xxh128_digest(own.tobytes()) if len(own) else None
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    """So many first shingles of a set of n hold one of every similar set's."""
-    return n - (percent * n + 99) // 100 + 1
+def needed(n: int | np.ndarray, percent: int) -> int | np.ndarray:
+    """So many hashes of a set of n at least are in every similar set."""
+    return (percent * n + 99) // 100
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    same = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * same >= percent * (len(a) + len(b) - same)
+# the exchange of hashes
 
 
-def _texts(batch: pa.RecordBatch, k: int) -> Iterator[bytes]:
-    for t in batch.column(k):
-        yield t.as_py() or b""
+def _bucket(h: np.ndarray, n: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _sets(size: int):
-    """One pass: a row for each document (id, node, n), and one (h, often) for each shingle that is frequent in a block."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(size)
-        for batch in batches:
-            own = [shingles(t) for t in _texts(batch, 1)]
-            nodes = [node_of(s) for s in own]
-            once = list({x: s for s, x in zip(own, nodes, strict=True) if x}.values())  # equal sets count once
-            h, n = np.unique(np.concatenate(once), return_counts=True) if once else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = n >= FREQUENT_IN_BLOCK
-            h, n, blank = h[often].view(np.int64), n[often].astype(np.int64), [None] * int(often.sum())
-            ids = pa.concat_arrays([batch.column(0), pa.array(blank, batch.schema.field(0).type)])
-            none = [None] * len(own)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(nodes + blank, pa.binary()), pa.array([len(s) for s in own] + blank, pa.int64()), pa.array(none + h.tolist(), pa.int64()), pa.array(none + n.tolist(), pa.int64())], names=["id", "node", "n", "h", "often"])
-
-    return sets
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    return zstd.ZstdCompressor(level=1).compress(b"".join(a.nbytes.to_bytes(8, "little") + a.tobytes() for a in arrays))
+def _packed(arrays: tuple[np.ndarray, ...]) -> bytes:
+    return b"".join(len(x := a.tobytes()).to_bytes(8, "little") + x for a in arrays)
 
 
-def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    raw, out, at = zstd.ZstdDecompressor().decompress(blob), [], 0
+def _unpacked(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    out, at = [], 0
     for kind in kinds:
         n = int.from_bytes(raw[at : at + 8], "little")
         out.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at + 8))
@@ -119,216 +104,418 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _postings(n_buckets: int, frequent, size: int, percent: int):
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, (often, rank) = Shingles(size), frequent.value
-        maybe = np.zeros(1 << 22, bool)  # most shingles aren't frequent: one look tells
-        maybe[often & np.uint64((1 << 22) - 1)] = True
+def _edges(sorted_: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.concatenate(([0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1, [len(sorted_)])) if len(sorted_) else np.zeros(1, np.int64)
+
+
+def _gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of slices, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+_OUT = ("bucket", "id", "node", "n", "blob", "first")
+
+
+def _rows(schema: pa.Schema, **cols: list) -> pa.RecordBatch:
+    n = len(next(iter(cols.values())))
+    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _schema(id_type: pa.DataType) -> pa.Schema:
+    return pa.schema(list(zip(_OUT, (pa.int32(), id_type, pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)))
+
+
+def _post(n: int, size: int):
+    """A row (id, node, n) for each document, dealt out evenly, and the hashes of different sets in packed buckets."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, schema, dealt = Shingles(size), None, 0
+        held: dict[bytes, np.ndarray] = {}
+        many = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            own = list(held.values())
+            h = np.concatenate(own)
+            owner = np.repeat(np.arange(len(own)), [len(x) for x in own])
+            bucket = _bucket(h, n)
+            order = np.argsort(bucket.astype(np.uint16) if n <= 1 << 16 else bucket, kind="stable")
+            h, owner, bucket = h[order], owner[order], bucket[order]
+            names, sizes = np.frombuffer(b"".join(held), "V16"), np.array([len(x) for x in own], np.uint32)
+            edge, blobs, to = _edges(bucket), [], []
+            for i, j in zip(edge[:-1], edge[1:], strict=True):
+                e = _edges(owner[i:j])
+                used = owner[i:j][e[:-1]]
+                low = np.ascontiguousarray(h[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])  # the bucket tells the rest apart
+                blobs.append(_packed((names[used], sizes[used], np.diff(e).astype(np.uint32), low)))
+                to.append(int(bucket[i]))
+            yield _rows(schema, bucket=to, blob=blobs)
+
         for batch in batches:
-            tokens, owners, places, nodes, sizes = [], [], [], [], []
-            seen = set()
-            for t in _texts(batch, 1):
-                own = shingles(t)
-                node = node_of(own)
-                if node is None or node in seen:
+            schema = schema or _schema(batch.schema.field(0).type)
+            own = [shingles(t.as_py() or b"") for t in batch.column(1)]
+            nodes = [node_of(s) for s in own]
+            yield _rows(schema, bucket=[(dealt + k) % n for k in range(len(own))], id=batch.column(0), node=nodes, n=[len(s) for s in own])
+            dealt += len(own)
+            for node, s in zip(nodes, own, strict=True):
+                if node is not None and node not in held:
+                    held[node] = s
+                    many += len(s)
+                    if many >= HELD:
+                        yield from flush()
+                        held, many = {}, 0
+        if held:
+            yield from flush()
+
+    return post
+
+
+def _shared(n: int):
+    """Of a bucket's hashes those that several sets have, with their number, back to the sets' own buckets."""
+
+    def shared(group: pa.Table) -> pa.Table:
+        rows = [group.filter(pa.compute.is_null(group.column("blob")))]
+        blobs = group.column("blob").drop_null()
+        if len(blobs):
+            names, sizes, counts, lows = (np.concatenate(p) for p in zip(*[_unpacked(b.as_py(), "V16", "<u4", "<u4", "u1") for b in blobs], strict=True))
+            wide = np.zeros((len(lows) // 6, 8), np.uint8)
+            wide[:, :6] = lows.reshape(-1, 6)
+            h = wide.view("<u8").ravel()
+            del wide, lows
+            # a set that several tasks met counts once
+            _, first = np.unique(names, return_index=True)
+            first.sort()
+            starts = np.cumsum(counts) - counts
+            counts = counts[first].astype(np.int64)
+            h = h[_gathered(starts[first].astype(np.int64), counts)]
+            names, sizes = names[first], sizes[first]
+            order = np.argsort(h, kind="stable")
+            edge = _edges(h[order])
+            often = np.empty(len(h), np.uint32)
+            often[order] = np.repeat(np.diff(edge), np.diff(edge))
+            keep = often > 1
+            owner = np.repeat(np.arange(len(names)), counts)[keep]
+            h, often = h[keep] | np.uint64(group.column("bucket")[0].as_py() << 48), often[keep]
+            edge = _edges(owner)
+            used, lengths = owner[edge[:-1]], np.diff(edge)
+            to = names[used].view("<u8")[::2] % np.uint64(n) if len(used) else np.zeros(0, np.uint64)
+            order = np.argsort(to, kind="stable")
+            place = _edges(to[order])
+            out_to, out = [], []
+            for i, j in zip(place[:-1], place[1:], strict=True):
+                mine = order[i:j]
+                at = _gathered(edge[mine], lengths[mine])
+                out_to.append(int(to[mine[0]]))
+                out.append(_packed((names[used[mine]], sizes[used[mine]], lengths[mine].astype(np.uint32), h[at], often[at])))
+            rows.append(pa.Table.from_batches([_rows(group.schema, bucket=out_to, blob=out)]))
+        return pa.concat_tables(rows)
+
+    return shared
+
+
+def _viable(percent: int):
+    """The sets of a bucket that can have partners: their shared hashes, rarest first, and as first those of which
+    every similar set has one."""
+
+    def viable(group: pa.Table) -> pa.Table:
+        rows = [group.filter(pa.compute.is_null(group.column("blob")))]
+        blobs = group.column("blob").drop_null()
+        if len(blobs):
+            names, sizes, counts, h, often = (np.concatenate(p) for p in zip(*[_unpacked(b.as_py(), "V16", "<u4", "<u4", "<u8", "<u4") for b in blobs], strict=True))
+            starts = np.cumsum(counts.astype(np.int64)) - counts
+            order = np.argsort(names.view("<u8").reshape(-1, 2)[:, 0], kind="stable") if len(names) else np.zeros(0, np.int64)
+            own: dict[bytes, list[int]] = {}
+            for k in order.tolist():
+                own.setdefault(names[k].tobytes(), []).append(k)
+            nodes, ns, tokens, firsts = [], [], [], []
+            for node, parts in own.items():
+                size = int(sizes[parts[0]])
+                least, has = needed(size, percent), int(counts[parts].sum())
+                if has < least:
                     continue
-                seen.add(node)
-                first = np.arange(min(len(own), prefix_length(len(own), percent)))
-                some = np.flatnonzero(maybe[own & np.uint64((1 << 22) - 1)])
-                if len(some):
-                    at = np.minimum(np.searchsorted(often, own[some]), len(often) - 1)
-                    late = np.zeros(len(own), np.int64)
-                    late[some] = np.where(often[at] == own[some], rank[at], 0)
-                    first = np.argsort(late, kind="stable")[: len(first)]
-                tokens.append(own[first])
-                owners.append(np.full(len(first), len(nodes), np.uint32))
-                places.append(np.arange(len(first), dtype=np.uint32))
+                at = np.concatenate([np.arange(starts[k], starts[k] + counts[k]) for k in parts])
+                mine = h[at][np.lexsort((h[at], often[at]))]
                 nodes.append(node)
-                sizes.append(len(own))
-            if not nodes:
-                continue
-            h, own, place = np.concatenate(tokens), np.concatenate(owners), np.concatenate(places)
-            bucket = ((h >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((own, h, bucket))
-            h, own, place, bucket = h[order], own[order], place[order], bucket[order]
-            ids, counts = np.array(sizes, np.uint32), np.frombuffer(b"".join(nodes), "<u8").reshape(-1, 2)
-            edge = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-            found = []
-            for i, j in zip(edge, edge[1:], strict=False):
-                used, local = np.unique(own[i:j], return_inverse=True)
-                found.append((int(bucket[i]), _pack(h[i:j], local.astype(np.uint32), place[i:j], ids[used], np.ascontiguousarray(counts[used]))))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "blob"])
-
-    return postings
-
-
-def _index(percent: int):
-    def index(key: tuple, group: pa.Table) -> pa.Table:
-        """The index lists of a bucket without what can't have a partner: (token, node, size, place)."""
-        parts, base = [[], [], [], [], []], 0
-        for blob in group.column("blob"):
-            h, own, place, sizes, nodes = _unpack(blob.as_py(), "<u8", "<u4", "<u4", "<u4", "<u8")
-            for p, x in zip(parts, (h, own.astype(np.int64) + base, place, sizes, nodes.reshape(-1, 2)), strict=True):
-                p.append(x)
-            base += len(sizes)
-        h, own, place, sizes, nodes = (np.concatenate(p) for p in parts)
-        hit = np.argsort(h, kind="stable")
-        h, own, place = h[hit], own[hit], place[hit]
-        same = h[1:] == h[:-1]
-        keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        h, own, place = h[keep], own[keep], place[keep]
-        a, b, size = nodes[own, 0], nodes[own, 1], sizes[own].astype(np.int64)
-        order = np.lexsort((b, a, size, h))  # lists by size
-        h, a, b, size, place = h[order], a[order], b[order], size[order], place[order]
-        if len(h):  # a set of several rows is in a list once
-            first = np.concatenate(([True], (h[1:] != h[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-            h, a, b, size, place = h[first], a[first], b[first], size[first], place[first]
-            # neighbours of the list whose sizes don't fit end a block: who fits neither neighbour fits nobody
-            fits = (h[1:] == h[:-1]) & (100 * size[:-1] >= percent * size[1:])
-            keep = np.concatenate((fits, [False])) | np.concatenate(([False], fits))
-            h, a, b, size, place = h[keep], a[keep], b[keep], size[keep], place[keep]
-        names = np.ascontiguousarray(np.stack([a, b], 1)).tobytes()
-        return pa.table({"token": pa.array(h.view(np.int64)), "node": pa.array([names[i : i + 16] for i in range(0, len(names), 16)], pa.binary()), "size": pa.array(size), "place": pa.array(place.astype(np.int64))})
-
-    return index
-
-
-def _fit(a: str, b: str, percent: int) -> Column:
-    """Whether sets can be similar, by their sizes and by what is left of them behind the shingle they share."""
-    size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
-    most = F.least(size_a - F.col(f"{a}.place"), size_b - F.col(f"{b}.place"))
-    return (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)) & ((100 + percent) * most >= percent * (size_a + size_b))
-
-
-def _verify(size: int, percent: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each a first its text, then the texts of the b it is to be compared with."""
-        shingles = Shingles(size)
-        a, own = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            left, right = [], []
-            for x, y, t in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text"), strict=True):
-                if y is None:
-                    if x != a:
-                        a, own = x, shingles(t.as_py())
-                elif x == a and similar(own, shingles(t.as_py()), percent):
-                    left.append(x)
-                    right.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+                ns.append(size)
+                tokens.append(mine.tobytes())
+                firsts.append(mine[: has - least + 1].view(np.int64))
+            rows.append(pa.Table.from_batches([_rows(group.schema, node=nodes, n=ns, blob=tokens, first=firsts)]))
+        return pa.concat_tables(rows)
 
-    return verify
+    return viable
 
 
-def _links(pairs: DataFrame, texts: DataFrame, n: int, verify) -> DataFrame:
-    """The pairs (a, b) that are similar."""
-    first = texts.join(pairs.select(F.col("a").alias("node")).distinct(), "node").select(F.col("node").alias("a"), F.lit(None).cast("binary").alias("b"), "text")
-    others = pairs.join(texts.withColumnRenamed("node", "b"), "b").select("a", "b", "text")
-    return first.unionByName(others).repartition(n, "a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(verify, "a binary, b binary")
+# blocks of sets against blocks of sets
 
 
-def _candidates(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """sets (id, node, n), firsts (the smallest id of each node), the index lists, and a text for each node in them."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    n = partitions(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    passed = written(rows.mapInArrow(_sets(size), f"id {kind}, node binary, n long, h long, often long"), "sets")
-    sets = passed.where("h is null").select("id", "node", "n")
-    # the order: shingles that are frequent within blocks of rows come last, the most frequent ones last of all
-    often = passed.where("h is not null").groupBy("h").agg(F.sum("often").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
-    h = often["h"].to_numpy(np.int64).view(np.uint64)
-    by = np.argsort(h)
-    frequent = spark.sparkContext.broadcast((h[by], often["n"].to_numpy(np.int64)[by]))  # FREQUENT entries at most
-    posts = rows.mapInArrow(_postings(n, frequent, size, percent), "bucket int, blob binary")
-    lists = written(posts.groupBy("bucket").applyInArrow(_index(percent), "token long, node binary, size long, place long"), "lists")
-    firsts = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("id"))
-    active = lists.select("node").distinct().join(firsts, "node")
-    # one text for each set that is in a list: its row is found by the id, and told from others of that id by its set
-    own = rows.join(active.withColumnRenamed("node", "wanted"), "id").mapInArrow(_wanted(size), "node binary, text binary")
-    texts = written(own, "texts")
-    return sets, firsts, lists, texts
+class Block:
+    """Sets of a block by size: names, sizes and hashes."""
 
+    def __init__(self, members: list[dict]):
+        members = sorted(members, key=lambda m: (m["n"], m["node"]))
+        self.names = [m["node"] for m in members]
+        self.sizes = np.array([m["n"] for m in members], np.int64)
+        own = [np.frombuffer(m["tokens"], "<u8") for m in members]
+        self.tokens, self.owner = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
+        self.base = np.sort(own[0])
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """id, n_shingles, component_id for each row: the smallest id that links reach, its own included.
+    def against(self, base: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Of each set its count with base, the places of base that it lacks, and its hashes that base lacks."""
+        k, m = len(self.names), len(base)
+        at = np.searchsorted(base, self.tokens)
+        inside = base[np.minimum(at, m - 1)] == self.tokens if m else np.zeros(len(at), bool)
+        has = np.zeros((k, m), bool)
+        has[self.owner[inside], at[inside]] = True
+        more = np.split(self.tokens[~inside], np.searchsorted(self.owner[~inside], np.arange(1, k)))
+        return has.sum(1), [np.flatnonzero(~row) for row in has], more
 
-    Null and empty texts have no shingles, no links, and their own id. Rows of the same id and text have the same
-    result. A row without an id links with nothing; it has the component of rows with its very set, else null.
-    """
-    n = partitions(docs.sparkSession)
-    sets, firsts, lists, texts = _candidates(docs, id_col, text_col, size, percent)
-    # first round: leaders
-    near = lists.where(F.col("place") < LEADING)
-    leaders = near.groupBy("token").agg(F.min(F.struct("node", "size", "place")).alias("x"))
-    starred = near.select("token", F.struct("node", "size", "place").alias("y")).join(leaders, "token").where(F.col("x.node") < F.col("y.node")).where(_fit("x", "y", percent))
-    links = written(_links(cut(starred.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()), texts, n, _verify(size, percent)), "links")
-    known = cut(connected_components(links, "a", "b"))
-    # second round: what is in one list, in different components, and can be similar
-    named = lists.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    cross = named.join(mixed, "token").select("token", "component", F.struct("node", "size", "place").alias("x"))
-    other = cross.select("token", F.col("component").alias("other"), F.col("x").alias("y"))
-    pairs = cross.join(other, "token").where((F.col("x.node") < F.col("y.node")) & (F.col("component") != F.col("other"))).where(_fit("x", "y", percent))
-    more = _links(cut(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()), texts, n, _verify(size, percent))
-    # the first round's components are stars already: few steps are left
-    stars = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    found = cut(connected_components(stars.unionByName(more), "a", "b"))
-    by_node = _components(firsts, found)
-    out = sets.join(by_node, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
+def _lists(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An index: the values, where each one's list begins, and the lists, of numbers of parts."""
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    values = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    order = np.argsort(values, kind="stable")
+    edge = _edges(values[order])
+    return values[order][edge[:-1]], edge, owner[order]
 
-def _all_links(lists: DataFrame, texts: DataFrame, n: int, size: int, percent: int) -> DataFrame:
-    """a, b: every pair of different sets that are similar, once. All pairs of an index list that fit are verified."""
-    member = lists.select("token", F.struct("node", "size", "place").alias("x"))
-    pairs = member.join(member.select("token", F.col("x").alias("y")), "token").where(F.col("x.node") < F.col("y.node")).where(_fit("x", "y", percent))
-    return written(_links(cut(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()), texts, n, _verify(size, percent)), "all-links")
+
+def _looked_up(index: tuple[np.ndarray, np.ndarray, np.ndarray], values: np.ndarray) -> np.ndarray:
+    known, edge, owner = index
+    if not len(known) or not len(values):
+        return owner[:0]
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    at = at[known[at] == values]
+    return owner[_gathered(edge[at], edge[at + 1] - edge[at])]
+
+
+def matches(x: Block, y: Block, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each set of x the sets of y that are similar; within one block the later ones alone.
+
+    The answers of x's first set are counted once: how many of its hashes each set of y has. Another set's count is
+    that, less what it lacks, and more what it and the sets of y both lack of the first one or both have beyond it.
+    Sets of y lie by size, so those of no fitting size are skipped as blocks.
+    """
+    has_x, lacks_x, more_x = x.against(x.base)
+    has_y, lacks_y, more_y = (has_x, lacks_x, more_x) if x is y else y.against(x.base)
+    lack, more = _lists(lacks_y), _lists(more_y)
+    for i in range(len(x.names)):
+        n = x.sizes[i]
+        lo = i + 1 if x is y else int(np.searchsorted(y.sizes, needed(n, percent)))
+        hi = int(np.searchsorted(y.sizes, 100 * n // percent, side="right"))
+        if lo >= hi:
+            continue
+        same = has_y - len(lacks_x[i])
+        both = np.concatenate((_looked_up(lack, lacks_x[i]), _looked_up(more, more_x[i])))
+        same = (same + np.bincount(both, minlength=len(y.names)))[lo:hi]
+        found = np.flatnonzero(100 * same >= percent * (n + y.sizes[lo:hi] - same))
+        if len(found):
+            yield i, found + lo
+
+
+def _counted(x: Block, y: Block, percent: int) -> Iterator[tuple[bytes, bytes, int]]:
+    """(node, the smallest node that links reach within the two blocks, number of links) of each set that has any."""
+    first = len(x.names)
+    names = [*x.names, *(() if x is y else y.names)]
+    rank = np.argsort(np.argsort(np.array(names, object), kind="stable"))  # roots are compared as names are
+    label, links = rank.copy(), np.zeros(len(names), np.int64)
+    for i, found in matches(x, y, percent):
+        other = found if x is y else found + first
+        links[i] += len(other)
+        links[other] += 1
+        roots = np.unique(np.append(label[other], label[i]))
+        if len(roots) > 1:
+            label[np.isin(label, roots[1:])] = roots[0]
+    by_rank = np.argsort(rank)
+    for k in np.flatnonzero(links).tolist():
+        yield names[k], names[by_rank[label[k]]], int(links[k])
+
+
+def _paired(x: Block, y: Block, percent: int) -> Iterator[tuple[bytes, bytes, int]]:
+    for i, found in matches(x, y, percent):
+        for j in found.tolist():
+            yield x.names[i], y.names[j], 1
+
+
+def _alike(x: Block, y: Block, percent: int) -> Iterator[tuple[bytes, bytes, int]]:
+    """As _paired, for what is only to be broadly alike: the hashes that nobody else has don't count."""
+    x.sizes, y.sizes = np.bincount(x.owner, minlength=len(x.names)), np.bincount(y.owner, minlength=len(y.names))
+    has, _, _ = y.against(x.base)
+    for j in np.flatnonzero(100 * has >= percent * (len(x.base) + y.sizes - has)).tolist():
+        yield x.names[0], y.names[j], 1
+
+
+def _meet(how, percent: int):
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each group first a block, then those that it is to meet; a block that meets itself comes once."""
+        key = left = None
+        for batch in batches:
+            out: list[tuple[bytes, bytes, int]] = []
+            for a, salt, b, members in zip(*[batch.column(c).to_pylist() for c in ("a", "salt", "b")], batch.column("members"), strict=True):
+                if b is None:
+                    key, left = (a, salt), Block(members.as_py())
+                elif key == (a, salt):
+                    out.extend(how(left, left if a == b else Block(members.as_py()), percent))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["x", "y", "n"])
+
+    return meet
+
+
+def _compared(pairs: DataFrame, blocks: DataFrame, how, percent: int) -> DataFrame:
+    """x, y, n of all pairs (a, b) of blocks. A block that meets many is copied to a group for each FOLLOWERS of them."""
+    often = pairs.groupBy("a").agg(F.count("*").alias("often"))
+    salts = F.ceil(F.col("often") / FOLLOWERS).cast("int")
+    right = pairs.join(often, "a").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
+    right = right.join(blocks.withColumnRenamed("block", "b"), "b").select("a", "salt", "b", "members")
+    left = often.select("a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")).join(blocks.withColumnRenamed("block", "a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "members")
+    both = left.unionByName(right).repartition(partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return both.mapInArrow(_meet(how, percent), "x binary, y binary, n long")
+
+
+# frames
+
+
+def _single(sets: DataFrame) -> DataFrame:
+    """Each set as a block of its own."""
+    return sets.select(F.col("node").alias("block"), F.array(F.struct("node", "n", "tokens")).alias("members"))
+
+
+def _frames(sets: DataFrame) -> DataFrame:
+    """node, frame (the node of its first set) of each set."""
+    heads = sets.select("node", "n", F.explode(F.slice("first", 1, LEADING)).alias("token"))
+    leaders = heads.groupBy("token").agg(F.min("node").alias("a"))
+    pairs = heads.join(leaders, "token").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    blocks = _single(sets)
+    near = cut(_compared(cut(pairs), blocks, _alike, FRAME).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    roots = near.select("a").distinct().join(near.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+    home = near.join(roots, "a").groupBy("b").agg(F.min("a").alias("frame"))
+    # whoever is near sets of a frame alone is compared with its first set
+    lost = near.join(home.select("b"), "b", "left_anti").join(home.select(F.col("b").alias("a"), "frame"), "a").select(F.col("frame").alias("a"), "b").distinct()
+    more = _compared(cut(lost), blocks, _alike, FRAME).groupBy(F.col("y").alias("b")).agg(F.min("x").alias("frame"))
+    found = home.unionByName(more).withColumnRenamed("b", "node")
+    return cut(sets.select("node").join(found, "node", "left").select("node", F.coalesce("frame", "node").alias("frame")))
+
+
+def _blocks(sets: DataFrame, frames: DataFrame) -> DataFrame:
+    """frame, block, k, members: the sets of a frame in blocks of about FRAME_BYTES."""
+    size = F.octet_length("tokens") + 64
+    chunks = sets.join(frames, "node").groupBy("frame").agg(F.ceil(F.sum(size) / FRAME_BYTES).cast("int").alias("chunks"))
+    own = sets.join(frames, "node").join(chunks, "frame").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    packed = own.groupBy("frame", "chunk").agg(F.collect_list(F.struct("node", "n", "tokens")).alias("members"))
+    return packed.select("frame", F.concat("frame", F.hex("chunk").cast("binary")).alias("block"), F.size("members").alias("k"), "members")
+
+
+def _frame_pairs(percent: int):
+    def frame_pairs(table: pa.Table) -> pa.Table:
+        """The different frames of a cell's index lists that can have links: lists by size, whose entries are skipped
+        where sizes or positions rule a link out."""
+        order = [(c, "ascending") for c in ("token", "band", "cell", "lo")]
+        t = table.sort_by(order)
+        cell = np.unique(np.stack([t.column(c).to_numpy() for c in ("token", "band", "cell")], 1), axis=0, return_inverse=True)[1].ravel() if len(t) else np.zeros(0, np.int64)
+        lo, hi, room, guest, half = (t.column(c).to_numpy() for c in ("lo", "hi", "room", "guest", "half"))
+        names = t.column("frame").to_pylist()
+        _, number = np.unique(np.array(names, object), return_inverse=True)
+        edge, found = _edges(cell), []
+        for i, j in zip(edge[:-1], edge[1:], strict=True):
+            for k in range(i, j - 1):
+                upto = k + 1 + int(np.searchsorted(lo[k + 1 : j], 100 * hi[k] // percent, side="right"))  # behind it all are too large
+                s = slice(k + 1, upto)
+                good = (100 * hi[s] >= percent * lo[k]) & ((100 + percent) * np.minimum(room[s], room[k]) >= percent * (lo[s] + lo[k])) & (number[s] != number[k]) & ~(guest[s] & guest[k])
+                if half[k] >= 0:
+                    good &= (half[s] != half[k]) | (half[s] < 0)
+                at = np.flatnonzero(good) + k + 1
+                if len(at):
+                    found.append(np.stack([np.minimum(number[at], number[k]), np.maximum(number[at], number[k])], 1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        by_number = dict(zip(number.tolist(), names, strict=True))
+        return pa.table({"a": pa.array([by_number[x] for x in pairs[:, 0].tolist()], pa.binary()), "b": pa.array([by_number[x] for x in pairs[:, 1].tolist()], pa.binary())})
+
+    return frame_pairs
+
+
+def _crossing(sets: DataFrame, frames: DataFrame, n: int, percent: int) -> DataFrame:
+    """a, b: the pairs of different frames that can have links, each once.
+
+    An entry of a list stands in the band of its size and, as a guest, in the next one, so similar sets meet. A list of
+    over LIST_ENTRIES entries in a band is cut into parts that meet by twos, each pair of parts in a cell of its own.
+    """
+    width = math.log(100 / percent) * 1.000001 if percent < 100 else 1.0
+    entries = sets.join(frames, "node").select("frame", "n", F.size("first").alias("k"), (F.col("n") - F.octet_length("tokens") / 8).cast("long").alias("alone"), F.posexplode("first").alias("place", "token"))
+    room = (F.col("n") - F.col("alone") - F.col("place")).cast("long")
+    own = entries.select("token", "frame", "n", room.alias("room"), F.floor(F.log("n") / width).cast("int").alias("band"))
+    both = own.select("token", "frame", "n", "room", F.explode(F.array(F.struct("band", F.lit(False).alias("guest")), F.struct((F.col("band") + 1).alias("band"), F.lit(True).alias("guest")))).alias("at"))
+    rows = both.groupBy("token", "at.band", "frame", "at.guest").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("room"))
+    rows = cut(rows)
+    long_ = rows.groupBy("token", "band").agg(F.count("*").alias("many"), F.count_if(~F.col("guest")).alias("hosts")).where("many > 1 and hosts > 0")
+    rows = rows.join(long_, ["token", "band"]).withColumn("parts", F.ceil(F.col("many") / LIST_ENTRIES).cast("int"))
+    part = F.pmod(F.xxhash64("frame"), F.col("parts")).cast("int")
+    rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.least("part", "other") * F.col("parts") + F.greatest("part", "other")
+    # in a cell of two parts only entries of different parts meet; a part meets itself in a cell of its own
+    rows = rows.select("token", "band", "frame", "guest", "lo", "hi", "room", cell.alias("cell"), F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).alias("half"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("token", "band", "cell"), F.lit(n)).cast("int"))
+    return rows.groupBy("bucket").applyInArrow(_frame_pairs(percent), "a binary, b binary").distinct()
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, how) -> tuple[DataFrame, DataFrame]:
+    """id, node, n of each row, and what how says of all pairs of blocks that can have links."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    n = buckets(rows, "text")
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"bucket int, id {kind}, node binary, n long, blob binary, first array<long>"
+    posts = rows.mapInArrow(_post(n, size), schema).repartition(n, "bucket")
+    shared = posts.groupBy("bucket").applyInArrow(_shared(n), schema).repartition(n, "bucket")
+    passed = written(shared.groupBy("bucket").applyInArrow(_viable(percent), schema), "sets")
+    sets = passed.where("blob is not null").select("node", "n", F.col("blob").alias("tokens"), "first")
+    frames = _frames(sets)
+    blocks = written(_blocks(sets, frames), "blocks")
+    keys = blocks.select("frame", "block", "k")
+    within = keys.alias("l").join(keys.alias("r"), "frame").where("l.block < r.block or (l.block = r.block and l.k > 1)").select(F.col("l.block").alias("a"), F.col("r.block").alias("b"))
+    across = cut(_crossing(sets, frames, n, percent)).join(keys.select(F.col("frame").alias("a"), F.col("block").alias("x"), F.col("k").alias("kx")), "a").join(keys.select(F.col("frame").alias("b"), F.col("block").alias("y"), F.col("k").alias("ky")), "b")
+    across = across.select(F.when(F.col("kx") >= F.col("ky"), F.col("x")).otherwise(F.col("y")).alias("a"), F.when(F.col("kx") >= F.col("ky"), F.col("y")).otherwise(F.col("x")).alias("b"))  # the smaller one travels
+    found = written(_compared(cut(within.unionByName(across)), blocks.select("block", "members"), how, percent), "links")
+    discard(blocks)
+    return passed.where("blob is null").select("id", "node", "n"), found
 
 
 def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """class_a, class_b (class_a < class_b): the links between different sets, each once. Equal sets are a class, named by its smallest id."""
-    _, firsts, lists, texts = _candidates(docs, id_col, text_col, size, percent)
-    links = _all_links(lists, texts, partitions(docs.sparkSession), size, percent)
-    named = links.join(firsts.select(F.col("node").alias("a"), F.col("id").alias("_x")), "a").join(firsts.select(F.col("node").alias("b"), F.col("id").alias("_y")), "b")
+    """class_a, class_b (class_a < class_b): the links between different sets, each once. Equal sets are a class, named
+    by its smallest id. The rows are as many as the links: the square of a large group of different near copies."""
+    sets, links = _similar(docs, id_col, text_col, size, percent, _paired)
+    firsts = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("id"))
+    named = links.join(firsts.select(F.col("node").alias("x"), F.col("id").alias("_x")), "x").join(firsts.select(F.col("node").alias("y"), F.col("id").alias("_y")), "y")
     return named.select(F.least("_x", "_y").alias("class_a"), F.greatest("_x", "_y").alias("class_b"))
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """As jaccard_components, with class_id (the smallest id of an equal set) and n_links: with how many other sets its
-    set is linked. Here no link is passed over, so that groups of near copies cost the square of their different sets.
+    """id, n_shingles, component_id (the smallest id that links reach, its own included), class_id (the smallest id of
+    an equal set) and n_links (with how many other sets its set is linked) for each row.
 
-    Texts without shingles have their own id as class and no links.
+    Null and empty texts have no shingles, no links, and their own id. Rows of the same id and text have the same
+    result. A row without an id links with nothing of its own; it has the class and component of rows with its very
+    set, else null. Sets are known by hashes of 128 bits, shingles by such of 48 and more.
     """
-    sets, firsts, lists, texts = _candidates(docs, id_col, text_col, size, percent)
-    links = _all_links(lists, texts, partitions(docs.sparkSession), size, percent)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    by_node = _components(firsts, cut(connected_components(links, "a", "b"))).join(firsts.withColumnRenamed("id", "class_id"), "node").join(degree, "node", "left")
+    sets, found = _similar(docs, id_col, text_col, size, percent, _counted)
+    degree = found.groupBy(F.col("x").alias("node")).agg(F.sum("n").alias("n_links"))
+    linked = cut(connected_components(found.where("x <> y"), "x", "y"))
+    firsts = sets.where("n > 0").groupBy("node").agg(F.min("id").alias("class_id"))
+    at = firsts.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = at.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    by_node = at.join(least, "component").join(degree, "node", "left").select("node", "class_id", "component_id", "n_links")
     out = sets.join(by_node, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _components(firsts: DataFrame, found: DataFrame) -> DataFrame:
-    """node, component_id: the smallest id of each component, by way of its sets."""
-    at = firsts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = at.groupBy("component").agg(F.min("id").alias("component_id"))
-    return at.select("node", "component").join(least, "component").select("node", "component_id")
-
-
-def _wanted(size: int):
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(size)
-        for batch in batches:
-            nodes, texts = batch.column(batch.schema.get_field_index("wanted")), batch.column(batch.schema.get_field_index("text"))
-            good = pa.array([x.as_py() == node_of(shingles(t.as_py() or b"")) for x, t in zip(nodes, texts, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([nodes, texts], names=["node", "text"]).filter(good)
-
-    return wanted
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
+    """id, n_shingles, component_id of jaccard_join."""
+    return jaccard_join(docs, id_col=id_col, **how).select(id_col, "n_shingles", "component_id")
 
 
 def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
     """docs with one document of each component, that of the smallest id. Rows that share an id stay or go together;
     rows without an id or without words stay."""
     found = jaccard_components(docs, id_col=id_col, **how)
-    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("id")).distinct()
+    return docs.alias("docs").join(gone.alias("gone"), F.col(f"docs.`{id_col}`") == F.col("gone.id"), "left_anti")
