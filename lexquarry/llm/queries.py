@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, fingerprint, html, jaccard, language, licenses, mixing, quality, suffixes, toxicity
-from .common import remainder, table
+from .common import remainder, table, written
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +41,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mixing_weights(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", mixing.sampled(F.col("doc_id"), F.col("probability")).alias("sampled"))
+    counted = written(mixing.measured(table(spark, sf_dir, "documents")).drop("text"), "counted")  # texts are read once
+    out = mixing.mixing_weights(counted, counted=True)
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "margin_error", mixing.sampled(F.col("doc_id"), F.col("probability")).alias("sampled"))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
