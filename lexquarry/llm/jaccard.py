@@ -401,7 +401,8 @@ def _blocks(sets: DataFrame, frames: DataFrame) -> DataFrame:
     size = F.octet_length("tokens") + 64
     chunks = sets.join(frames, "node").groupBy("frame").agg(F.ceil(F.sum(size) / FRAME_BYTES).cast("int").alias("chunks"))
     own = sets.join(frames, "node").join(chunks, "frame").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    packed = own.groupBy("frame", "chunk").agg(F.collect_list(F.struct("node", "n", "tokens")).alias("members"))
+    # dealt by both: after the join a frame's sets lie in one task
+    packed = own.repartition(partitions(sets.sparkSession), "frame", "chunk").groupBy("frame", "chunk").agg(F.collect_list(F.struct("node", "n", "tokens")).alias("members"))
     return packed.select("frame", F.concat("frame", F.hex("chunk").cast("binary")).alias("block"), F.size("members").alias("k"), "members")
 
 

@@ -24,14 +24,14 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, written
+from .common import buckets, discard, small_batches, written
 
 LENGTH, GRAM = 50, 24
 BEFORE = LENGTH - GRAM
 #: A string of LENGTH bytes around a gram goes on for so many on one of its sides at least.
 SIDE = BEFORE // 2
 #: Entries of a run at most, and bytes of text whose anchors make a block: bounds of a task's memory.
-RUN_ENTRIES, BLOCK_BYTES = 150_000, 4 << 20
+RUN_ENTRIES, BLOCK_BYTES = 150_000, 1 << 20
 _MASK = (1 << 64) - 1
 _TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -172,6 +172,7 @@ def _post(n: int):
                 out.append((b, _pack(_short(h[i:j]), own.astype(np.uint16 if len(used) < 65536 else np.uint32), orders[used], keys[used], np.array([len(used)], np.int64), both[i:j])))
             if out:
                 yield _rows(out)
+        pa.default_memory_pool().release_unused()
 
     return post
 
@@ -215,8 +216,10 @@ def _shared(n: int, n_docs: int):
             many[run[1:][other]] = True
             keep[order[many[run]]] = True
         h, doc = h[keep], doc[keep]
-        pairs = np.unique(np.stack([doc.astype(np.uint64), h], 1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
-        doc, h = pairs[:, 0].astype(np.int64), np.ascontiguousarray(pairs[:, 1])
+        order = np.lexsort((h, doc))
+        h, doc = h[order], doc[order]
+        first = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, bool)
+        h, doc = h[first], doc[first]
         to = _doc_bucket(k, n_docs)[doc]
         order = np.lexsort((doc, to))
         h, doc, to = h[order], doc[order], to[order]
@@ -229,20 +232,30 @@ def _shared(n: int, n_docs: int):
     return shared
 
 
-def front_code(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """Common prefix with the entry before, length of the rest, and the rests of sorted entries (of < 256 bytes)."""
-    lcp, rest, out, last = [], [], [], b""
-    for e in entries:
-        k, n = 0, min(len(e), len(last))
-        if e[:GRAM] == last[:GRAM]:
-            k = min(GRAM, n)
-        while k < n and e[k] == last[k]:
-            k += 1
-        lcp.append(k)
-        rest.append(len(e) - k)
-        out.append(e[k:])
-        last = e
-    return np.array(lcp, np.uint8), np.array(rest, np.uint8), b"".join(out)
+#: Bytes of an entry: the suffix, the bytes before it in reverse, the lengths of both. What a text lacks is 0.
+WIDTH = LENGTH + BEFORE + 2
+
+
+def entries_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The entries of a text's suffixes at the places, a row of WIDTH bytes each."""
+    padded = np.concatenate([np.zeros(BEFORE, np.uint8), data, np.zeros(LENGTH, np.uint8)])
+    out = np.empty((len(at), WIDTH), np.uint8)
+    out[:, :LENGTH] = padded[at[:, None] + np.arange(BEFORE, BEFORE + LENGTH)]
+    out[:, LENGTH : LENGTH + BEFORE] = padded[at[:, None] + np.arange(BEFORE - 1, -1, -1)]
+    out[:, -2] = np.minimum(BEFORE, at)
+    out[:, -1] = np.minimum(LENGTH, len(data) - at)
+    return out
+
+
+def front_code(entries: np.ndarray | list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Common prefix with the entry before, length of the rest, and the rests of sorted entries of one length."""
+    if isinstance(entries, list):
+        entries = np.frombuffer(b"".join(entries), np.uint8).reshape(len(entries), -1)
+    lcp = np.zeros(len(entries), np.int64)
+    differ = entries[1:] != entries[:-1]
+    lcp[1:] = np.where(differ.any(1), differ.argmax(1), entries.shape[1])
+    rests = entries[np.arange(entries.shape[1]) >= lcp[:, None]]
+    return lcp.astype(np.uint8), (entries.shape[1] - lcp).astype(np.uint8), rests.tobytes()
 
 
 class Run:
@@ -327,70 +340,74 @@ def _runs(n: int):
     """Sorted, front-coded runs of the suffixes at the marked anchors of (order, key, text, marks)."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, int, int]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         docs: list[tuple[int, int]] = []
+        many = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            held.sort()
-            out, i = [], 0
-            while i < len(held):
-                bucket, entries, counts, owners, places = held[i][0], [], [], [], []
-                while i < len(held) and held[i][0] == bucket:
-                    _, entry, doc, at = held[i]
-                    if entries and entries[-1] == entry:
-                        counts[-1] += 1
-                    else:
-                        entries.append(entry)
-                        counts.append(1)
-                    owners.append(doc)
-                    places.append(at)
-                    i += 1
-                used, own = np.unique(owners, return_inverse=True)
-                lcp, rest, data = front_code(entries)
-                out.append((bucket, _pack(lcp, rest, np.frombuffer(data, np.uint8), np.array(counts, np.uint32), own.astype(np.uint32), np.array(places, np.uint32), np.array([docs[u][0] for u in used], np.int64), np.array([docs[u][1] for u in used], np.int64))))
-            held.clear()
-            docs.clear()
-            if out:
-                yield _rows(out)
+            entries, bucket, places = (np.concatenate(x) for x in zip(*held, strict=True))
+            owners = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x[0]) for x in held])
+            order = np.argsort(np.ascontiguousarray(entries).view(f"S{WIDTH}").ravel(), kind="stable")
+            order = order[np.argsort(bucket[order], kind="stable")]
+            entries, bucket, places, owners = entries[order], bucket[order], places[order], owners[order]
+            new = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (entries[1:] != entries[:-1]).any(1)))
+            out = []
+            for b, i, j in _slices(bucket):
+                starts = np.flatnonzero(new[i:j])
+                lcp, rest, data = front_code(entries[i:j][starts])
+                used, own = np.unique(owners[i:j], return_inverse=True)
+                counts = np.diff(np.append(starts, j - i)).astype(np.uint32)
+                out.append((b, _pack(lcp, rest, np.frombuffer(data, np.uint8), counts, own.astype(np.uint32), places[i:j], np.array([docs[u][0] for u in used], np.int64), np.array([docs[u][1] for u in used], np.int64))))
+            yield _rows(out)
 
         for batch in batches:
             for o, k, t, marks in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
-                at = np.frombuffer(marks, np.uint32).astype(np.int64)
-                grams = gram_hashes(np.frombuffer(t, np.uint8))[at]
-                docs.append((o, k))
-                for a, b in zip(at.tolist(), _bucket(grams, n).tolist(), strict=True):
-                    after = t[a : a + LENGTH]
-                    before = t[max(0, a - BEFORE) : a][::-1]
-                    held.append((b, after + b"\0" * (LENGTH - len(after)) + before + bytes((len(after),)), len(docs) - 1, a))
-            if len(held) >= RUN_ENTRIES:
-                yield from flush()
-        yield from flush()
+                data, all_ = np.frombuffer(t, np.uint8), np.frombuffer(marks, np.uint32)
+                bucket = _bucket(gram_hashes(data)[all_], n)
+                # a text of very many anchors fills several runs
+                for i in range(0, len(all_), RUN_ENTRIES):
+                    at = all_[i : i + RUN_ENTRIES]
+                    held.append((entries_at(data, at.astype(np.int64)), bucket[i : i + RUN_ENTRIES], at))
+                    docs.append((o, k))
+                    many += len(at)
+                    if many >= RUN_ENTRIES:
+                        yield from flush()
+                        held, docs, many = [], [], 0
+        if many:
+            yield from flush()
+        pa.default_memory_pool().release_unused()
 
     return runs
 
 
 def covered(group: list[tuple[bytes, list[tuple[int, int, int]]]]) -> Iterator[tuple[int, int, int, int]]:
-    """(order, key, from, to) that one gram's entries cover: entries of (after, before reversed, length of after), with
-    the places (order, key, position) of each."""
-    if len(group) == 1 and len({p[0] for p in group[0][1]}) < 2:
+    """(order, key, from, to) that one gram's entries cover: entries as of entries_at, with the places (order, key,
+    position) of each."""
+    if len(group) == 1:
+        entry, places = group[0]
+        first = min(places)[0]
+        low, high = LENGTH - entry[-1], entry[-2]
+        if low <= high:
+            for order, key, at in places:
+                if order > first:
+                    yield order, key, at - high, at - low + LENGTH
         return
-    firsts = [min(p[0] for p in places) for _, places in group]
+    firsts = [min(places)[0] for _, places in group]
     if min(firsts) == max(p[0] for _, places in group for p in places):
         return
     least: dict[tuple[int, bytes], int] = {}
     keys = []
     for (entry, _), first in zip(group, firsts, strict=True):
-        before, after = entry[LENGTH:-1], entry[-1]
-        own = [(o, entry[: LENGTH - o] + before[:o]) for o in range(max(0, LENGTH - after), min(BEFORE, len(before)) + 1)]
+        before, low, high = entry[LENGTH:-2], LENGTH - entry[-1], entry[-2]
+        own = [(o, entry[: LENGTH - o] + before[:o]) for o in range(low, high + 1)]
         keys.append(own)
-        if len(group) > 1:
-            for k in own:
-                if least.get(k, first) >= first:
-                    least[k] = first
-    for (_, places), own, first in zip(group, keys, firsts, strict=True):
+        for k in own:
+            if least.get(k, first) >= first:
+                least[k] = first
+    for (_, places), own in zip(group, keys, strict=True):
         if not own:
             continue
-        lows = [least.get(k, first) for k in own]
+        lows = [least[k] for k in own]
         for order, key, at in places:
             begin = None
             for (o, _), low in zip(own, lows, strict=True):
@@ -544,7 +561,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     copies = firsts.where("n > 1").select("digest", "first")
     sha = F.sha2(text, 256)
     own = docs.where(F.octet_length(text) >= LENGTH).select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("order"), F.xxhash64(sha, F.lit(1)).alias("key"), text.alias("text"), F.xxhash64(sha, F.lit(2)).alias("twin"))
-    n = partitions(spark)
+    n = buckets(docs, text_col)
     # the blocks of postings know texts by two hashes of their digest: equal texts are one from here on
     posts = own.select(F.col("twin").alias("order"), "key", "text").mapInArrow(_post(n), "bucket int, blob binary")
     shared = posts.repartition(n, "bucket").groupBy("bucket").applyInArrow(_shared(n, n), "bucket int, blob binary")
@@ -553,6 +570,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     runs = marked.mapInArrow(_runs(n), "bucket int, blob binary")
     cover = runs.repartition(n, "bucket").groupBy("bucket").applyInArrow(_merged(n), "bucket int, blob binary")
     cut = written(_by_bucket(cover, marked.select("order", "key", "text", F.lit(0).cast("long").alias("twin")), n, (lambda batches: _cut(batches, texts), "order long, key long, n_removed long, n_spans long, kept_sha256 string, kept string")), "kept")
+    discard(marked)
     out = rows.join(copies, "digest", "left").withColumn("key", F.xxhash64("digest", F.lit(1)))
     out = out.join(cut, ["order", "key"], "left")
     gone = F.col("first").isNotNull() & (F.col("order") > F.col("first"))
@@ -581,12 +599,12 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     before stay. A character that is cut in two goes whole. n_chars names a column of lengths to keep true."""
     big = F.lit((1 << 63) - 1)
     changed = repeated_spans(docs, id_col=id_col, text_col=text_col).where("n_removed > 0")
-    changed = changed.select("order", F.col("digest").alias("_digest"), "kept", (F.col("n_removed") == F.col("n_bytes")).alias("_gone")).dropDuplicates(["order", "_digest"])
-    keyed = docs.withColumns({"_order": F.coalesce(F.col(id_col).cast("long"), big), "_sha": F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)})
-    out = keyed.join(changed, (F.col("_order") == F.col("order")) & (F.col("_sha") == F.col("_digest")), "left").where("_gone is null or not _gone")
-    text = F.coalesce(F.col("kept"), F.col(text_col))
-    out = out.withColumn(text_col, text)
+    changed = changed.select("order", "digest", "kept", (F.col("n_removed") == F.col("n_bytes")).alias("whole")).dropDuplicates(["order", "digest"]).select(F.struct("order", "digest").alias("of"), "kept", "whole")
+    # the caller's columns stay in a struct, so that none of their names can clash
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.coalesce(F.col(id_col).cast("long"), big).alias("order"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("digest")).alias("own"))
+    out = row.join(changed, F.col("own") == F.col("of"), "left").where("whole is null or not whole")
+    new = {text_col: F.coalesce(F.col("kept"), F.col(f"row.`{text_col}`"))}
     if n_chars:
-        out = out.withColumn(n_chars, F.when(F.col("kept").isNull(), F.col(n_chars)).otherwise(F.length(text_col)).cast(docs.schema[n_chars].dataType))
-    return out.select(*docs.columns)
-
+        old = F.col(f"row.`{n_chars}`")
+        new[n_chars] = F.when(F.col("kept").isNull(), old).otherwise(F.length("kept")).cast(docs.schema[n_chars].dataType)
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
