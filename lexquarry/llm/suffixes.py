@@ -32,6 +32,8 @@ BEFORE = LENGTH - GRAM
 SIDE = BEFORE // 2
 #: Entries of a run at most, and bytes of text whose anchors make a block: bounds of a task's memory.
 RUN_ENTRIES, BLOCK_BYTES = 150_000, 1 << 20
+#: Entries of a gram from which on its windows are compared as arrays.
+MANY = 48
 _MASK = (1 << 64) - 1
 _TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -122,6 +124,8 @@ def _unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of anchors are small, being the smallest of their windows: mixed once more they are dealt evenly."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
@@ -383,6 +387,8 @@ def _runs(n: int):
 def covered(group: list[tuple[bytes, list[tuple[int, int, int]]]]) -> Iterator[tuple[int, int, int, int]]:
     """(order, key, from, to) that one gram's entries cover: entries as of entries_at, with the places (order, key,
     position) of each."""
+    if not group:
+        return
     if len(group) == 1:
         entry, places = group[0]
         first = min(places)[0]
@@ -395,30 +401,70 @@ def covered(group: list[tuple[bytes, list[tuple[int, int, int]]]]) -> Iterator[t
     firsts = [min(places)[0] for _, places in group]
     if min(firsts) == max(p[0] for _, places in group for p in places):
         return
-    least: dict[tuple[int, bytes], int] = {}
-    keys = []
-    for (entry, _), first in zip(group, firsts, strict=True):
-        before, low, high = entry[LENGTH:-2], LENGTH - entry[-1], entry[-2]
-        own = [(o, entry[: LENGTH - o] + before[:o]) for o in range(low, high + 1)]
-        keys.append(own)
-        for k in own:
-            if least.get(k, first) >= first:
-                least[k] = first
-    for (_, places), own in zip(group, keys, strict=True):
-        if not own:
+    for (entry, places), lows in zip(group, _lows(group, firsts), strict=True):
+        low, high = LENGTH - entry[-1], entry[-2]
+        if low > high:
             continue
-        lows = [least[k] for k in own]
+        most, fewest = max(lows), min(lows)
         for order, key, at in places:
-            begin = None
-            for (o, _), low in zip(own, lows, strict=True):
-                if low < order:
-                    begin = o if begin is None else begin
-                    last = o
-                elif begin is not None:
+            if order > most:  # all windows
+                yield order, key, at - high, at - low + LENGTH
+            elif order > fewest:
+                begin = None
+                for o, first in enumerate(lows, low):
+                    if first < order:
+                        begin = o if begin is None else begin
+                        last = o
+                    elif begin is not None:
+                        yield order, key, at - last, at - begin + LENGTH
+                        begin = None
+                if begin is not None:
                     yield order, key, at - last, at - begin + LENGTH
-                    begin = None
-            if begin is not None:
-                yield order, key, at - last, at - begin + LENGTH
+
+
+def _lows(group: list[tuple[bytes, list[tuple[int, int, int]]]], firsts: list[int]) -> list[list[int]]:
+    """Of each entry the smallest document that has the window, for each window that the entry holds."""
+    if len(group) < MANY:
+        least: dict[tuple[int, bytes], int] = {}
+        keys = []
+        for (entry, _), first in zip(group, firsts, strict=True):
+            before = entry[LENGTH:-2]
+            own = [(o, entry[: LENGTH - o] + before[:o]) for o in range(LENGTH - entry[-1], entry[-2] + 1)]
+            keys.append(own)
+            for k in own:
+                if least.get(k, first) >= first:
+                    least[k] = first
+        return [[least[k] for k in own] for own in keys]
+    rows = np.frombuffer(b"".join(e for e, _ in group), np.uint8).reshape(len(group), WIDTH)
+    first, high, low = np.array(firsts, np.int64), rows[:, -2].astype(np.int64), LENGTH - rows[:, -1].astype(np.int64)
+    # numbers of equal suffixes and of equal bytes before, by length: a window is a pair of them
+    after, before = _numbers(rows[:, :LENGTH]), _numbers(rows[:, LENGTH : LENGTH + BEFORE])
+    out: list[list[int]] = [[] for _ in group]
+    for o in range(BEFORE + 1):
+        has = np.flatnonzero((low <= o) & (o <= high))
+        if len(has):
+            same = after[LENGTH - o][has] * len(group) + (before[o][has] if o else 0)
+            order = np.argsort(same, kind="stable")
+            edge = np.flatnonzero(np.concatenate(([True], same[order][1:] != same[order][:-1])))
+            lows = np.empty(len(has), np.int64)
+            lows[order] = np.repeat(np.minimum.reduceat(first[has][order], edge), np.diff(np.append(edge, len(has))))
+            for k, v in zip(has.tolist(), lows.tolist(), strict=True):
+                out[k].append(v)
+    return out
+
+
+def _numbers(rows: np.ndarray) -> list[np.ndarray]:
+    """For each length a number for each row, the same where the first so many bytes are."""
+    order = np.lexsort(rows.T[::-1])
+    sorted_ = rows[order]
+    differ = sorted_[1:] != sorted_[:-1]
+    lcp = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+    out = []
+    for n in range(rows.shape[1] + 1):
+        number = np.empty(len(rows), np.int64)
+        number[order] = np.concatenate(([0], np.cumsum(lcp < n)))
+        out.append(number)
+    return out
 
 
 def _merged(n_docs: int):

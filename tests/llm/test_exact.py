@@ -243,3 +243,24 @@ def test_license_scan(spark, docs):
     assert not {len(licenses.TEMPLATES) + 1, len(licenses.TEMPLATES) + 2} & set(got)
     assert licenses.scan_licenses(docs([]), licenses.template_table(spark)).count() == 0
     assert licenses.scan_licenses(docs(texts), licenses.template_table(spark, {"none": "!"})).count() == 0
+
+
+def test_windows_of_many_entries_are_those_of_few(monkeypatch):
+    texts = [prose(rng.randint(4, 30)).encode() for _ in range(80)]
+    body = prose(12).encode()
+    entries = {}
+    for k, t in enumerate(texts):
+        data = np.frombuffer(t[: rng.randint(0, 30)] + body + texts[k // 3][: rng.randint(0, 40)], np.uint8)
+        at = data.tobytes().index(body)
+        entries.setdefault(suffixes.entries_at(data, np.array([at]))[0].tobytes(), []).append((rng.randint(0, 60), k, at))
+    group = sorted(entries.items())
+    assert len(group) >= suffixes.MANY
+    many = sorted(suffixes.covered(group))
+    monkeypatch.setattr(suffixes, "MANY", 10_000)
+    assert many == sorted(suffixes.covered(group))
+
+
+def test_long_run_of_one_byte(spark, docs):
+    texts = ["a" * 400_000, "b" + "a" * 1000, "a" * 120 + "c"]
+    got = [tuple(r)[1:4] for r in suffixes.digest(docs(texts)).orderBy("doc_id").collect()]
+    assert got == [(400_000, 0, 0), (1001, 1000, 1), (121, 120, 1)]
