@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .citations import SPACE
+from .references import decoded
 
 
 @dataclass(frozen=True)
@@ -16,53 +22,106 @@ class TextRules:
     line_ends: tuple[str, ...]
     line_break: bool
     tag: str
-    entities: tuple[tuple[str, str], ...]
+    names: dict[str, str]
+    any_case: bool = False
     decode_first: bool = False
     comments: bool = False
-    drop_blank: bool = True
+    by_line: bool = True
+    body: bool = False
 
 
-#: Named references that the sources use, in the order in which they are decoded (& last).
-_BASIC = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"))
-_ITALIAN = (*_BASIC[:4], ("&nbsp;", " "), ("&agrave;", "à"), ("&egrave;", "è"), ("&igrave;", "ì"), ("&ograve;", "ò"), ("&ugrave;", "ù"), ("&eacute;", "é"), ("&ocirc;", "ô"))
+#: Named references by source.
+_GERMAN = {"amp": "&", "gt": ">", "lt": "<", "nbsp": " ", "quot": '"', "szlig": "ß", "auml": "ä", "Auml": "Ä", "ouml": "ö", "Ouml": "Ö", "uuml": "ü", "Uuml": "Ü"}
+_SWISS = _GERMAN | {"apos": "'", "sect": "§"}
+_PLAIN = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+_ITALIAN = _PLAIN | {"nbsp": " ", "agrave": "à", "egrave": "è", "igrave": "ì", "ograve": "ò", "ugrave": "ù", "eacute": "é", "ocirc": "ô"}
 
 RULES = {
-    "neuris": TextRules((), ("h[1-6]", "p", "div", "section", "li", "dt", "dd", "ol", "ul"), True, " ", (*_BASIC, ("&nbsp;", " ")), drop_blank=False),
-    "gii": TextRules(("script", "style"), ("h[1-6]", "p", "div", "li", "dt", "dd", "dl"), True, " ", (*_BASIC, ("&nbsp;", " ")), comments=True, drop_blank=False),
-    "eurlex": TextRules(("script", "style", "nav"), ("p", "div", "li", "br", "tr", "h[0-9]"), False, " ", _BASIC[:4], comments=True),
-    "fedlex": TextRules(("script", "style", "noscript"), ("h[1-6]", "p", "div", "section", "li", "dd", "dl", "ol", "ul", "tr", "table"), True, "", (*_BASIC, ("&nbsp;", " ")), decode_first=True, comments=True, drop_blank=False),
-    "boe": TextRules((), ("p", "tr", "td", "th", "div", "li"), True, "", (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))),
-    "normattiva": TextRules(("script", "style"), ("div", "p", "h[1-6]", "li", "tr", "section", "article"), True, "", _ITALIAN),
+    "neuris": TextRules((), ("h[1-6]", "p", "div", "section", "li", "dt", "dd", "ol", "ul"), True, " ", _GERMAN, by_line=False, body=True),
+    "gii": TextRules(("script", "style"), ("h[1-6]", "p", "div", "li", "dt", "dd", "dl"), True, " ", _GERMAN, comments=True, by_line=False),
+    "eurlex": TextRules(("script", "style", "nav"), ("p", "div", "li", "br", "tr", "h[0-9]"), False, " ", _PLAIN, any_case=True, comments=True),
+    "fedlex": TextRules(("script", "style", "noscript"), ("h[1-6]", "p", "div", "section", "li", "dd", "dl", "ol", "ul", "tr", "table"), True, "", _SWISS, decode_first=True, comments=True, by_line=False),
+    "boe": TextRules(("blockquote",), ("p", "tr", "td", "th", "div", "li"), True, "", {}),
+    "normattiva": TextRules(("script", "style"), ("div", "p", "h[1-6]", "li", "tr", "section", "article"), True, "", _ITALIAN, any_case=True),
 }
+_BODY = r"(?is)<body\b[^>]*>(.*?)</body>"
 
 
 def html_text(page: Column, source: str) -> Column:
-    """The text of a page by the rules of a source. References that its table lacks stay as they are."""
+    """The text of a page by the rules of a source. References that its table lacks stay as they are; null is null."""
     rules = RULES[source]
     out = page
     if rules.comments:
         out = F.regexp_replace(out, r"(?s)<!--.*?-->", "")
     for tag in rules.silent:
         out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
+    if source == "gii":
+        out = norm_content(out)
+    if rules.body:
+        out = body_of(out)
     if rules.decode_first:
-        out = _decoded(out, rules)
+        out = _characters(out, source, rules)
     if rules.line_break:
-        out = F.regexp_replace(out, r"(?i)<br\s*/?>", "\n")
+        out = F.regexp_replace(out, r"(?i)<br\s*/?\s*>", "\n")
     out = F.regexp_replace(out, rf"(?i)</(?:{'|'.join(rules.line_ends)})\s*>", "\n")
     out = F.regexp_replace(out, r"<[^>]+>", rules.tag)
     if not rules.decode_first:
-        out = _decoded(out, rules)
-    if rules.drop_blank:
-        out = F.regexp_replace(F.regexp_replace(out, r"[ \t\r\f\u00a0]+", " "), r" ?\n ?", "\n")
-        return F.regexp_replace(F.regexp_replace(out, r"\n+", "\n"), r"\A[\n ]+|[\n ]+\z", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r" ?\n ?", "\n")
-    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"\A\s+|\s+\z", "")
-
-
-def _decoded(text: Column, rules: TextRules) -> Column:
-    for name, value in rules.entities:
-        text = F.replace(text, F.lit(name), F.lit(value))
-    return text if any(n == "&amp;" for n, _ in rules.entities) else F.replace(text, F.lit("&amp;"), F.lit("&"))
+        out = _characters(out, source, rules)
+    if rules.by_line:
+        lines = F.transform(F.split(F.replace(out, F.lit("\r"), F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, f"{SPACE}+", " ")))
+        return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), rf"{SPACE}*\n{SPACE}*", "\n")
+    return F.regexp_replace(out, rf"\A{SPACE}+|{SPACE}+\z", "")
+
+
+def body_of(page: Column) -> Column:
+    """What is in the body; the whole page if it has none."""
+    return F.when(page.rlike(_BODY), F.regexp_extract(page, _BODY, 1)).otherwise(page)
+
+
+def _characters(text: Column, source: str, rules: TextRules) -> Column:
+    if source != "boe":
+        return decoded(text, rules.names, any_case=rules.any_case)
+    # this source decodes one kind after the other, so that &amp;lt; ends as <
+    text = decoded(F.regexp_replace(text, r"&(?!#[0-9]+;)", "&\u0000"), {})
+    text = F.replace(text, F.lit("\u0000"), F.lit(""))
+    for name, value in (("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">")):
+        text = F.regexp_replace(text, f"(?i)&{name};", value)
+    return text
+
+
+def elements_of_class(page: str, name: str) -> list[str]:
+    """The inner markup of the outermost elements that have the class, by the balance of their tags, in page order."""
+    out, at = [], 0
+    start = re.compile(r"<([a-zA-Z][\w:-]*)\b[^>]*?\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)')[^>]*>")
+    while m := start.search(page, at):
+        at = m.end()
+        if name not in (m[2] or m[3] or "").split():
+            continue
+        depth = 1
+        for t in re.finditer(rf"<(/?){re.escape(m[1])}\b[^>]*?(/?)>", page[m.end() :], re.I):
+            depth += -1 if t[1] else 0 if t[2] else 1
+            if depth == 0:
+                out.append(page[m.end() : m.end() + t.start()])
+                at = m.end() + t.end()
+                break
+    return out
+
+
+@F.pandas_udf(T.StringType())
+def _norm_blocks(page: pd.Series) -> pd.Series:
+    def one(p: str | None) -> str | None:
+        if p is None or not (found := elements_of_class(p, "jnhtml")) or not found[0]:
+            return None
+        return "\n".join(elements_of_class(found[0], "jurAbsatz")) or found[0]
+
+    return page.map(one).astype(object)
+
+
+def norm_content(page: Column) -> Column:
+    """The paragraphs of the first norm, else the norm, else the body. Pages without a norm never reach Python."""
+    marked = F.when(page.contains("jnhtml"), page)
+    return F.coalesce(F.when(page.contains("jnhtml"), _norm_blocks(marked)), body_of(page))
 
 
 def page_title(page: Column) -> Column:

@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .citations import parse_celex
+from .citations import parse_celex, reference_label
+from .languages import native_name
+
+#: The notices and the footer of a formatted section.
+ENGLISH_NOTICE = "Textvariante: Englischer Gesetzestext von Gesetze im Internet (nicht amtlich)."
+AUSTRIAN_NOTICE = "Bundesrecht konsolidiert; Informationsfassung, rechtlich unverbindlich."
+LANGUAGE_NOTICE = "Amtliche EU-Sprachfassung: %s."
+CELEX_NOTICE = "CELEX: %s."
+SOURCE_NOTICE, CACHE_NOTICE = "Quelle: %s%s, %s, abgerufen am %s.", "Cache: %s."
 
 
 def quoted(text: Column) -> Column:
@@ -28,3 +36,31 @@ def cache_key(law_code: Column, section: Column, kind: Column, jurisdiction: Col
         .when(jurisdiction == "CH", F.when(F.coalesce(language, F.lit("de")).isin("de", "fr", "it"), F.concat(F.lit("CH:"), plain, F.lit(":official-"), F.coalesce(language, F.lit("de")))))
         .otherwise(F.concat(F.when(jurisdiction.isin("AT", "ES"), F.concat(jurisdiction, F.lit(":"))).otherwise(""), plain, F.lit(":"), source))
     )
+
+
+def law_label(jurisdiction: Column, law_code: Column, title: Column) -> Column:
+    """What a law is called: its title where codes are technical (null if it has none), else its code."""
+    return F.when(jurisdiction.isin("IT", "NL"), F.nullif(F.trim(title), F.lit(""))).otherwise(law_code)
+
+
+def markdown_section(s: Column, footer: bool = True) -> Column:
+    """A section as Markdown: heading and text as a quote, notices of its source, and where it is from.
+
+    s: struct of jurisdiction, law_code, law_title, section, subsection, reference_type, heading, text, variant,
+    language, celex, provider, retrieved_at, cache_status. Null headings, languages and numbers leave their part out.
+    """
+    label, law = reference_label(s["reference_type"], s["section"], s["subsection"]), law_label(s["jurisdiction"], s["law_code"], s["law_title"])
+    optional = lambda c, form: F.when(c.isNotNull() & (c != ""), F.format_string(form, c)).otherwise("")
+    no = F.array().cast("array<string>")
+    when = lambda test, *lines: F.when(F.coalesce(test, F.lit(False)), F.array(*lines)).otherwise(no)
+    eu, blank = s["jurisdiction"] == "EU", F.lit("")
+    head = F.concat(F.lit("> **"), label, optional(law, " %s"), optional(s["heading"], " – %s"), F.lit("**"))
+    name = native_name(s["language"])
+    parts = [
+        F.array(head, F.lit(">")), F.transform(F.split(s["text"], "\n"), lambda line: F.concat(F.lit("> "), line)),
+        when(s["variant"] == "translation-en", blank, F.lit(ENGLISH_NOTICE)), when(s["jurisdiction"] == "AT", blank, F.lit(AUSTRIAN_NOTICE)),
+        when(eu & name.isNotNull(), blank, F.format_string(LANGUAGE_NOTICE, name)), when(eu & (s["celex"] != ""), F.format_string(CELEX_NOTICE, s["celex"])),
+    ]
+    if footer:
+        parts.append(F.array(blank, F.format_string(SOURCE_NOTICE, s["provider"], optional(law, ", %s"), label, F.substring(s["retrieved_at"], 1, 10)), F.format_string(CACHE_NOTICE, s["cache_status"])))
+    return F.array_join(F.concat(*parts), "\n")

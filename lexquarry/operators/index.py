@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,24 +36,49 @@ def page_after(rows: DataFrame, keys: list[str], cursor: tuple | None, limit: in
 
 def reachable(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """node: all that undirected edges (a, b) lead to from the seeds (node). Steps until nothing new is found; each
-    step starts from a checkpoint."""
+    step writes its new nodes to the shared folder and rewrites none of the earlier ones."""
+    spark = seeds.sparkSession
+    home = f"{shared_folder(spark)}/reachable-{uuid.uuid4().hex}"
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = frontier = _kept(seeds.select("node").distinct())
-    while frontier.take(1):
-        frontier = _kept(frontier.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti"))
-        seen = _kept(seen.unionByName(frontier))
-    return seen
+    both.write.parquet(f"{home}/edges")
+    both = spark.read.parquet(f"{home}/edges")
+    schema, step = seeds.select("node").schema, 0
+    seeds.select("node").distinct().write.parquet(f"{home}/nodes/step=0")
+    while True:
+        frontier = spark.read.schema(schema).parquet(f"{home}/nodes/step={step}")
+        if not frontier.take(1):
+            return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{home}/nodes")
+        seen = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{home}/nodes")
+        new = frontier.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
+        step += 1
+        new.write.parquet(f"{home}/nodes/step={step}")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it; a local master, whose executors are one process, has
+    one of its own where none is named."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="lexquarry-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(found)
+    return found
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or "/tmp/lexquarry-checkpoints")
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 class SlotStore:
-    """Two slots and a pointer in one folder: a candidate is written and read back before it becomes the active one."""
+    """Two slots and a pointer in one folder: a candidate is written and read back before it becomes the active one.
+
+    The pointer is a row of numbered files, of which the last one counts; a new state is a new file, renamed into its
+    place, so that a crash at any time leaves the state before or behind it.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -60,42 +88,59 @@ class SlotStore:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _pointers(self) -> list[int]:
+        fs, p = self._fs(self.path)
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"pointer-([0-9]+)[.]json", n)))
+
     def _pointer(self) -> dict:
-        fs, p = self._fs(f"{self.path}/pointer.json")
-        if not fs.exists(p):
-            return {}
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/pointer.json").collect()))
+        known = self._pointers()
+        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/pointer-{known[-1]:09d}.json").collect())) if known else {}
 
     def _point(self, state: dict) -> None:
-        fs, p = self._fs(f"{self.path}/pointer.json.new")
+        known = self._pointers()
+        name = f"{self.path}/pointer-{(known[-1] if known else 0) + 1:09d}.json"
+        fs, p = self._fs(f"{name}.new")
         out = fs.create(p, True)
         out.write(bytearray(json.dumps(state), "utf-8"))
         out.close()
-        _, target = self._fs(f"{self.path}/pointer.json")
-        fs.delete(target, False)
-        if not fs.rename(p, target):
-            raise OSError("the pointer could not be moved")
+        if not fs.rename(p, self._fs(name)[1]):
+            raise OSError("the pointer could not be written")
+        for k in known[:-1]:  # the state before stays
+            fs.delete(self._fs(f"{self.path}/pointer-{k:09d}.json")[1], False)
 
     def read(self) -> DataFrame | None:
         active = self._pointer().get("active")
         return self.spark.read.parquet(f"{self.path}/{active}") if active else None
 
+    @staticmethod
+    def _sum(rows: DataFrame, columns: list[str]) -> list:
+        """Number and hash sum of the rows, in any order: what tells a damaged copy."""
+        own = F.xxhash64(*[F.to_json(F.struct(c)) if t.startswith(("map", "struct", "array")) else F.col(c) for c, t in rows.select(*columns).dtypes])
+        r = rows.agg(F.count("*"), F.sum(own.cast("decimal(38,0)"))).first()
+        return [int(r[0]), str(r[1])]
+
     def write_candidate(self, rows: DataFrame) -> str:
         """Into the slot that isn't active; what is read back has to be what was written."""
-        slot = "b" if self._pointer().get("active") == "a" else "a"
+        state = self._pointer()
+        slot = "b" if state.get("active") == "a" else "a"
         rows = _kept(rows)
         rows.write.mode("overwrite").parquet(f"{self.path}/{slot}")
-        back = self.spark.read.parquet(f"{self.path}/{slot}").select(*rows.columns)
-        if rows.exceptAll(back).take(1) or back.exceptAll(rows).take(1):
+        wanted = self._sum(rows, rows.columns)
+        if self._sum(self.spark.read.parquet(f"{self.path}/{slot}"), rows.columns) != wanted:
             raise ValueError("the candidate differs from what was written")
-        self._point(self._pointer() | {"candidate": slot})
+        self._point(state | {"candidate": slot, "sum": wanted, "columns": rows.columns})
         return slot
 
     def activate(self) -> None:
+        """The candidate becomes the active one if it still is what was written."""
         state = self._pointer()
-        if not state.get("candidate"):
+        slot = state.get("candidate")
+        if not slot:
             raise ValueError("there is no candidate")
-        self._point({"active": state["candidate"]})
+        if self._sum(self.spark.read.parquet(f"{self.path}/{slot}"), state["columns"]) != state["sum"]:
+            raise ValueError("the candidate changed since it was written")
+        self._point({"active": slot})
 
     def discard(self) -> None:
         """Never touches the active slot."""
@@ -104,4 +149,4 @@ class SlotStore:
         if slot and slot != state.get("active"):
             fs, p = self._fs(f"{self.path}/{slot}")
             fs.delete(p, True)
-        self._point({k: v for k, v in state.items() if k != "candidate"})
+        self._point({k: v for k, v in state.items() if k not in ("candidate", "sum", "columns")})

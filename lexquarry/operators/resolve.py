@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 def resolve_alias(refs: DataFrame, code_col: str, acts: DataFrame) -> DataFrame:
     """refs with canonical (the act whose alias, in any case, the code is; else the code itself) and curated.
 
-    acts: canonical, aliases. Equal aliases of two acts are an error of the table and raise.
+    acts: canonical, aliases. A code that is an alias of several acts has neither act: canonical is null, curated
+    false. Every row of refs comes out once.
     """
-    alias = acts.select(F.col("canonical").alias("_canonical"), F.explode("aliases").alias("_a")).select("_canonical", F.upper(F.trim("_a")).alias("_alias")).distinct()
-    joined = refs.join(alias, F.upper(F.trim(F.col(code_col))) == F.col("_alias"), "left")
-    return joined.select(*refs.columns, F.coalesce("_canonical", F.upper(F.trim(F.col(code_col)))).alias("canonical"), F.col("_canonical").isNotNull().alias("curated"))
+    alias = acts.select("canonical", F.explode("aliases").alias("a")).select("canonical", F.upper(F.trim("a")).alias("a"))
+    alias = alias.groupBy("a").agg(F.min("canonical").alias("low"), F.max("canonical").alias("high")).select(F.struct("a", "low", (F.col("low") == F.col("high")).alias("one")).alias("_alias"))
+    code = F.upper(F.trim(F.col(code_col)))
+    joined = refs.join(alias, code == F.col("_alias.a"), "left")
+    canonical = F.when(F.col("_alias").isNull(), code).when(F.col("_alias.one"), F.col("_alias.low"))
+    return joined.select(*[refs[c] for c in refs.columns], canonical.alias("canonical"), F.coalesce(F.col("_alias.one"), F.lit(False)).alias("curated"))
 
 
 def unique_titles(entries: DataFrame, title_col: str, id_col: str) -> DataFrame:
@@ -25,3 +29,30 @@ def unique_titles(entries: DataFrame, title_col: str, id_col: str) -> DataFrame:
 def first_by_priority(rows: DataFrame, keys: list[str], priority: str, payload: list[str]) -> DataFrame:
     """For each key the payload of the lowest priority that has one (its first column is not null)."""
     return rows.where(F.col(payload[0]).isNotNull()).groupBy(*keys).agg(F.min_by(F.struct(*payload, priority), F.col(priority)).alias("_x")).select(*keys, *[F.col(f"_x.{c}").alias(c) for c in payload], F.col(f"_x.{priority}").alias(priority))
+
+
+def title_citations(refs: DataFrame, text_col: str, titles: DataFrame, markers: list[str]) -> DataFrame:
+    """refs with section and title_id: citations of an article of an act by its official title.
+
+    titles: title, id, as unique_titles makes them. The text is a marker (`Article`, `Artikel`, in any case, a dot or none), the
+    article, and the whole title. Null where it has another form, or nobody or several have the title.
+    """
+    words = "|".join(sorted((m.replace(".", "[.]") for m in markers), key=len, reverse=True))
+    pattern = rf"(?iu)\A\s*(?:{words})[.]?\s*([0-9]+[a-z]?)\s+(\S.*?)\s*\z"
+    text = F.col(text_col)
+    title = F.when(text.rlike(pattern), F.regexp_replace(F.lower(F.regexp_extract(text, pattern, 2)), r"\s+", " "))
+    known = titles.select(F.struct("title", "id").alias("_t"))
+    out = refs.withColumn("_title", title).join(known, F.col("_title") == F.col("_t.title"), "left")
+    section = F.when(F.col("_t").isNotNull(), F.regexp_extract(text, pattern, 1))
+    return out.select(*refs.columns, section.alias("section"), F.col("_t.id").alias("title_id"))
+
+
+def exact_abbreviation(refs: DataFrame, code_col: str, results: DataFrame) -> DataFrame:
+    """ref_id, and of its results the first, in their order, whose abbreviation is the code in any case.
+
+    results: ref_id, ordinal, abbreviation, and whatever is to be taken over.
+    """
+    rest = [c for c in results.columns if c not in ("ref_id", "ordinal")]
+    same = results.join(refs.select("ref_id", F.upper(F.col(code_col)).alias("_code")), "ref_id").where(F.upper("abbreviation") == F.col("_code"))
+    best = same.groupBy("ref_id").agg(F.min_by(F.struct(*rest), "ordinal").alias("_x"))
+    return best.select("ref_id", *[F.col(f"_x.{c}").alias(c) for c in rest])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import catalogs, citations, extract, present
-from ..operators import index, resolve, search, temporal
+from ..operators import index, lookup, resolve, search, temporal
 from ..sources import payloads
 from ..streaming import sync
 
@@ -195,7 +195,7 @@ def sameas_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     null = F.lit(None).cast("string")
     key = present.cache_key(F.concat(F.lit("u"), F.col("user_id").cast("string")), (F.col("event_id") % 9).cast("string"), F.when(F.col("event_id") % 2 == 0, "article"), null, null, null, null, null)
-    return _table(spark, sf_dir, "events").select("event_id", key.alias("cache_key"), (F.col("ts") + F.expr("interval 7 days") >= F.to_timestamp(F.lit("2024-01-20 00:00:00"))).alias("fresh"))
+    return _table(spark, sf_dir, "events").select("event_id", key.alias("cache_key"), lookup.fresh(F.col("ts").cast("string"), F.to_timestamp(F.lit("2024-01-20 00:00:00")), 7).alias("fresh"))
 
 
 @_query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -205,37 +205,66 @@ def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.last_of_sessions(_table(spark, sf_dir, "events"), "user_id", "ts", "6 hours", "event_id").drop("session_end")
 
 
-def _page_sql(silent: str, ends: str, tag: str, entities: list[tuple[str, str]], br: bool, comments: bool) -> str:
-    out = "html"
+#: White space of all scripts, and what is put into every page: references, a quote, tags.
+_SQL_SPACE = r"[\s\x{a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_PLANTED = ("<p>&#252; &#xE4;&uuml;&Auml;&sect; &amp;lt; &apos;&nope; &nbsp;x &#1114112; &AMP;</p><blockquote>n<br>o</blockquote><p> A  <b>b</b>&#", ";</p>")
+_NORM = '<div class="x jnhtml"><div class="jurAbsatz">(1) Wer &uuml;ber <div>&sect;</div></div><p>no</p><div class="jurAbsatz">(2) b<br/>c</div></div>'
+
+
+def _page_sql(silent: str, ends: str, tag: str, names: dict[str, str], *, br: bool = True, comments: bool = False, body: bool = False, lines: bool = True, first: bool = False, any_case: bool = False, boe: bool = False, norm: bool = False) -> str:
+    page = f"('<html><head><title>t</title></head><body class=\"b\">{_PLANTED[0]}' || CAST(1000 + page_id AS VARCHAR) || '{_PLANTED[1]}' || html || '</body><p>behind</p>')"
+    key = "lower(t)" if any_case else "t"
+    named = " ".join(f"WHEN {key} = '&{k};' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in names.items())
+    hexa, deci = "TRY_CAST('0x' || substr(t, 4, length(t) - 4) AS INT)", "TRY_CAST(substr(t, 3, length(t) - 3) AS INT)"
+    one = f"CASE WHEN t ILIKE '&#x%' THEN coalesce(CASE WHEN {hexa} <= 1114111 THEN chr({hexa}) END, t) WHEN t LIKE '&#%' THEN coalesce(CASE WHEN {deci} <= 1114111 THEN chr({deci}) END, t) {named} ELSE t END"
+    if boe:  # decimal numbers, then one name after the other
+        one = f"CASE WHEN regexp_full_match(t, '&#[0-9]+;') THEN coalesce(CASE WHEN {deci} <= 1114111 THEN chr({deci}) END, t) ELSE t END"
+    decode = lambda x: f"array_to_string(list_transform(regexp_extract_all({x}, '(?is)&(?:#x[0-9a-f]+|#[0-9]+|[a-z]+);|[^&]+|&'), lambda t: {one}), '')"
+    out = page
     if comments:
         out = f"regexp_replace({out}, '(?s)<!--.*?-->', '', 'g')"
     for s in silent.split():
         out = f"regexp_replace({out}, '(?is)<{s}\\b[^>]*>.*?</{s}\\s*>', '', 'g')"
+    if body:
+        out = f"regexp_extract({out}, '(?is)<body\\b[^>]*>(.*?)</body>', 1)"
+    if first:
+        out = decode(out)
     if br:
-        out = f"regexp_replace({out}, '(?i)<br\\s*/?>', chr(10), 'g')"
+        out = f"regexp_replace({out}, '(?i)<br\\s*/?\\s*>', chr(10), 'g')"
     out = f"regexp_replace(regexp_replace({out}, '(?i)</(?:{ends})\\s*>', chr(10), 'g'), '<[^>]+>', '{tag}', 'g')"
-    for name, value in entities:
-        out = f"replace({out}, '{name}', {value})"
-    lines = f"list_filter(list_transform(string_split({out}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')"
-    return f"SELECT page_id, array_to_string({lines}, chr(10)) AS text FROM pages"
-
-
-_SQL_BASIC = [("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&apos;", "chr(39)")]
+    if not first:
+        out = decode(out)
+    if boe:
+        for k, v in (("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">")):
+            out = f"regexp_replace({out}, '(?i)&{k};', '{v}', 'g')"
+    if lines:
+        text = f"array_to_string(list_filter(list_transform(string_split({out}, chr(10)), lambda x: trim(regexp_replace(x, '{_SQL_SPACE}+', ' ', 'g'))), lambda x: x <> ''), chr(10))"
+    else:
+        text = f"regexp_replace(regexp_replace(regexp_replace({out}, '[ \\t]+', ' ', 'g'), '{_SQL_SPACE}*\\n{_SQL_SPACE}*', chr(10), 'g'), '^{_SQL_SPACE}+|{_SQL_SPACE}+$', '', 'g')"
+    if norm:
+        text = f"CASE WHEN page_id % 2 = 1 THEN '(1) Wer über &sect;' || chr(10) || '(2) b' || chr(10) || 'c' ELSE {text} END"
+    return f"SELECT page_id, {text} AS text FROM pages"
 
 
 def _page_text(source: str):
     def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _table(spark, sf_dir, "pages").select("page_id", extract.html_text(F.col("html"), source).alias("text"))
+        norm = F.when(F.col("page_id") % 2 == 1, _NORM).otherwise("") if source == "gii" else F.lit("")
+        page = F.concat(F.lit('<html><head><title>t</title></head><body class="b">' + _PLANTED[0]), (F.col("page_id") + 1000).cast("string"), F.lit(_PLANTED[1]), norm, "html", F.lit("</body><p>behind</p>"))
+        return _table(spark, sf_dir, "pages").select("page_id", extract.html_text(page, source).alias("text"))
 
     page_text.__name__ = f"page_text_{source}"
     return page_text
 
 
-_query(_page_sql("script style", "div|p|h[1-6]|li|tr|section|article", "", [*_SQL_BASIC, ("&nbsp;", "' '"), ("&amp;", "'&'")], True, False))(_page_text("normattiva"))
-_query(_page_sql("script style nav", "p|div|li|br|tr|h[0-9]", " ", [*_SQL_BASIC, ("&amp;", "'&'")], False, True))(_page_text("eurlex"))
-_query(_page_sql("", "p|tr|td|th|div|li", "", [("&nbsp;", "' '"), ("&amp;", "'&'"), ("&lt;", "'<'"), ("&gt;", "'>'")], True, False))(_page_text("boe"))
-for _source in ("neuris", "gii", "fedlex"):
-    _query()(_page_text(_source))
+_SQL_BASIC = {"amp": "&", "lt": "<", "gt": ">", "quot": '"'}
+_SQL_GERMAN = _SQL_BASIC | {"nbsp": " ", "szlig": "ß", "auml": "ä", "Auml": "Ä", "ouml": "ö", "Ouml": "Ö", "uuml": "ü", "Uuml": "Ü"}
+_SQL_ITALIAN = _SQL_BASIC | {"apos": "'", "nbsp": " ", "agrave": "à", "egrave": "è", "igrave": "ì", "ograve": "ò", "ugrave": "ù", "eacute": "é", "ocirc": "ô"}
+_query(_page_sql("", "h[1-6]|p|div|section|li|dt|dd|ol|ul", " ", _SQL_GERMAN, body=True, lines=False))(_page_text("neuris"))
+_query(_page_sql("script style", "h[1-6]|p|div|li|dt|dd|dl", " ", _SQL_GERMAN, comments=True, body=True, lines=False, norm=True))(_page_text("gii"))
+_query(_page_sql("script style nav", "p|div|li|br|tr|h[0-9]", " ", _SQL_BASIC | {"apos": "'"}, br=False, comments=True, any_case=True))(_page_text("eurlex"))
+_query(_page_sql("script style noscript", "h[1-6]|p|div|section|li|dd|dl|ol|ul|tr|table", "", _SQL_GERMAN | {"apos": "'", "sect": "§"}, comments=True, lines=False, first=True))(_page_text("fedlex"))
+_query(_page_sql("blockquote", "p|tr|td|th|div|li", "", {}, boe=True))(_page_text("boe"))
+_query(_page_sql("script style", "div|p|h[1-6]|li|tr|section|article", "", _SQL_ITALIAN, any_case=True))(_page_text("normattiva"))
 
 
 @_query("""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host,
@@ -258,8 +287,7 @@ def json_field_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT user_id, event_type, arg_max(event_id, ts) AS event_id, arg_max(value, ts) AS value FROM events GROUP BY 1, 2")
 def streaming_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a file stream, merged into a two-slot index: what index_upsert makes in a batch."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/lexquarry-checkpoints"
-    home = f"{folder}/streams/{uuid.uuid4().hex}"
+    home = f"{index.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
     # the table is a file or a folder of files, among other tables
     events = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parque[t]").select("user_id", "event_type", "ts", "event_id", "value")
@@ -282,7 +310,8 @@ def citation_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("r.eu_celex").alias("celex"), F.col("r.eu_document_type").alias("document_type")).agg(F.count("*").alias("n_orders"))
 
 
-@_query()
+@_query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 THEN 'contract' WHEN o_orderkey % 5 = 3 THEN 'ok' ELSE 'not-found' END AS status,
+                  CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 5 = 3 THEN o_orderpriority END AS text FROM orders""")
 def strict_xml_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles of composed documents, of which some are broken or of another identity."""
     orders = _table(spark, sf_dir, "orders")

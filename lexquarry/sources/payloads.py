@@ -79,23 +79,29 @@ def tree_text(node: ET.Element) -> str:
     return " ".join(" ".join([own, *[tree_text(c) for c in node]]).split())
 
 
-def _finlex(xml: str, code: str, section: str, language: str | None) -> tuple[str, str]:
-    asked = re.fullmatch(r"([1-9][0-9]{0,5})/((?!0000)[0-9]{4})", code or "")
-    if not asked:
-        raise Missing("no such code")
-    root, language = ET.fromstring(xml), language or "fin"
+def _finlex_identity(root: ET.Element, number: str, year: str, language: str) -> str:
+    """The title of a document that is in all respects the one that was asked for."""
     work, expression = _only(_named(root, "FRBRWork"), "work"), _only(_named(root, "FRBRExpression"), "expression")
     value = lambda node, name, key="value": _attribute(_only(_named(node, name), name), key)
-    base = f"/akn/fi/act/statute-consolidated/{asked[2]}/{asked[1]}"
+    base = f"/akn/fi/act/statute-consolidated/{year}/{number}"
     facts = {
         "work": value(work, "FRBRuri") == base, "expression": re.fullmatch(re.escape(base) + rf"/{re.escape(language)}@[0-9A-Za-z]*", value(expression, "FRBRuri")) is not None, "country": value(work, "FRBRcountry").lower() == "fi",
-        "subtype": value(work, "FRBRsubtype") == "statute-consolidated", "number": value(work, "FRBRnumber") == asked[1], "language": language in ("fin", "swe") and value(expression, "FRBRlanguage", "language").lower() == language, "authority": value(work, "FRBRauthoritative") == "false",
+        "subtype": value(work, "FRBRsubtype") == "statute-consolidated", "number": value(work, "FRBRnumber") == number, "language": language in ("fin", "swe") and value(expression, "FRBRlanguage", "language").lower() == language, "authority": value(work, "FRBRauthoritative") == "false",
     }
     if wrong := [k for k, ok in facts.items() if not ok]:
         raise Contract("not the same " + ", ".join(wrong))
     title = tree_text(_only(_named(root, "docTitle"), "title"))
     if not title:
         raise Contract("title is missing")
+    return title
+
+
+def _finlex(xml: str, code: str, section: str, language: str | None) -> tuple[str, str]:
+    asked = re.fullmatch(r"([1-9][0-9]{0,5})/((?!0000)[0-9]{4})", code or "")
+    if not asked:
+        raise Missing("no such code")
+    root = ET.fromstring(xml)
+    title = _finlex_identity(root, asked[1], asked[2], language or "fin")
     number = lambda s: [tree_text(c) for c in s if _local(c.tag) == "num"]
     found = [s for s in _named(root, "section") if number(s) == [f"{section} §"]]
     if len(found) != 1:
