@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import math
 import tempfile
+import time
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +51,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """As cut, as a Parquet table: column pruning and filters reach the later scans."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -64,9 +67,14 @@ def discard(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of steps that are over: Spark deletes them when the driver's garbage is collected,
-    which in a long job may be much later than needed."""
+    which in a long job may be much later than needed. What has just ended is still known to Spark's listeners for a
+    moment, so they are waited for."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with contextlib.suppress(Py4JError):  # a wait for tidying up that takes too long is none of the caller's business
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def remainder(doc_id: Column, n: int) -> Column:
