@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,22 +37,48 @@ _CONTAINERS = frozenset("article main section div td body html center".split())
 LINKED = 0.3
 
 
+_INLINE = frozenset("p b i em strong span a h1 h2 h3 h4 h5 h6 ul ol li blockquote pre font u small code".split())
+
+
 class _Node:
-    __slots__ = ("bad", "begin", "end", "links", "name", "own", "parent", "path", "score_base", "text", "whole")
+    """An element. Sizes of texts are added to the nearest element that counts them, and to parents as elements close."""
 
-    def __init__(self, name: str, path: str, bad: bool, begin: int, base: float, parent: _Node | None = None):
-        self.name, self.path, self.bad, self.begin, self.score_base, self.parent = name, path, bad, begin, base, parent
+    __slots__ = ("article", "bad", "begin", "counts", "end", "fits", "holder", "label", "linked", "links", "name", "own", "parent", "score_base", "text", "whole")
+
+    def __init__(self, name: str, label: str, bad: bool, begin: int, base: float, parent: _Node | None, fits: int):
+        self.name, self.label, self.bad, self.begin, self.score_base, self.parent = name, label, bad, begin, base, parent
         self.end, self.text, self.links, self.own, self.whole = -1, 0, 0, 0, 0
+        #: how many labels of the wanted path it and those around it are, -1 if they differ
+        self.fits = fits
+        self.linked = name == "a" or parent is not None and parent.linked
+        self.article = name in ("article", "main") or parent is not None and parent.article
+        self.counts = self if parent is None or name not in _INLINE else parent.counts
+        self.holder = self if self.holds_articles() else parent.holder if parent is not None else None
 
     def holds_articles(self) -> bool:
         """Whether the element says that it is an article or what articles are in."""
         return self.score_base > 0 and self.name in _CONTAINERS and self.name not in ("html", "body")
 
+    @property
+    def path(self) -> str:
+        """The labels from the root on; made where it is asked for, so that deep pages need no long strings."""
+        labels, x = [], self
+        while x is not None and x.parent is not None:
+            labels.append(x.label)
+            x = x.parent
+        return "".join(f"/{label}" for label in reversed(labels))
+
 
-def parse(page: str) -> tuple[list[_Node], list[tuple[int, str, bool]]]:
-    """The elements in page order, and the pieces: (offset, text or "" for a block's edge, whether it may count)."""
-    nodes: list[_Node] = [_Node("", "", False, 0, 0.0)]
+def parse(page: str, wanted: str | None = None) -> tuple[list[_Node], list[tuple[int, str, bool]]]:
+    """The elements in page order, and the pieces: (offset, text or "" for a block's edge, whether it may count).
+
+    Each text and tag takes a time that doesn't grow with the depth of the page. wanted is a path whose elements are
+    told by fits.
+    """
+    target = wanted.split("/")[1:] if wanted else []
+    nodes: list[_Node] = [_Node("", "", False, 0, 0.0, None, 0)]
     open_: list[_Node] = [nodes[0]]
+    opened: Counter[str] = Counter()
     pieces: list[tuple[int, str, bool]] = []
     at, n = 0, len(page)
 
@@ -59,28 +86,25 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str, bool]]]:
         raw = page[begin:end]
         if raw and not raw.isspace():
             top = open_[-1]
-            good = not top.bad
-            pieces.append((begin, raw, good))
-            if good:
-                linked = any(x.name == "a" for x in open_[-4:])
+            pieces.append((begin, raw, not top.bad))
+            if not top.bad:
                 size = len(raw)
-                for x in open_:
-                    x.text += size
-                    x.links += size if linked else 0
-                for x in reversed(open_):
-                    if x.name not in ("p", "b", "i", "em", "strong", "span", "a", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "blockquote", "pre", "font", "u", "small", "code"):
-                        x.own += size
-                        break
-                for x in reversed(open_):
-                    if x.score_base and x.holds_articles():
-                        x.whole += 0 if linked else size
-                        break
+                top.text += size
+                top.links += size if top.linked else 0
+                top.counts.own += size
+                if top.holder is not None and not top.linked:
+                    top.holder.whole += size
         elif raw:
             pieces.append((begin, " ", not open_[-1].bad))
 
     def close(upto: int, end: int) -> None:
         while len(open_) > upto:
-            open_.pop().end = end
+            x = open_.pop()
+            x.end = end
+            opened[x.name] -= 1
+            if x.parent is not None:
+                x.parent.text += x.text
+                x.parent.links += x.links
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -95,7 +119,7 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str, bool]]]:
                 text(m.start() + 9, m.end() - 3)
             continue
         if m[1]:  # an end tag closes its element and all within; one without a start means nothing but a block's edge
-            for k in range(len(open_) - 1, 0, -1):
+            for k in range(len(open_) - 1, 0, -1) if opened[name] > 0 else ():
                 if open_[k].name == name:
                     close(k, m.start())
                     break
@@ -108,31 +132,35 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str, bool]]]:
             pieces.append((m.start(), "", True))
         if name in VOID:
             continue
-        if name == "p" or name in BLOCK and open_[-1].name == "p":  # a paragraph ends where the next block starts
+        if (name == "p" or name in BLOCK and open_[-1].name == "p") and opened["p"] > 0:  # a paragraph ends where the next block starts
             for k in range(len(open_) - 1, 0, -1):
                 if open_[k].name == "p":
                     close(k, m.start())
                     break
                 if open_[k].name in BLOCK:
                     break
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k].name in _ENDS.get(name, ()):
-                close(k, m.start())
-                break
-            if open_[k].name in ("ul", "ol", "dl", "table", "tbody", "article", "div", "section"):
-                break
+        if any(opened[x] > 0 for x in _ENDS.get(name, ())):
+            for k in range(len(open_) - 1, 0, -1):
+                if open_[k].name in _ENDS[name]:
+                    close(k, m.start())
+                    break
+                if open_[k].name in ("ul", "ol", "dl", "table", "tbody", "article", "div", "section"):
+                    break
         if m[4] == "/" and name not in BLOCK:
             continue
         marks = {k.lower(): entities.unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3] else {}
         said = " ".join(marks.get(k, "") for k in ("class", "id", "role"))
         top = open_[-1]
         bad = top.bad or name in ASIDE or name in SILENT or "hidden" in marks or marks.get("aria-hidden") == "true" or "display:none" in marks.get("style", "").replace(" ", "").lower() or bool(said.strip() and name not in ("html", "body", "article", "main") and NOISE.search(said))
-        if name == "header" and not top.bad and any(x.name in ("article", "main") for x in open_):
+        if name == "header" and not top.bad and top.article:
             bad = bool(NOISE.search(marks.get("class", "")))  # the heading of the article itself
-        classes = ".".join(sorted({_DIGITS.sub("#", c.lower()) for c in marks.get("class", "").split()}))
-        node = _Node(name, f"{top.path}/{name}" + (f".{classes}" if classes else ""), bad, m.start(), 1.5 * (name in ("article", "main")) + 0.6 * bool(GOOD.search(said)), top)
+        classes = ".".join(sorted({_DIGITS.sub("#", c.lower()).replace("/", "#") for c in marks.get("class", "").split()}))
+        label = name + (f".{classes}" if classes else "")
+        fits = top.fits + 1 if 0 <= top.fits < len(target) and target[top.fits] == label else -1
+        node = _Node(name, label, bad, m.start(), 1.5 * (name in ("article", "main")) + 0.6 * bool(GOOD.search(said)), top, fits)
         nodes.append(node)
         open_.append(node)
+        opened[name] += 1
         if name in SILENT:  # raw until the end tag
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             close(len(open_) - 1, end.start() if end else n)
@@ -196,8 +224,8 @@ def blocks(pieces: list[tuple[int, str, bool]], begin: int, end: int) -> list[st
 
 def extract(page: str, path: str | None) -> tuple[str, str]:
     """The main text by the host's path, and the path that was taken ("" if the page has no text)."""
-    nodes, pieces = parse(page)
-    chosen = [x for x in nodes if x.path == path and not x.bad and x.text] if path and path != "/" else []
+    nodes, pieces = parse(page, path if path != "/" else None)
+    chosen = [x for x in nodes if x.fits == path.count("/") and not x.bad and x.text] if path and path != "/" else []
     if not chosen:
         own = best_container(nodes)
         chosen = [own] if own else []
@@ -243,8 +271,9 @@ def extract_main_text(pages: DataFrame, *, url_col: str = "url", html_col: str =
     out = pages.drop("text", "main_path", "n_chars")
     names = out.columns
     # written, so that its size is known: Spark broadcasts it below its threshold and splits hot hosts beyond
-    won = written(host_paths(out, url_col=url_col, html_col=html_col).select(F.col("host").alias("_host"), F.col("path").alias("_path")), "host-paths")
-    joined = out.withColumn("_host", host(F.col(url_col))).join(won, "_host", "left").select(*names, "_path")
+    won = written(host_paths(out, url_col=url_col, html_col=html_col).select(F.struct("host", "path").alias("won")), "host-paths")
+    # the caller's columns stay in a struct, so that none of their names can clash
+    joined = out.select(F.struct(*names).alias("row"), host(F.col(url_col)).alias("host")).join(won, F.col("host") == F.col("won.host"), "left").select("row.*", F.col("won.path"))
     schema = T.StructType([*out.schema.fields, T.StructField("text", T.StringType()), T.StructField("main_path", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 from .common import small_batches, uniform
 from .compression import Compressors, windows
 
-#: Rows of a language that its dictionary is made from at most (about), bytes from each, and bytes of the dictionary.
-TRAINING_ROWS, ROW_BYTES, DICTIONARY_BYTES = 300, 2048, 64 << 10
+#: Rows of a language that its dictionary is made from at most (about), bytes of the window that is drawn from each, at
+#: a place by chance within its whole text, and bytes of the dictionary.
+TRAINING_ROWS, ROW_BYTES, DICTIONARY_BYTES = 160, 512, 64 << 10
 WINDOW_BYTES = 2048
 #: From this zstandard level on matches of few letters are found, which tell related languages apart.
 LEVEL = 9
@@ -77,7 +78,9 @@ def train_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if not counts:
         return LanguageModel({})
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(rows / n))])
-    drawn = own.where(F.col("_u") < share[F.col("_lang")]).select("_lang", "_u", F.substring(F.col("_text").cast("binary"), 1, ROW_BYTES).alias("_text"))
+    raw, at = F.col("_text").cast("binary"), uniform(F.col("_u"), "window")
+    begin = F.floor(at * F.greatest(F.lit(1), F.octet_length(raw) - ROW_BYTES + 1)).cast("int") + 1
+    drawn = own.where(F.col("_u") < share[F.col("_lang")]).select("_lang", "_u", F.substr(raw, begin, F.lit(ROW_BYTES)).alias("_text"))
     samples: dict[str, list[bytes]] = {k: [] for k in counts}
     for r in sorted((r._lang, r._u, bytes(r._text)) for r in drawn.collect()):
         samples[r[0]].append(letters(r[2].decode(errors="ignore")))

@@ -30,3 +30,48 @@ def test_jaccard_join_keeps_every_link(spark, docs):
     assert [got[k].class_id for k in range(8)] == [0, 1, 2, 3, 2, 5, 6, 7]
     assert [got[k].component_id for k in range(8)] == [0, 0, 0, 0, 0, 5, 6, 7]
     assert got[1].n_links == 3
+
+
+def test_every_template_is_found_whole_and_against_brute_force(spark, docs):
+    """A text with each template, one with most of it, one with half: containment by brute force over all windows."""
+    import re
+
+    from lexquarry.llm import licenses
+
+    words = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    names = sorted(licenses.TEMPLATES)
+    filler = " ".join(f"word{i}" for i in range(700))
+    texts = [f"{filler} {licenses.TEMPLATES[n].upper()} {filler}" for n in names]
+    texts += [" ".join(words(licenses.TEMPLATES[n])[len(words(licenses.TEMPLATES[n])) // 2 :]) for n in names] + [texts[0], None, "", filler * 8]
+    got = {(r.doc_id, r.license_id): r.containment for r in licenses.scan_licenses(docs(texts), licenses.template_table(spark)).collect()}
+    sets = {n: grams(words(licenses.TEMPLATES[n])) for n in names}
+    for i, t in enumerate(texts):
+        own = grams(words(t))
+        for n in names:  # the fillers are longer than any window: a template lies in one place at most
+            share = len(sets[n] & own) / len(sets[n])
+            if share >= licenses.THRESHOLD:
+                assert got.pop((i, n)) == pytest.approx(share)
+    assert not got
+
+
+def test_deep_pages_take_time_by_their_length():
+    import time
+
+    from lexquarry.llm import html
+
+    spent = []
+    for n in (4000, 16000):
+        page = "<html><body>" + "<div class=a>x" * n + "</b>" * n
+        began = time.process_time()
+        html.vote(page)
+        spent.append(time.process_time() - began)
+    assert spent[1] < 12 * max(spent[0], 0.02)
+
+
+def test_links_at_any_depth_are_links():
+    from lexquarry.llm import html
+
+    deep = "<a href=x><b><i><u><span><em>" + "menu words here " * 30 + "</em></span></u></i></b></a>"
+    page = f"<html><body><div class=list>{deep}</div><div class=text><p>{'The article itself. ' * 20}</p></div></body></html>"
+    assert html.extract(page, None)[0].startswith("The article itself.")
