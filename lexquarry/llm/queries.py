@@ -85,4 +85,27 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op4_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        s AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT *, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+        f AS (SELECT g, min(doc_id) AS m FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)),
+        hit AS (SELECT doc_id, i FROM s JOIN f USING (g) WHERE m < doc_id),
+        b AS (SELECT d.doc_id, p, substr(h, 2 * p + 1, 2) AS x, hit.i IS NOT NULL AS starts FROM (SELECT *, unnest(range(0, length(h) // 2)) AS p FROM d WHERE doc_id IN (SELECT doc_id FROM hit)) d LEFT JOIN hit ON hit.doc_id = d.doc_id AND hit.i = p),
+        c AS (SELECT *, max(starts) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM b),
+        e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM c),
+        r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(x, '' ORDER BY p) FILTER (NOT gone), '') AS kept FROM e GROUP BY doc_id)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)""",
+    "op9_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS s FROM w),
+        c AS (SELECT s, min(doc_id) AS class_id, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+        t AS (SELECT class_id, n, unnest(s) AS t FROM c),
+        m AS (SELECT t FROM t GROUP BY t HAVING count(*) > 1),
+        v AS (SELECT class_id, n, t FROM t JOIN m USING (t) QUALIFY 100 * count(*) OVER (PARTITION BY class_id) >= 85 * n),
+        e AS (SELECT a.class_id AS a, b.class_id AS b FROM v a JOIN v b ON a.t = b.t AND a.class_id <> b.class_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+              GROUP BY a.class_id, b.class_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        r(a, b) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+        k AS (SELECT a AS class_id, min(b) AS component_id FROM r GROUP BY a), g AS (SELECT a AS class_id, count(*) AS n_links FROM e GROUP BY a)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(component_id, class_id, s.doc_id) AS component_id, coalesce(class_id, s.doc_id) AS class_id, coalesce(n_links, 0) AS n_links
+        FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN k USING (class_id) LEFT JOIN g USING (class_id)""",
 }

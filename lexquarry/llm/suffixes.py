@@ -504,7 +504,7 @@ _MARKED = "order long, key long, text binary, marks binary"
 
 def _mark(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Of each bucket first the blobs, then the texts: those that have one of the hashes, with their places."""
-    wanted: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+    wanted: dict[tuple[int, int], list[np.ndarray]] = {}
     bucket = None
     for batch in batches:
         out = []
@@ -513,18 +513,15 @@ def _mark(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
                 bucket, wanted = b, {}
             if blob.is_valid:
                 short, own, orders, keys, of = _unpack(blob.as_py(), np.uint8, np.uint32, np.int64, np.int64, np.int64)
-                h = _long(short)
                 order = np.argsort(own, kind="stable")
+                h = (_long(short) | np.uint64(int(of[0]) << 40))[order]
                 for d, i, j in _slices(own[order]):
-                    wanted.setdefault((int(orders[d]), int(keys[d])), []).append((int(of[0]), h[order[i:j]]))
+                    wanted.setdefault((int(orders[d]), int(keys[d])), []).append(h[i:j])
             elif found := wanted.pop((twin, k), None):  # the first of equal texts, that of the smallest id
                 text = t.as_py()
                 at, h = anchors(np.frombuffer(text, np.uint8), np.array([len(text)]))
-                full = (h & np.uint64((1 << 40) - 1), _bucket(h, n))
-                keep = np.zeros(len(at), bool)
-                for of, hs in found:
-                    keep |= (full[1] == of) & np.isin(full[0], hs)
-                out.append((o, k, text, at[keep].astype(np.uint32).tobytes()))
+                full = h & np.uint64((1 << 40) - 1) | _bucket(h, n).astype(np.uint64) << np.uint64(40)
+                out.append((o, k, text, at[np.isin(full, np.concatenate(found))].astype(np.uint32).tobytes()))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["order", "key", "text", "marks"])
 
