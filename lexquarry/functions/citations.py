@@ -258,21 +258,34 @@ def parse_citation(text: Column, jurisdiction: Column) -> Column:
     return _in_jurisdiction(clean, jurisdiction, _general(clean), _eu_alias_article(clean))
 
 
-def parse_citations(rows: DataFrame, text_col: str, jurisdiction: Column, out: str = "reference") -> DataFrame:
+def parse_citations(rows: DataFrame, text_col: str, jurisdiction: Column | str, out: str = "reference") -> DataFrame:
     """rows with the reference of each citation. The clean text and what several rules need are columns of their own,
-    made once for each row."""
+    made once for each row. A jurisdiction that is the same for all rows is best given as a text: only its rules are
+    planned then, and for the EU the others wait for the number's."""
     own = rows.columns
-    step = rows.withColumn("_clean", collapsed(F.col(text_col))).withColumn("_jurisdiction", jurisdiction)
+    step = rows.withColumn("_clean", collapsed(F.col(text_col)))
+    if isinstance(jurisdiction, str) and jurisdiction == "EU":
+        step = step.withColumn("_celex", _eu_celex_article(F.col("_clean")))
+        open_ = F.col("_celex").isNull()
+        step = step.withColumns({"_general": F.when(open_, _general(F.col("_clean"))), "_alias": F.when(open_, _eu_alias_article(F.col("_clean")))})
+        named = F.when(open_ & F.col("_alias").isNull(), _eu_named_article(F.col("_clean")))
+        return step.select(*own, F.coalesce("_celex", "_alias", named, _as_eu(F.col("_general"))).alias(out))
+    step = step.withColumn("_jurisdiction", F.lit(jurisdiction) if isinstance(jurisdiction, str) else jurisdiction)
     step = step.withColumns({"_general": _general(F.col("_clean")), "_alias": _eu_alias_article(F.col("_clean"))})
     return step.select(*own, _in_jurisdiction(F.col("_clean"), F.col("_jurisdiction"), F.col("_general"), F.col("_alias")).alias(out))
 
 
+def _as_eu(general: Column) -> Column:
+    """What the general rules found, as an article of an EU act, if no jurisdiction is named and the code is one's alias."""
+    code = celex_of_alias(general["law_code"])
+    return F.when(general["jurisdiction"].isNotNull(), general).when((general["reference_type"] == "article") & code.isNotNull(), _eu_reference(code, general["section"]))
+
+
 def _in_jurisdiction(clean: Column, jurisdiction: Column, general: Column, alias: Column) -> Column:
     none_yet = general["jurisdiction"].isNull()
     eu_code = celex_of_alias(general["law_code"])
     swiss = (general["reference_type"] == "article") & general["law_code"].isin(SWISS_CODES)
     as_swiss = F.when(~none_yet, general).when(swiss, _with(general, jurisdiction=F.lit("CH")))
-    as_eu = F.when(~none_yet, general).when((general["reference_type"] == "article") & eu_code.isNotNull(), _eu_reference(eu_code, general["section"]))
     a, b = rf"(?iu)\A{MARKER} ?({SECTION}) ({CODE})\z", rf"(?iu)\A({CODE}) {MARKER} ?({SECTION})\z"
     take = lambda p, i: F.regexp_extract(clean, p, i)
     swiss_article = _first_of(
@@ -285,7 +298,7 @@ def _in_jurisdiction(clean: Column, jurisdiction: Column, general: Column, alias
         .when(jurisdiction == "IT", _italian(clean))
         .when(jurisdiction == "ES", _spanish(clean))
         .when(jurisdiction == "FI", _finnish(clean))
-        .when(jurisdiction == "EU", F.coalesce(_eu_celex_article(clean), alias, _eu_named_article(clean), as_eu))
+        .when(jurisdiction == "EU", F.coalesce(_eu_celex_article(clean), alias, _eu_named_article(clean), _as_eu(general)))
         .when(foreign, _nothing())
         .when(jurisdiction == "AT", F.when(general.isNotNull(), F.when(none_yet, _with(general, jurisdiction=F.lit("AT"))).otherwise(general)).otherwise(_general(F.concat(F.lit("AT "), clean))))
         .when(jurisdiction == "CH", F.when(general.isNotNull(), as_swiss).otherwise(swiss_article))

@@ -63,7 +63,7 @@ def celex_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def citation_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations by CELEX number, parsed and resolved to acts, counted by document type."""
     rows = _celex_of_orders(_table(spark, sf_dir, "orders")).select(F.concat(F.lit("Art. 5 CELEX "), "celex").alias("citation"))
-    parsed = citations.parse_citations(rows, "citation", F.lit("EU"), "r")
+    parsed = citations.parse_citations(rows, "citation", "EU", "r")
     return parsed.groupBy(F.col("r.eu_document_type").alias("document_type")).agg(F.count("*").alias("n_citations"), F.countDistinct("r.eu_celex").alias("n_acts"))
 
 
@@ -306,7 +306,7 @@ def citation_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders")
     cited = orders.join(table, (F.floor(orders["o_orderkey"] / 3) % len(catalogs.CITATION_WORDS) == table["i"]) & (orders["o_orderkey"] % 3 == table["rest"]))
     texts = cited.select(F.concat_ws(" ", "mark", (F.col("o_orderkey") % 90 + 1).cast("string"), "act").alias("t"))
-    rows = citations.parse_citations(texts, "t", F.lit("EU"), "r")
+    rows = citations.parse_citations(texts, "t", "EU", "r")
     return rows.groupBy(F.col("r.eu_celex").alias("celex"), F.col("r.eu_document_type").alias("document_type")).agg(F.count("*").alias("n_orders"))
 
 
