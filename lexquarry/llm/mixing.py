@@ -16,6 +16,8 @@ from .common import discard, uniform, written
 DIMENSIONS = ("source", "lang", "topic")
 #: The relative error of the margins that is good enough, and rounds without a better one after which it won't fall.
 TOLERANCE, PATIENCE = 1e-3, 5
+#: How many times its own share of the tokens a default target may be.
+LIFT = 8.0
 
 
 def n_tokens(text: Column) -> Column:
@@ -31,12 +33,24 @@ def form_topic(text: Column) -> Column:
     return F.when(bars * 50 > n, "table").when(n < 600, "note").when(n < 4000, "article").otherwise("book")
 
 
-def balanced_targets(cells: DataFrame, dimension: str, power: float = 0.5) -> DataFrame:
-    """value, share: each value's share of the tokens raised to power: large values give way to small ones."""
-    sums = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
-    raised = sums.select("value", F.pow(F.col("tokens").cast("double"), F.lit(power)).alias("share"))
-    total = raised.agg(F.sum("share").alias("total"))
-    return raised.join(F.broadcast(total), F.lit(True)).select("value", (F.col("share") / F.col("total")).alias("share"))
+def balanced_targets(cells: DataFrame, dimension: str, power: float = 0.5, lift: float = LIFT) -> DataFrame:
+    """value, share: each value's share of the tokens raised to power, so that large values give way to small ones, but
+    never over lift times its own share: what that takes from the smallest values goes to the others in proportion.
+
+    The margins of a sample without repeats are met only as far as the rarest value's documents go. Without the limit
+    one short document that is alone in its topic would make the whole sample as small as itself, the more so the more
+    documents there are. Rounds take the values over their limit out until no other one passes it: two sums each.
+    """
+    sums = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").cast("double").alias("tokens")).where("tokens > 0")
+    total = _total(sums, "tokens") or 1.0
+    raised = written(sums.select("value", F.pow("tokens", F.lit(power)).alias("raised"), (F.col("tokens") * F.lit(max(lift, 1.0) / total)).alias("most")), "targets")
+    factor, limited = 0.0, -1
+    while True:
+        over = F.col("raised") * F.lit(factor) > F.col("most")
+        found = raised.agg(F.sum(F.when(over, F.col("most"))).alias("held"), F.sum(F.when(~over, F.col("raised"))).alias("free"), F.count_if(over).alias("limited")).first()
+        if found.limited == limited or not found.free:  # the limits only take values out, so the rounds end
+            return raised.select("value", F.least(F.col("raised") * F.lit(factor), F.col("most")).alias("share"))
+        factor, limited = (1 - (found.held or 0.0)) / found.free, found.limited
 
 
 def _total(df: DataFrame, column: str) -> float:
@@ -94,7 +108,8 @@ def mixing_weights(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     keep is the share of all tokens that the sample is to have at most: the factor of a cell is its raked share over
     its share of the tokens, a probability keep times that. Where the largest factor would pass 1 by that, all cells
     have the same smaller constant in place of keep, 1 over the largest factor: no probability is cut off, the margins
-    of probability times tokens stay the targets, and the cell that needs it most is kept whole. Null sources and
+    of probability times tokens stay the targets, and the cell that needs it most is kept whole. Targets that are given
+    are taken as they are; the default ones are balanced_targets, whose lift is limited. Null sources and
     languages are values of their own. A document without tokens has the probability of its cell, 0 if the whole cell
     has no tokens. counted says that docs has topic and n_tokens, by measured(), and needs no text.
     """

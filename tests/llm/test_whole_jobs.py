@@ -18,6 +18,24 @@ def test_sample_has_the_targets(spark):
         assert sum(r.probability * r.n_tokens for r in got if r.source == v) / total == pytest.approx(share)
 
 
+def test_default_targets_by_definition(spark):
+    for sums in ({"a": 900_000, "b": 90_000, None: 9_000, "d": 900, "e": 90, "f": 0}, {"a": 400, "b": 100}, {"a": 7}, {}):
+        df = spark.createDataFrame([("s", "en", v, n) for v, n in sums.items()], "source string, lang string, topic string, tokens long")
+        got = {r.value: r.share for r in mixing.balanced_targets(df, "topic").collect()}
+        own = {v: n / sum(sums.values()) for v, n in sums.items() if n}
+        low, high = 0.0, 1e9  # brute force: halve the interval of the one factor with which the limited shares sum to 1
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(mid * x**0.5, mixing.LIFT * x) for x in own.values()) < 1 else (low, mid)
+        assert got == {v: pytest.approx(min(high * x**0.5, mixing.LIFT * x)) for v, x in own.items()}
+
+
+def test_one_odd_document_does_not_shrink_the_sample(spark):
+    rows = [(i, "word " * 700, "s", "en") for i in range(2000)] + [(2000, "| a | b |", "s", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    assert mixing.mix(docs).count() > 0.8 * 2001 / mixing.LIFT
+
+
 def test_jaccard_join_keeps_every_link(spark, docs):
     words = [f"w{i}" for i in range(120)]
     near = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in (0, 40, 80)]  # any two are similar
