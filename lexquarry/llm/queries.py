@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, html, jaccard, language, licenses, mixing, quality, suffixes, toxicity
+from . import decontaminate, fingerprint, html, jaccard, language, licenses, merkle, mixing, quality, ranking, secrets, suffixes, toxicity
 from .common import remainder, table, written
 
 
@@ -66,12 +66,67 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_benchmark_decontamination, op3_quality_classifier, op4_suffix_dedup, op5_toxicity, op6_source_mixing, op7_html_extraction, op8_language_id, op9_jaccard_join, op10_fingerprints)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_benchmark_decontamination, op3_quality_classifier, op4_suffix_dedup, op5_toxicity, op6_source_mixing, op7_html_extraction, op8_language_id, op9_jaccard_join, op10_fingerprints, op11_merkle_manifest, op12_ranked_search, op13_secret_scan)}
 
 #: The letters that are folded, and what separates words.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _merkle_sql() -> str:
+    """Trees of at most 16**6 leaves: each level is a query of its own, and so is each step of a proof."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    leaf = lambda text: "sha256(" + " || ".join(f"coalesce(strlen(CAST({e} AS VARCHAR)) || ':' || CAST({e} AS VARCHAR), '-')" for e in (*fields[:-1], text)) + ")"
+    bits = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"  # a byte, and eight shifts
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295, {bits}), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"
+    sql = [f"l AS MATERIALIZED (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(_LOWER.format('text'))} ELSE {leaf('text')} END AS f, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS p FROM documents)"]
+    sql.append("a0 AS (SELECT source, p, leaf AS h, count(*) OVER (PARTITION BY source) AS m FROM l)")
+
+    def tree(a: str, g: str, levels: int) -> None:
+        for k in range(1, levels + 1):
+            sql.append(f"{a}r{k} AS MATERIALIZED (SELECT {g}, p // 16 AS p, any_value(m) AS m, string_agg(h, '' ORDER BY p) AS run FROM {a}{k - 1} GROUP BY {g}, p // 16)")
+            sql.append(f"{a}{k} AS (SELECT {g}, p, CASE WHEN m > 1 THEN sha256(run) ELSE run END AS h, (m + 15) // 16 AS m FROM {a}r{k})")
+
+    def steps(rows: str, a: str, g: str, levels: int, place: str) -> str:
+        for k in range(1, levels + 1):
+            at, low = f"64 * ({rows}.{place} // {16 ** (k - 1)} % 16)", f"{rows}.{g} IS NOT DISTINCT FROM r.{g} AND r.p = {rows}.{place} // {16**k}"
+            sql.append(f"{a}s{k} AS MATERIALIZED (SELECT {rows}.* REPLACE (CASE WHEN m > 1 THEN sha256(left(run, {at}) || f || substr(run, {at} + 65)) ELSE f END AS f, CASE WHEN m > 1 THEN proof || left(run, {at}) || substr(run, {at} + 65) ELSE proof END AS proof) FROM {rows} JOIN {a}r{k} r ON {low})")
+            rows = f"{a}s{k}"
+        return rows
+
+    tree("a", "source", 6)
+    sql.append("b0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS p, h, count(*) OVER () AS m FROM a6)")
+    tree("b", "g", 6)
+    sql.append("s AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS sp, 0 AS g FROM a6)")
+    sql.append("x AS (SELECT l.*, '' AS proof, subroot, sp, g, b6.h AS root FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source JOIN b6 USING (g))")
+    last = steps(steps("x", "a", "source", 6, "p"), "b", "g", 6, "sp")
+    return f"WITH {', '.join(sql)} SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified FROM {last}"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": _merkle_sql(),
+    "op12_ranked_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+        s AS (SELECT count(*) FILTER (len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
+        f AS (SELECT k, t, count(*) AS tf FROM (SELECT k, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM b) GROUP BY k, t),
+        v AS (SELECT t, CAST(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) AS BIGINT) AS wt FROM f, s GROUP BY t, n),
+        m AS (SELECT k, doc_id, 50 + (50 * CAST(len(w) AS BIGINT) * n) // l AS m FROM d, s WHERE len(w) > 0),
+        r AS (SELECT item_id, k, CAST(sum(wt * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score, any_value(doc_id) AS doc_id FROM b JOIN f USING (t) JOIN v USING (t) JOIN m USING (k) GROUP BY item_id, k)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 50""",
     "op2_benchmark_decontamination": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
