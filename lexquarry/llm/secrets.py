@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,8 @@ from .common import small_batches
 
 #: The dictionary's identifiers and how long they are; the level of compression.
 IDENTIFIERS, SHORTEST, LONGEST, LEVEL = 4096, 4, 24, 9
+#: Groups that the counted identifiers are ranked in.
+GROUPS = 16
 #: Bytes on both sides that a candidate is compressed with, and in which a sensitive word makes it one.
 AROUND, NEAR = 192, 64
 #: A novel candidate adds so many compressed bytes, and so large a share of its own (random strings of 20 characters
@@ -50,7 +52,10 @@ def identifiers(docs: DataFrame, *, text_col: str = "text", most: int = IDENTIFI
     of letters and digits contains is short, so that a key in many copies doesn't make itself known."""
     found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(rf"[A-Za-z]{{{SHORTEST},}}"), F.lit(0)))).alias("w"))
     counted = found.where(F.length("w") <= LONGEST).groupBy("w").count()
-    return [r.w for r in counted.orderBy(F.col("count").desc(), "w").limit(most).collect()]
+    order = [F.col("count").desc(), F.col("w")]
+    # the best of each of GROUPS groups, so that what reaches the driver doesn't grow with the number of tasks
+    best = counted.withColumn("k", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("w"), F.lit(GROUPS))).orderBy(*order))).where(F.col("k") <= most)
+    return [r.w for r in best.orderBy(*order).limit(most).collect()]
 
 
 class Novelty:
@@ -71,7 +76,9 @@ class Novelty:
         return len(self._made.compress(piece))
 
     def added(self, text: bytes, start: int, end: int) -> int:
-        before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+        own = text[start:end]  # where it stands a second time it doesn't explain itself
+        before = text[max(0, start - AROUND - len(own)) : start].replace(own, b"")[-AROUND:]
+        after = text[end : end + AROUND + len(own)].replace(own, b"")[:AROUND]
         total = 0
         for at in range(start, end, PIECE):
             piece = text[at : min(end, at + PIECE)]
