@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is made once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _plain() -> tuple[str, str]:
     """By rule: the letters that are one base letter with marks of U+0300 to U+036F."""
     found = {}

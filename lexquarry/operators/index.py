@@ -6,6 +6,7 @@ import json
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,22 +35,24 @@ def page_after(rows: DataFrame, keys: list[str], cursor: tuple | None, limit: in
     return rows.orderBy(*keys).limit(limit)
 
 
-def reachable(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """node: all that undirected edges (a, b) lead to from the seeds (node). Steps until nothing new is found; each
-    step writes its new nodes to the shared folder and rewrites none of the earlier ones."""
+def reachable(seeds: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys and node: all that undirected edges (a, b) lead to from the seeds (node), in each graph for itself: keys
+    name the graph in both tables. Steps until nothing new is found, for all graphs at once; each step writes its new
+    nodes to the shared folder and rewrites none of the earlier ones."""
     spark = seeds.sparkSession
     home = f"{shared_folder(spark)}/reachable-{uuid.uuid4().hex}"
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both.write.parquet(f"{home}/edges")
     both = spark.read.parquet(f"{home}/edges")
-    schema, step = seeds.select("node").schema, 0
-    seeds.select("node").distinct().write.parquet(f"{home}/nodes/step=0")
+    own = [*keys, "node"]
+    schema, step = seeds.select(*own).schema, 0
+    seeds.select(*own).distinct().write.parquet(f"{home}/nodes/step=0")
     while True:
         frontier = spark.read.schema(schema).parquet(f"{home}/nodes/step={step}")
         if not frontier.take(1):
             return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{home}/nodes")
         seen = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{home}/nodes")
-        new = frontier.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
+        new = frontier.join(both.withColumnRenamed("a", "node"), own).select(*keys, F.col("b").alias("node")).distinct().join(seen, own, "left_anti")
         step += 1
         new.write.parquet(f"{home}/nodes/step={step}")
 

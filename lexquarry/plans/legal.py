@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import catalogs, languages, laws, present, text
-from ..operators import acts, resolve, temporal
+from ..operators import acts, resolve, tables, temporal
 from ..sources import boe, discovery
 from .registry import _query, _table
 
@@ -315,28 +315,64 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", present.markdown_section(s).alias("markdown"))
 
 
-@_query("""WITH o AS (SELECT o_orderkey, o_orderkey % 10 AS f, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)
-           SELECT o_orderkey, CASE f WHEN 1 THEN 'not-found' WHEN 2 THEN 'contract' WHEN 3 THEN 'contract' WHEN 4 THEN 'not-found' WHEN 5 THEN 'contract' WHEN 6 THEN 'contract' ELSE 'ok' END AS status,
-                  CASE WHEN f IN (0, 7, 8, 9) THEN 'Texto & más ' || CAST(o_orderkey AS VARCHAR) END AS text, CASE WHEN f IN (0, 7, 8, 9) THEN d END AS valid_from FROM o""")
-def boe_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections from composed answers: the right one, another law, another address, work or version, no such article."""
-    key, f = F.col("o_orderkey"), F.col("o_orderkey") % 10
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    compact = F.date_format("o_orderdate", "yyyyMMdd")
+def _boe_case(orders: DataFrame) -> DataFrame:
+    """ref_id, f and what the composed answers of a Spanish law have in common."""
+    key = F.col("o_orderkey")
     code = F.concat(F.lit("BOE-A-2000-"), (key % 90000).cast("string"))
-    work = F.concat(F.lit("https://www.boe.es/eli/es/l/2000/01/02/"), key.cast("string"))
-    url = F.concat(F.lit("https://www.boe.es/buscar/act.php?id="), code)
-    metadata = F.to_json(F.struct(F.array(F.struct(F.when(f == 1, "BOE-A-1999-1").otherwise(code).alias("identificador"), F.lit("Ley").alias("titulo"), url.alias("url_html_consolidada"), work.alias("url_eli"))).alias("data")))
-    record = F.concat(F.lit('<dl><dt>Permalink ELI:</dt><dd><a href="'), work, F.when(f == 2, "/x").otherwise(""), F.lit('/con">x</a></dd></dl>'))
-    eli = F.concat(
-        F.lit('<response xmlns:rdf="urn:r" xmlns:eli="urn:e"><data><rdf:RDF><eli:LegalResource rdf:about="'), work, F.lit("/con/"), compact, F.lit('"><eli:id_local>'), code, F.lit('</eli:id_local><eli:is_member_of rdf:resource="'),
-        work, F.when(f == 3, "9").otherwise(""), F.lit('"/><eli:version_date>'), day, F.lit("</eli:version_date><eli:is_realized_by><eli:LegalExpression/></eli:is_realized_by></eli:LegalResource></rdf:RDF></data></response>"),
+    return orders.select(
+        key.alias("ref_id"), (key % 20).alias("f"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.date_format("o_orderdate", "yyyyMMdd").alias("compact"), code.alias("code"),
+        F.concat(F.lit("https://www.boe.es/eli/es/l/2000/01/02/"), key.cast("string")).alias("work"), F.concat(F.lit("https://www.boe.es/buscar/act.php?id="), code).alias("url"),
+    )
+
+
+def _eli(case: DataFrame) -> Column:
+    """A description of two versions, the one of the day and one long ago; by f another law, work, language, or day twice."""
+    f, work = F.col("f"), F.col("work")
+    about = lambda day: F.concat(work, F.lit("/con/"), day)
+    def version(day: Column, compact: Column) -> Column:
+        return F.concat(
+            F.lit('<eli:LegalResource rdf:about="'), about(compact), F.lit('"><eli:id_local>'), F.when(f == 3, "BOE-A-1999-1").otherwise(F.col("code")), F.lit('</eli:id_local><eli:version_date>'), day, F.lit('</eli:version_date><eli:is_member_of rdf:resource="'), work, F.when(f == 4, "9").otherwise(""),
+            F.lit('"/><eli:is_realized_by><eli:LegalExpression rdf:about="'), about(compact), F.lit('/spa"><eli:language rdf:resource="http://www.elidata.es/mdr/authority/language/'), F.when(f == 5, "cat").otherwise("spa"), F.lit('"/><eli:realizes rdf:resource="'), about(compact),
+            F.lit('"/></eli:LegalExpression></eli:is_realized_by></eli:LegalResource>'),
+        )
+    own = version(F.col("day"), F.col("compact"))
+    inner = F.concat(F.lit('<eli:LegalResource rdf:about="'), work, F.lit('"><eli:has_member>'), own, F.lit("</eli:has_member><eli:has_member>"), version(F.lit("1980-01-01"), F.lit("19800101")), F.lit("</eli:has_member>"), F.when(f == 6, F.concat(F.lit("<eli:has_member>"), own, F.lit("</eli:has_member>"))).otherwise(""), F.lit("</eli:LegalResource>"))
+    return F.concat(F.lit("<response><data><metadata-eli><rdf:RDF>"), inner, F.when(f == 7, "").otherwise("</rdf:RDF>"), F.lit("</metadata-eli></data></response>"))
+
+
+@_query("""SELECT o_orderkey AS ref_id, CASE WHEN o_orderkey % 20 BETWEEN 3 AND 7 THEN CASE WHEN o_orderkey % 20 IN (3, 4, 5, 6) THEN strftime(o_orderdate, '%Y-%m-%d') END ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day,
+                  o_orderkey % 20 NOT BETWEEN 3 AND 7 AS "right" FROM orders""")
+def eli_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version in force by composed descriptions of works."""
+    case = _boe_case(_table(spark, sf_dir, "orders"))
+    return boe.version_days(case.select("ref_id", "code", "work"), case.select("ref_id", _eli(case).alias("body")), F.lit("2020-01-01"))
+
+
+@_query("""WITH o AS (SELECT o_orderkey, o_orderkey % 20 AS f, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders),
+           s AS (SELECT *, CASE f WHEN 1 THEN 'not-found' WHEN 2 THEN 'contract' WHEN 3 THEN 'contract' WHEN 4 THEN 'contract' WHEN 5 THEN 'contract' WHEN 6 THEN 'contract' WHEN 7 THEN 'contract' WHEN 8 THEN 'not-found' WHEN 9 THEN 'contract'
+                    WHEN 10 THEN 'contract' WHEN 11 THEN 'contract' WHEN 12 THEN 'unavailable' WHEN 13 THEN 'not-found' WHEN 14 THEN 'contract' WHEN 15 THEN 'not-found' ELSE 'ok' END AS status FROM o)
+           SELECT o_orderkey AS ref_id, status, CASE WHEN status = 'ok' THEN 'Artículo 5. Objeto & más.' END AS heading, CASE WHEN status = 'ok' THEN 'Texto <b> ' || CAST(o_orderkey AS VARCHAR) || chr(10) || 'Fin' END AS text, CASE WHEN status = 'ok' THEN d END AS valid_from FROM s""")
+def boe_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections from composed answers: right ones, and by f another law (1), another permanent address (2), another
+    version (3 to 7), no such article (8), an index with one twice (9) or with an article that has no title (10), two
+    versions of a day (11), a failed answer (12), a block that isn't there (13) or is of another article (14), no law (15)."""
+    case = _boe_case(_table(spark, sf_dir, "orders"))
+    f, key = F.col("f"), F.col("ref_id").cast("string")
+    metadata = F.to_json(F.struct(F.array(F.struct(F.when(f == 1, "BOE-A-1999-1").otherwise(F.col("code")).alias("identificador"), F.lit("Ley").alias("titulo"), F.col("url").alias("url_html_consolidada"), F.col("work").alias("url_eli"))).alias("data")))
+    record = F.concat(F.lit('<dl><dt>Rango:</dt><dd>Ley</dd><dt class="x"> Permalink ELI: </dt> <dd><a class="y" href="'), F.col("work"), F.when(f == 2, "/x").otherwise(""), F.lit('/con">x</a></dd></dl>'))
+    entry = lambda i, t: F.struct(F.lit(i).alias("id"), t.alias("titulo"))
+    index = F.to_json(F.struct(F.struct(F.array(entry("no", F.lit("")), entry("a6", F.lit("Disposición adicional primera. Artículo 5")), entry("a5", F.when(f == 8, "Artículo 6").otherwise("Artículo 5. Objeto de la ley.")), F.struct(F.when(f == 9, "a5").otherwise("a7").alias("id"), F.lit("Art. 7").alias("titulo"))).alias("bloque")).alias("data")))
+    version = lambda d, t: F.concat(F.lit('<version id_norma="BOE-A-2000-1" fecha_publicacion="20000101" fecha_vigencia="'), d, F.lit('"><p class="centro articulo">Artículo 5. Objeto &amp; más.</p><p>'), t, F.lit("</p><blockquote><p>Nota</p></blockquote></version>"))
+    block = lambda name, kind, title, inner: F.concat(F.lit(f'<response><data><bloque id="{name}" tipo="'), kind, F.lit('"'), title, F.lit(">"), inner, F.lit("</bloque></data></response>"))
+    own = version(F.col("compact"), F.concat(F.lit("Texto &amp;lt;b&gt;  "), key, F.lit("<br/>Fin")))
+    versions = F.concat(version(F.lit("19000101"), F.lit("viejo")), own, F.when(f == 11, own).otherwise(""), version(F.lit("20990101"), F.lit("futuro")))
+    status = lambda k: F.when((f == 12) & (F.lit(k) == "index"), 500).when((f == 13) & (F.lit(k) == "block"), 404).when((f == 15) & (F.lit(k) == "metadata"), 404).otherwise(200)
+    answer = lambda what, number, body: F.struct(F.lit(what).alias("what"), F.lit(number).cast("string").alias("number"), status(what if number != "no" else "").alias("status"), body.alias("body"))
+    answers = F.array(
+        answer("metadata", None, metadata), answer("record", None, record), answer("eli", None, _eli(case)), answer("index", None, index),
+        answer("block", "no", block("no", F.when(f == 10, "precepto").otherwise("nota_inicial"), F.lit(""), version(F.lit("20000101"), F.lit("x")))),
+        answer("block", "a5", block("a5", F.lit("precepto"), F.when(f == 14, ' titulo="Artículo 6"').otherwise(' titulo="Artículo 5. Objeto"'), versions)),
     )
-    index = F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("no").alias("id"), F.lit("").alias("titulo")), F.struct(F.lit("a5").alias("id"), F.when(f == 4, "Artículo 6").otherwise("Artículo 5.").alias("titulo"))).alias("bloque")).alias("data")))
-    version = lambda d, t: F.concat(F.lit('<version id_norma="BOE-A-2000-1" fecha_publicacion="20000101" fecha_vigencia="'), d, F.lit('"><p class="articulo">Artículo 5.</p><p>'), t, F.lit("</p><blockquote>Nota</blockquote></version>"))
-    block = lambda name, kind, title, inner: F.concat(F.lit(f'<response><data><bloque id="{name}" tipo="'), kind, F.lit(f'"{title}>'), inner, F.lit("</bloque></data></response>"))
-    own = version(compact, F.concat(F.lit("Texto &amp;  más "), key.cast("string")))
-    versions = F.concat(version(F.lit("19000101"), F.lit("viejo")), own, F.when(f == 6, own).otherwise(""), version(F.lit("20990101"), F.lit("futuro")))
-    blocks = F.create_map(F.lit("no"), block("no", F.when(f == 5, "precepto").otherwise("nota_inicial"), "", version(F.lit("20000101"), F.lit("x"))), F.lit("a5"), block("a5", F.lit("precepto"), ' titulo="Artículo 5"', versions))
-    got = _table(spark, sf_dir, "orders").select("o_orderkey", boe.boe_section(metadata, record, eli, index, blocks, F.lower(code), F.lit(" 5 ")).alias("x"))
-    return got.select("o_orderkey", "x.status", "x.text", "x.valid_from")
+    captured = tables.stored(case.select("ref_id", F.explode(answers).alias("a")).select("ref_id", "a.*"), "answers")
+    got = boe.boe_sections(case.select("ref_id", F.lower("code").alias("code"), F.lit(" 5 ").alias("section")), captured, F.lit("2020-01-01"))
+    return got.select("ref_id", "status", "heading", "text", "valid_from")
