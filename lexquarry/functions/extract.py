@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from .citations import SPACE
 from .references import decoded
+from .text import let
 
 
 @dataclass(frozen=True)
@@ -128,3 +129,43 @@ def page_title(page: Column) -> Column:
     """The trimmed content of the first title element; null if there is none."""
     pattern = r"(?is)<title[^>]*>(.*?)</title>"
     return F.when(page.rlike(pattern), F.trim(F.regexp_extract(page, pattern, 1)))
+
+
+def element(page: Column, opening: Column) -> Column:
+    """The first element whose opening tag matches (a pattern for what is inside the tag, behind its name), with its
+    tags, up to where they are balanced; null if there is none or it never ends."""
+    from_start = F.call_function("regexp_extract", page, F.concat(F.lit(r"(?is)(<[\w:-]+\b"), opening, F.lit(r"[^>]*>.*)\z")), F.lit(1))
+    rest = F.when(from_start != "", from_start)
+    return let(rest, _balanced)
+
+
+def _balanced(rest: Column) -> Column:
+    tag = F.concat(F.lit(r"(?i)</?\Q"), F.regexp_extract(rest, r"\A<([\w:-]+)", 1), F.lit(r"\E\b[^>]*>"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("end"))
+
+    def step(s: Column, t: Column) -> Column:
+        depth = s["depth"] + F.when(t.startswith("</"), -1).when(t.endswith("/>"), 0).otherwise(1)
+        seen = s["seen"] + 1
+        return F.struct(depth.alias("depth"), seen.alias("seen"), F.when((s["end"] == 0) & (depth == 0), seen).otherwise(s["end"]).alias("end"))
+
+    def cut(parts: Column) -> Column:
+        joined = F.array_join(F.zip_with(F.slice(parts["tokens"], F.lit(1), parts["end"]), F.slice(parts["pieces"], F.lit(1), parts["end"]), lambda t, p: F.concat(p, t)), "")
+        return F.when(parts["end"] > 0, joined)
+
+    tokens = F.regexp_extract_all(rest, tag, F.lit(0))
+    parts = let(tokens, lambda t: F.struct(t.alias("tokens"), F.split(rest, tag).alias("pieces"), F.aggregate(t, start, step)["end"].alias("end")))
+    return let(parts, cut)
+
+
+def element_by_id(page: Column, value: Column) -> Column:
+    return element(page, F.concat(F.lit(r"[^>]*?\bid\s*=\s*[\"']\Q"), value, F.lit(r"\E[\"']")))
+
+
+def element_by_class(page: Column, name: str) -> Column:
+    return element(page, F.lit(rf"[^>]*?\bclass\s*=\s*[\"'](?:[^\"']*\s)?{re.escape(name)}(?:\s[^\"']*)?[\"']"))
+
+
+def without_class(page: Column, name: str) -> Column:
+    """page without the first element of the class."""
+    cut = lambda p: let(element_by_class(p, name), lambda e: F.when(e.isNull(), p).otherwise(F.overlay(p, F.lit(""), F.position(e, p), F.length(e))))
+    return let(page, cut)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 _PIECE = r"(?is)&(?:#x[0-9a-f]+|#[0-9]+|[a-z]+);|[^&]+|&"
 
 
@@ -27,5 +29,5 @@ def decoded(text: Column, named: dict[str, str], *, any_case: bool = False) -> C
         key = F.lower(name) if any_case else name
         return F.when(piece.startswith("&#"), F.coalesce(number, piece)).when(piece.startswith("&"), F.coalesce(F.try_element_at(table, key), piece)).otherwise(piece)
 
-    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
-    return F.when(text.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+    whole = lambda t: F.when(t.contains("&"), F.array_join(F.transform(F.regexp_extract_all(t, F.lit(_PIECE), F.lit(0)), one), "")).otherwise(t)
+    return let(text, whole)

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tables
-from ..sources import cellar
-from .registry import _CELEX, _celex_of_orders, _query, _table
+from ..sources import cellar, eurlex
+from .registry import _CELEX, _VALID, _celex_of_orders, _query, _table
 
 _UUID_SQL = "printf('%08x-0000-4000-8000-%012x', o_orderkey, o_orderkey * 7)"
 
@@ -65,3 +65,33 @@ def rdf_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = cellar.rdf_works(acts.select(key.alias("ref_id"), "celex", _description(key, key % 8, F.col("celex")).alias("rdf")))
     titles = F.array_join(F.transform(F.map_entries("titles"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     return got.select("ref_id", "celex", titles.alias("titles"), F.array_join("languages", ",").alias("languages"))
+
+
+def _page(act: Column, f: Column) -> Column:
+    """The page of an act with two articles, of which one holds elements of its own name; by f a page to keep robots out."""
+    article = lambda n, inner: F.concat(F.lit(f'<div class="eli-subdivision" id="art_{n}"><p class="oj-ti-art">Article {n}</p><div class="x eli-title"><p class="oj-sti-art">Heading &amp; more</p></div>'), inner, F.lit("</div>"))
+    body = F.concat(F.lit("<div>(1) Text of <b>"), act, F.lit("</b><br/>is<div>\n  nested </div></div><script>no()</script><p>&#x45;nd</p>"))
+    return F.concat(F.when(f == 6, "<p>Just a moment</p>").otherwise(""), F.lit('<html><body><p class="oj-doc-ti">Act of '), act, F.lit("</p>"), article("1", F.lit("<p>One</p>")), article("2", body), F.lit("</body></html>"))
+
+
+@_query(f"""WITH c AS ({_CELEX}), x AS (SELECT *, CAST(substr(celex, 7) AS INT) % 9 AS f, o_orderkey % 4 AS s FROM c),
+            y AS (SELECT *, CASE WHEN NOT ({_VALID}) OR s = 3 OR f IN (1, 4) THEN 'not-found' WHEN f IN (2, 3) THEN 'unavailable' WHEN s = 2 THEN CASE WHEN f IN (5, 7) THEN 'ok' ELSE 'language-unavailable' END
+                      WHEN f = 5 THEN 'language-unavailable' WHEN f = 7 THEN 'unavailable' WHEN f = 6 OR f = 8 AND s = 0 THEN 'not-found' ELSE 'ok' END AS status FROM x)
+            SELECT o_orderkey AS ref_id, status, CASE WHEN status = 'ok' THEN 'Heading & more' END AS heading, CASE WHEN status = 'ok' THEN CASE WHEN s = 1 THEN 'One' ELSE '(1) Text of ' || celex || ' is' || chr(10) || 'nested' || chr(10) || 'End' END END AS text,
+                   CASE WHEN status = 'ok' THEN 'Act of ' || celex END AS law_title FROM y""")
+def eurlex_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles by two requests. By the act's number f: no notice (1), a failed one (2), none captured (3), another act's
+    (4), pages in French only (5, 7; German is absent or failed), a page for robots (6), without article 2 (8). By the
+    order s: article 2, 1, article 2 in French, no article number."""
+    acts = _celex_of_orders(_table(spark, sf_dir, "orders")).withColumn("f", F.substring("celex", 7, 4).cast("int") % 9)
+    s = F.col("o_orderkey") % 4
+    refs = acts.select(F.col("o_orderkey").alias("ref_id"), "celex", F.when(s == 1, "1").when(s == 3, "x").otherwise("2").alias("section"), F.when(s == 2, "fr").alias("language"), F.col("celex").alias("law_code"), F.lit("").alias("law_title"))
+    once = acts.groupBy("celex", "f").agg(F.min("o_orderkey").alias("key"))
+    f = F.col("f")
+    answer = lambda request, status, body: F.struct(request.alias("request"), status.cast("int").alias("status"), body.alias("body"))
+    notice = answer(eurlex.notice_request(F.col("celex")), F.when(f == 1, 404).when(f == 2, 503).otherwise(200), _notice(F.col("key"), F.when(f == 4, 1).otherwise(0), F.col("celex")))
+    page = answer(eurlex.page_request(_uuid(F.col("key")), F.when(f.isin(5, 7), "fra").otherwise("deu")), F.lit(200), F.when(f == 8, F.replace(_page(F.col("celex"), f), F.lit("art_2"), F.lit("art_3"))).otherwise(_page(F.col("celex"), f)))
+    bad = answer(eurlex.page_request(_uuid(F.col("key")), F.when(f.isin(5, 7), "deu").otherwise("fra")), F.when(f == 7, 500).otherwise(404), F.lit(""))
+    payloads = tables.stored(once.where("f <> 3").select(F.explode(F.array(notice, page, bad)).alias("a")).select("a.*"), "payloads")
+    got = eurlex.eurlex_sections(refs, payloads, F.lit("2024-05-06T07:08:09Z"))
+    return got.select("ref_id", "status", "section.heading", "section.text", "section.law_title")
