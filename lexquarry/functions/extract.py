@@ -29,6 +29,8 @@ class TextRules:
     comments: bool = False
     by_line: bool = True
     body: bool = False
+    #: Tags that become something else than a line's end or what other tags become, as (tag, replacement).
+    special: tuple[tuple[str, str], ...] = ()
 
 
 #: Named references by source.
@@ -41,7 +43,10 @@ RULES = {
     "neuris": TextRules((), ("h[1-6]", "p", "div", "section", "li", "dt", "dd", "ol", "ul"), True, " ", _GERMAN, by_line=False, body=True),
     "gii": TextRules(("script", "style"), ("h[1-6]", "p", "div", "li", "dt", "dd", "dl"), True, " ", _GERMAN, comments=True, by_line=False),
     "eurlex": TextRules(("script", "style", "nav"), ("p", "div", "li", "br", "tr", "h[0-9]"), False, " ", _PLAIN, any_case=True, comments=True),
-    "fedlex": TextRules(("script", "style", "noscript"), ("h[1-6]", "p", "div", "section", "li", "dd", "dl", "ol", "ul", "tr", "table"), True, "", _SWISS, decode_first=True, comments=True, by_line=False),
+    "fedlex": TextRules(
+        ("script", "style", "noscript"), ("h[1-6]", "p", "div", "section", "article", "li", "dd", "ol", "ul", "tr"), True, "", _SWISS, decode_first=True, comments=True, by_line=False,
+        special=(("<dt>", "\n"), ("<dd>", " "), ("</td>", " "), ("</th>", " ")),
+    ),
     "boe": TextRules(("blockquote",), ("p", "tr", "td", "th", "div", "li"), True, "", {}),
     "normattiva": TextRules(("script", "style"), ("div", "p", "h[1-6]", "li", "tr", "section", "article"), True, "", _ITALIAN, any_case=True),
 }
@@ -60,11 +65,13 @@ def html_text(page: Column, source: str) -> Column:
         out = norm_content(out)
     if rules.body:
         out = body_of(out)
-    if rules.decode_first:
-        out = _characters(out, source, rules)
+    for tag, replacement in rules.special:
+        out = F.regexp_replace(out, f"(?i){tag}", replacement)
     if rules.line_break:
         out = F.regexp_replace(out, r"(?i)<br\s*/?\s*>", "\n")
     out = F.regexp_replace(out, rf"(?i)</(?:{'|'.join(rules.line_ends)})\s*>", "\n")
+    if rules.decode_first:  # before other tags go, so that escaped tags go with them
+        out = _characters(out, source, rules)
     out = F.regexp_replace(out, r"<[^>]+>", rules.tag)
     if not rules.decode_first:
         out = _characters(out, source, rules)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import laws
 from ..operators import tables
-from ..sources import cellar, eurlex
+from ..sources import cellar, eurlex, german
 from .registry import _CELEX, _VALID, _celex_of_orders, _query, _table
 
 _UUID_SQL = "printf('%08x-0000-4000-8000-%012x', o_orderkey, o_orderkey * 7)"
@@ -95,3 +96,73 @@ def eurlex_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     payloads = tables.stored(once.where("f <> 3").select(F.explode(F.array(notice, page, bad)).alias("a")).select("a.*"), "payloads")
     got = eurlex.eurlex_sections(refs, payloads, F.lit("2024-05-06T07:08:09Z"))
     return got.select("ref_id", "status", "section.heading", "section.text", "section.law_title")
+
+
+def _captured(refs: DataFrame, jurisdiction: str, catalog: DataFrame, variant: str | None, status: Column, body: Column) -> DataFrame:
+    """The answers to the requests of refs, each once."""
+    own = refs.withColumns({"jurisdiction": F.lit(jurisdiction), "variant": F.lit(variant).cast("string")})
+    return laws.section_url(own, catalog).where("url is not null").select(F.col("url").alias("request"), status.cast("int").alias("status"), body.alias("body")).dropDuplicates(["request"])
+
+
+@_query("""WITH x AS (SELECT o_orderkey, o_orderkey % 7 AS f, o_orderkey % 300 AS n FROM orders)
+           SELECT o_orderkey AS ref_id, CASE f WHEN 5 THEN 'not-found' WHEN 6 THEN 'unavailable' ELSE 'ok' END AS status,
+                  CASE f WHEN 0 THEN 'Kopf von ' || n WHEN 1 THEN 'Mord' WHEN 2 THEN 'Inhalt' WHEN 4 THEN 'Article ' || n || '.' END AS heading,
+                  CASE f WHEN 0 THEN '§ ' || n || ' – Kopf von ' || n || chr(10) || '(1) Ärger & § 2 gilt.' || chr(10) || '(2) Ende ' || n || '.' WHEN 1 THEN 'Wer tötet, wird bestraft.' || chr(10) || 'Besonderer Teil' WHEN 2 THEN 'Eine Zeile' || chr(10) || '§ ' || n || chr(10) || 'Inhalt des Rechts, der länger als dreißig ist'
+                    WHEN 3 THEN 'Nur so.' WHEN 4 THEN 'The Court ' || n || chr(10) || 'decides.' END AS text FROM x""")
+def ris_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Austrian sections. By the order f: a page with labels (0), with a title and parts (1), a marked part (2), neither
+    (3), the English constitution (4), no page (5), a failed one (6)."""
+    key = F.col("o_orderkey")
+    f, n = key % 7, (key % 300).cast("string")
+    orders = _table(spark, sf_dir, "orders")
+    none = F.lit(None).cast("string")
+    refs = orders.select(key.alias("ref_id"), F.element_at(F.array(*[F.lit(c) for c in ("ABGB", "stgb", "ZPO", "JN", "B-VG", "EO", "UGB")]), (f + 1).cast("int")).alias("law_code"), n.alias("section"), none.alias("subsection"), none.alias("reference_type"), F.when(f == 4, "translation-en").alias("variant"))
+    own, s = F.lower("law_code"), F.col("section")
+    text = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    page = (
+        F.when(own == "abgb", text("<html><body><script>Text</script><h1>Bundesrecht konsolidiert</h1><div>Startseite<br>Kurztitel</div><p>Text</p><p>Allgemeiner Teil</p><p>§ ", s, " – Kopf von ", s, "</p><p>§ ", s, "</p><p>(1) &Auml;rger &amp;<b>&sect; 2</b>gilt.</p><p>SmartPage_Context()</p><p>(2) Ende ", s, ".</p><p>Schlagworte</p><p>weg</p></body></html>"))
+        .when(own == "stgb", text("<body><h1>AT-StGB<br>Mord</h1><p>Kurztitel</p><p>Besonderer Teil</p><p>§ ", s, ".</p><p>Wer tötet, wird bestraft.</p><p>Besonderer Teil</p><p>Dokumentnummer</p></body>"))
+        .when(own == "zpo", text('<body><p>x</p><div id="tabContent"><p>Inhalt</p><p>Eine Zeile</p><p>§ ', s, "</p><p>Seite 1 von 2</p><p>Inhalt des Rechts, der länger als dreißig ist</p></div><p>y</p></body>"))
+        .when(own == "jn", text("<p>Impressum</p><p>Nur so.</p><p>Kontakt</p>")).otherwise(text("<p>z</p>"))
+    )
+    status = F.when(own == "eo", 404).when(own == "ugb", 500).otherwise(200)
+    catalog = laws.laws(spark)
+    row = lambda k, inner: F.concat(F.lit("<tr><td><h3>Artikel "), k, F.lit("</h3>DE</td><td>"), inner, F.lit("</td></tr>"))
+    article = lambda k: F.concat(row(k, F.concat(F.lit("<h3>Article&nbsp;"), k, F.lit(".</h3>"))), row(k, F.concat(F.lit('<span class="sr-only">Paragraph 1,</span>The Court '), k, F.lit("<br/>decides."))))
+    # the English constitution is one page with all articles
+    english = spark.range(1).select(F.lit(laws.AUSTRIAN_ENGLISH).alias("request"), F.lit(200).alias("status"), F.concat(F.lit("<table>"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: article(F.replace(i.cast("string"), F.lit(" "), F.lit("")))), ""), F.lit("</table>")).alias("body"))
+    english = english.withColumn("body", F.replace("body", F.lit("&nbsp;"), F.lit(" ")))
+    payloads = tables.stored(_captured(refs.where("variant is null"), "AT", catalog, None, status, page).unionByName(english), "payloads")
+    got = german.ris_sections(refs, payloads, catalog, F.lit("2024-05-06T07:08:09Z"))
+    return got.select("ref_id", "status", "section_row.heading", "section_row.text")
+
+
+@_query("""WITH x AS (SELECT o_orderkey, o_orderkey % 6 AS f, o_orderkey % 300 AS n FROM orders)
+           SELECT o_orderkey AS ref_id, CASE f WHEN 4 THEN 'not-found' WHEN 5 THEN 'unavailable' ELSE 'ok' END AS status, CASE f WHEN 0 THEN 'translation-en' WHEN 2 THEN 'translation-en' WHEN 1 THEN 'official-de' WHEN 3 THEN 'official-de' END AS source_variant,
+                  CASE f WHEN 0 THEN 'Heading ' || n WHEN 2 THEN 'Dignity ' || n WHEN 1 THEN 'Titel' WHEN 3 THEN 'Norm ' || n END AS heading, CASE f WHEN 0 THEN '(1) Text ' || n || chr(10) || '(2) more' WHEN 2 THEN 'Human' WHEN 1 THEN 'Absatz ' || n WHEN 3 THEN 'Artikel ' || n END AS text FROM x""")
+def gii_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """German sections. By the order f: an English one behind a list of contents (0), one that only the German page has
+    (1), an English article with its heading in brackets (2), a norm among many (3), no page (4), a failed one (5)."""
+    key = F.col("o_orderkey")
+    f, n = key % 6, (key % 300).cast("string")
+    none = F.lit(None).cast("string")
+    orders = _table(spark, sf_dir, "orders")
+    refs = orders.select(
+        key.alias("ref_id"), F.element_at(F.array(*[F.lit(c) for c in ("BGB", "STGB", "GG", "EGBGB", "HGB", "ZPO")]), (f + 1).cast("int")).alias("law_code"), n.alias("section"), none.alias("subsection"),
+        F.when(f.isin(2, 3), "article").alias("reference_type"), F.when(f < 3, "translation-en").alias("variant"),
+    )
+    code, s = F.col("law_code"), F.col("section")
+    every = lambda form: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: form(i.cast("string"))), "")
+    line = lambda *xs: F.concat(F.lit("<p>"), *[F.lit(x) if isinstance(x, str) else x for x in xs], F.lit("</p>"))
+    contents = every(lambda i: line("Section ", i))
+    sections = every(lambda i: F.concat(line("Section ", i), line("Heading ", i), line("(1) Text ", i), line("(2) more")))
+    articles = every(lambda i: F.concat(line("Article ", i), line("[Dignity ", i, "]"), line("Human"), F.lit("<ul><li>table of contents</li></ul>")))
+    norms = every(lambda i: F.concat(F.lit('<div class="jnnorm"><h3><span class="x">Art&nbsp;'), i, F.lit('</span> <span class="jnentitel">Norm '), i, F.lit('</span></h3><div class="jnhtml"><div class="jurAbsatz">Artikel '), i, F.lit("</div></div></div>")))
+    catalog = laws.laws(spark)
+    body = F.when(code == "BGB", F.concat(contents, F.lit("<p>table of contents</p>"), sections)).when(code == "GG", articles).otherwise("<p>Section x</p>")
+    english = _captured(refs.where("variant is not null").select(*refs.columns).dropDuplicates(["law_code"]), "DE", catalog, "translation-en", F.lit(200), body)
+    page = F.when(code == "EGBGB", norms).otherwise(F.concat(F.lit('<span class="jnentitel">Titel</span><div class="jnhtml"><div class="jurAbsatz">Absatz '), s, F.lit("</div></div>")))
+    own = _captured(refs.where("law_code <> 'BGB' and law_code <> 'GG'"), "DE", catalog, None, F.when(code == "HGB", 404).when(code == "ZPO", 500).otherwise(200), page)
+    payloads = tables.stored(english.unionByName(own), "payloads")
+    got = german.gii_sections(refs, payloads, catalog, F.lit("2024-05-06T07:08:09Z"))
+    return got.select("ref_id", "status", "section_row.source_variant", "section_row.heading", "section_row.text")

@@ -250,19 +250,42 @@ def _page_text(source: str):
     def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         norm = F.when(F.col("page_id") % 2 == 1, _NORM).otherwise("") if source == "gii" else F.lit("")
         page = F.concat(F.lit('<html><head><title>t</title></head><body class="b">' + _PLANTED[0]), (F.col("page_id") + 1000).cast("string"), F.lit(_PLANTED[1]), norm, "html", F.lit("</body><p>behind</p>"))
+        if source == "fedlex":
+            page = F.concat(F.lit(f"<title>t</title>{_PLANTED[0]}"), (F.col("page_id") + 1000).cast("string"), F.lit(_PLANTED[1]), "html", F.lit("<p></p>" + _SWISS_FORMS[0]))
         return _table(spark, sf_dir, "pages").select("page_id", extract.html_text(page, source).alias("text"))
 
     page_text.__name__ = f"page_text_{source}"
     return page_text
 
 
+#: What the Swiss rules are about: lists of terms, cells, articles, escaped tags; and its text.
+_SWISS_FORMS = ("<dl><dt>a.</dt><dd>Text</dd><dt>b.</dt><dd>Mehr</dd></dl><table><tr><th>k</th><td>x</td><td>y</td></tr></table><article>p</article>q&lt;/p&gt;r<sup>2</sup>", "a. Text\nb. Mehr\nk x y\np\nqr2")
+
+
+def _fedlex_sql() -> str:
+    """By what stands where: the text of the planted forms is given, that of the rest is made with single replacements."""
+    page = f"('<title>t</title>{_PLANTED[0]}' || CAST(1000 + page_id AS VARCHAR) || '{_PLANTED[1]}' || html)"
+    out = f"regexp_replace({page}, '(?s)<!--.*?-->', '', 'g')"
+    for tag in ("script", "style", "noscript"):
+        out = f"regexp_replace({out}, '(?is)<{tag}[^>]*>.*?</{tag}>', '', 'g')"
+    for tag, into in [("<dt>", "chr(10)"), ("<dd>", "' '"), *[(f"</{t}>", "chr(10)") for t in ("dd", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "div", "section", "article", "ol", "ul", "tr")], ("</td>", "' '"), ("</th>", "' '"), ("<br>", "chr(10)"), ("<br/>", "chr(10)"), ("<br />", "chr(10)")]:
+        out = f"replace({out}, '{tag}', {into})"
+    named = " ".join(f"WHEN t = '&{k};' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in (_SQL_GERMAN | {"apos": "'", "sect": "§"}).items())
+    number = lambda digits: f"coalesce(CASE WHEN {digits} <= 1114111 THEN chr({digits}) END, t)"
+    one = f"CASE WHEN t ILIKE '&#x%' THEN {number("TRY_CAST('0x' || substr(t, 4, length(t) - 4) AS INT)")} WHEN t LIKE '&#%' THEN {number('TRY_CAST(substr(t, 3, length(t) - 3) AS INT)')} {named} ELSE t END"
+    out = f"array_to_string(list_transform(regexp_extract_all({out}, '(?is)&(?:#x[0-9a-f]+|#[0-9]+|[a-z]+);|[^&]+|&'), lambda t: {one}), '')"
+    out = f"regexp_replace(regexp_replace(regexp_replace({out}, '<[^>]+>', '', 'g'), '[ \\t]+', ' ', 'g'), '{_SQL_SPACE}*\\n{_SQL_SPACE}*', chr(10), 'g')"
+    forms = _SWISS_FORMS[1].replace("\n", "' || chr(10) || '")
+    return f"SELECT page_id, regexp_replace({out}, '^{_SQL_SPACE}+|{_SQL_SPACE}+$', '', 'g') || chr(10) || '{forms}' AS text FROM pages"
+
+
 _SQL_BASIC = {"amp": "&", "lt": "<", "gt": ">", "quot": '"'}
 _SQL_GERMAN = _SQL_BASIC | {"nbsp": " ", "szlig": "ß", "auml": "ä", "Auml": "Ä", "ouml": "ö", "Ouml": "Ö", "uuml": "ü", "Uuml": "Ü"}
 _SQL_ITALIAN = _SQL_BASIC | {"apos": "'", "nbsp": " ", "agrave": "à", "egrave": "è", "igrave": "ì", "ograve": "ò", "ugrave": "ù", "eacute": "é", "ocirc": "ô"}
 _query(_page_sql("", "h[1-6]|p|div|section|li|dt|dd|ol|ul", " ", _SQL_GERMAN, body=True, lines=False))(_page_text("neuris"))
 _query(_page_sql("script style", "h[1-6]|p|div|li|dt|dd|dl", " ", _SQL_GERMAN, comments=True, body=True, lines=False, norm=True))(_page_text("gii"))
 _query(_page_sql("script style nav", "p|div|li|br|tr|h[0-9]", " ", _SQL_BASIC | {"apos": "'"}, br=False, comments=True, any_case=True))(_page_text("eurlex"))
-_query(_page_sql("script style noscript", "h[1-6]|p|div|section|li|dd|dl|ol|ul|tr|table", "", _SQL_GERMAN | {"apos": "'", "sect": "§"}, comments=True, lines=False, first=True))(_page_text("fedlex"))
+_query(_fedlex_sql())(_page_text("fedlex"))
 _query(_page_sql("blockquote", "p|tr|td|th|div|li", "", {}, boe=True))(_page_text("boe"))
 _query(_page_sql("script style", "div|p|h[1-6]|li|tr|section|article", "", _SQL_ITALIAN, any_case=True))(_page_text("normattiva"))
 
