@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,11 +77,16 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Conflict(Exception):
+    """Another writer was first."""
+
+
 class SlotStore:
     """Two slots and a pointer in one folder: a candidate is written and read back before it becomes the active one.
 
     The pointer is a row of numbered files, of which the last one counts; a new state is a new file, renamed into its
-    place, so that a crash at any time leaves the state before or behind it.
+    place, so that a crash at any time leaves the state before or behind it. A number is taken once: the renaming
+    fails where another writer has published a state since this one read its own.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -97,20 +103,33 @@ class SlotStore:
         return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"pointer-([0-9]+)[.]json", n)))
 
     def _pointer(self) -> dict:
-        known = self._pointers()
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/pointer-{known[-1]:09d}.json").collect())) if known else {}
+        return self._seen()[1]
 
-    def _point(self, state: dict) -> None:
+    def _seen(self) -> tuple[int, dict]:
+        """The number of the state that counts (0: there is none yet), and the state."""
         known = self._pointers()
-        name = f"{self.path}/pointer-{(known[-1] if known else 0) + 1:09d}.json"
-        fs, p = self._fs(f"{name}.new")
-        out = fs.create(p, True)
+        return (known[-1], json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/pointer-{known[-1]:09d}.json").collect()))) if known else (0, {})
+
+    def _point(self, seen: int, state: dict) -> None:
+        """Publish the state that follows the one with the number seen."""
+        jvm = self.spark._jvm
+        name = f"{self.path}/pointer-{seen + 1:09d}.json"
+        fs, p = self._fs(f"{name}.{uuid.uuid4().hex}")
+        out = fs.create(p, False)
         out.write(bytearray(json.dumps(state), "utf-8"))
         out.close()
-        if not fs.rename(p, self._fs(name)[1]):
-            raise OSError("the pointer could not be written")
-        for k in known[:-1]:  # the state before stays
-            fs.delete(self._fs(f"{self.path}/pointer-{k:09d}.json")[1], False)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.spark._jsc.hadoopConfiguration()) if p.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.spark._jsc.hadoopConfiguration())
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        try:
+            context.rename(p, self._fs(name)[1], self.spark.sparkContext._gateway.new_array(kind, 0))
+        except Py4JJavaError as e:
+            fs.delete(p, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise Conflict(f"another writer has published state {seen + 1}") from None
+            raise
+        for k in self._pointers():
+            if k < seen:  # the state before stays
+                fs.delete(self._fs(f"{self.path}/pointer-{k:09d}.json")[1], False)
 
     def read(self) -> DataFrame | None:
         active = self._pointer().get("active")
@@ -125,31 +144,31 @@ class SlotStore:
 
     def write_candidate(self, rows: DataFrame) -> str:
         """Into the slot that isn't active; what is read back has to be what was written."""
-        state = self._pointer()
+        seen, state = self._seen()
         slot = "b" if state.get("active") == "a" else "a"
         rows = _kept(rows)
         rows.write.mode("overwrite").parquet(f"{self.path}/{slot}")
         wanted = self._sum(rows, rows.columns)
         if self._sum(self.spark.read.parquet(f"{self.path}/{slot}"), rows.columns) != wanted:
             raise ValueError("the candidate differs from what was written")
-        self._point(state | {"candidate": slot, "sum": wanted, "columns": rows.columns})
+        self._point(seen, state | {"candidate": slot, "sum": wanted, "columns": rows.columns})
         return slot
 
     def activate(self) -> None:
         """The candidate becomes the active one if it still is what was written."""
-        state = self._pointer()
+        seen, state = self._seen()
         slot = state.get("candidate")
         if not slot:
             raise ValueError("there is no candidate")
         if self._sum(self.spark.read.parquet(f"{self.path}/{slot}"), state["columns"]) != state["sum"]:
             raise ValueError("the candidate changed since it was written")
-        self._point({"active": slot})
+        self._point(seen, {"active": slot})
 
     def discard(self) -> None:
         """Never touches the active slot."""
-        state = self._pointer()
+        seen, state = self._seen()
         slot = state.get("candidate")
         if slot and slot != state.get("active"):
             fs, p = self._fs(f"{self.path}/{slot}")
             fs.delete(p, True)
-        self._point({k: v for k, v in state.items() if k not in ("candidate", "sum", "columns")})
+        self._point(seen, {k: v for k, v in state.items() if k not in ("candidate", "sum", "columns")})

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .index import SlotStore, upsert
+
 #: The sources whose sections may come from the cache, and the jurisdiction that never reads it.
 CACHEABLE = ("neuris", "gesetze-im-internet", "ris", "fedlex", "eur-lex", "boe", "finlex")
 LIVE_ONLY = "IT"
@@ -33,3 +35,28 @@ def look_up(refs: DataFrame, live: DataFrame, cache: DataFrame, now: Column, ttl
     status = F.when(F.col("l").isNotNull(), F.when(F.col("l.status") == "ok", "live").otherwise(F.col("l.status"))).when(good, "cached").otherwise("not-found")
     text = lambda c: F.coalesce(F.col(f"l.{c}"), F.when(good, F.col(f"c.{c}")))
     return out.select("ref_id", status.alias("status"), text("provider").alias("provider"), text("text").alias("text"))
+
+
+def keep_sections(store: SlotStore, sections: DataFrame, cacheable: tuple[str, ...] = CACHEABLE) -> None:
+    """Merge live sections (key, provider, retrieved_at, text) into the cache that a store holds: of a key the last one
+    retrieved counts, keys without new sections stay. Sources that may not be cached, and rows without a key, don't."""
+    rows = sections.where(F.col("key").isNotNull() & F.col("provider").isin(*cacheable)).select("key", "provider", "retrieved_at", "text")
+    last = rows.groupBy("key").agg(F.max_by(F.struct("provider", "retrieved_at", "text"), "retrieved_at").alias("_x")).select("key", "_x.*")
+    now = store.read()
+    store.write_candidate(last if now is None else upsert(now, last, ["key"], "retrieved_at"))
+    store.activate()
+
+
+def current_answers(events: DataFrame, idle_seconds: float) -> DataFrame:
+    """The answers that are still wanted when they come: no later request of their session came before them.
+
+    events: session, at (timestamp), number (the order of events of one time), request (a boolean), revision (of a
+    request its own, of an answer that of the request it answers), and whatever is to be taken over. A session in
+    which nothing happens for idle_seconds ends: answers to its requests come too late.
+    """
+    by = Window.partitionBy("session").orderBy("at", "number")
+    quiet = F.unix_micros("at") - F.lag(F.unix_micros("at")).over(by) > int(idle_seconds * 1e6)
+    part = F.sum(F.coalesce(quiet, F.lit(False)).cast("int")).over(by)
+    own = Window.partitionBy("session", "_part").orderBy("at", "number").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.max_by(F.when(F.col("request"), F.col("revision")), F.when(F.col("request"), F.struct("at", "number"))).over(own)
+    return events.withColumn("_part", part).withColumn("_last", last).where(~F.col("request") & (F.col("revision") == F.col("_last"))).drop("_part", "_last")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalogs, languages, laws, present, text
-from ..operators import acts, resolve, tables, temporal
+from ..operators import acts, lookup, resolve, tables, temporal
 from ..sources import boe, discovery
 from .registry import _query, _table
 
@@ -29,13 +29,13 @@ def law_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("jurisdiction", "display_code", "title", "reference_type", F.array_join("example_inputs", "|").alias("examples"))
 
 
-_INDEX = """idx AS (SELECT '3' || CAST(year(o_orderdate) AS VARCHAR) || 'R' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS celex, CAST(year(o_orderdate) AS VARCHAR) AS y,
-            lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS n, o_orderpriority AS t, o_orderkey FROM orders WHERE o_orderkey % 10000 > 0 AND o_custkey % 10 = 0)"""
+_INDEX = """idx AS (SELECT '3' || CAST(year(o_orderdate) AS VARCHAR) || 'R' || lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') AS celex, CAST(year(o_orderdate) AS VARCHAR) AS y,
+            lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') AS n, o_orderpriority AS t, o_orderkey FROM orders WHERE o_orderkey % 1000000 > 0)"""
 
 
 def _acts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders").where("o_orderkey % 10000 > 0 and o_custkey % 10 = 0")
-    year, number = F.year("o_orderdate").cast("string"), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0")
+    orders = _table(spark, sf_dir, "orders").where("o_orderkey % 1000000 > 0")
+    year, number = F.year("o_orderdate").cast("string"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0")
     titles = F.create_map(F.when(F.col("o_orderkey") % 2 == 0, "en").otherwise("fr"), F.col("o_orderpriority"), F.lit("x"), F.lit("other"))
     return orders.select("o_orderkey", F.concat(F.lit("3"), year, F.lit("R"), number).alias("celex"), year.alias("year"), number.alias("number"), titles.alias("titles"))
 
@@ -288,10 +288,22 @@ def block_version_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.latest_as_of(versions, ["l_orderkey"], "l_shipdate", F.col("day"), ["l_linenumber"]).select("l_orderkey", "l_linenumber")
 
 
-@_query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
+_IDLE = 6 * 3600
+
+
+@_query(f"""WITH e AS (SELECT user_id, event_id, ts, event_id % 2 = 0 AS q, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+            r AS (SELECT a.user_id, a.event_id, a.i, a.ts, max(b.i) AS last FROM e a JOIN e b ON a.user_id = b.user_id AND b.q AND b.i < a.i WHERE NOT a.q GROUP BY ALL),
+            g AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY i) AS before FROM e), w AS (SELECT user_id, i FROM g WHERE ts > before + INTERVAL {_IDLE} SECOND)
+            SELECT r.user_id, r.event_id FROM r WHERE r.event_id % 4 = 1 AND NOT EXISTS (SELECT 1 FROM w WHERE w.user_id = r.user_id AND w.i > r.last AND w.i <= r.i)""")
 def current_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each session's lookups the last one: answers to earlier ones are stale."""
-    return _table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", "event_id").alias("event_id"))
+    """Answers that are still wanted. Even events are requests; odd ones answer the last request, or the one before it."""
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("number"), (F.col("event_id") % 2 == 0).alias("request"))
+    by = Window.partitionBy("session").orderBy("at", "number").rowsBetween(Window.unboundedPreceding, -1)
+    asked = F.collect_list(F.when(F.col("request"), F.col("number"))).over(by.rowsBetween(-64, -1))  # composed of the requests shortly before
+    last = F.max(F.when(F.col("request"), F.struct("at", "number"))).over(by)["number"]
+    older = F.try_element_at(asked, F.lit(-2))
+    rows = events.withColumn("revision", F.when(F.col("request"), F.col("number")).when(F.col("number") % 4 == 1, last).otherwise(older))
+    return lookup.current_answers(rows, _IDLE).select(F.col("session").alias("user_id"), F.col("number").alias("event_id"))
 
 
 @_query("""SELECT doc_id, strip_accents(text) AS plain FROM documents""")

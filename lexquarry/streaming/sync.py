@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.index import SlotStore, upsert
 
@@ -29,3 +33,35 @@ def last_of_sessions(events: DataFrame, key: str, time: str, gap: str, payload:
     rows = events.withWatermark(time, watermark) if watermark else events
     grouped = rows.groupBy(F.session_window(time, gap).alias("_w"), F.col(key)).agg(F.count("*").alias("n_events"), F.max(F.struct(time, payload)).alias("_x"))
     return grouped.select(key, F.col("_w.start").alias("session_start"), F.col("_w.end").alias("session_end"), "n_events", F.col(f"_x.{payload}").alias("last"))
+
+
+def current_answers_stream(events: DataFrame, idle_seconds: float, watermark: str) -> DataFrame:
+    """session, at, number, revision: what operators.lookup.current_answers keeps, of events as they come.
+
+    State is the last request of a session and when something happened last; a timer frees it once the watermark has
+    passed the session's end. An answer that comes in a later batch than a newer request is dropped, whatever its time.
+    """
+
+    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["at", "number"])
+        current, known, before = state.get if state.exists else (0, False, None)
+        kept = []
+        for r in rows.itertuples(index=False):
+            now = r.at.value // 1000
+            if before is not None and now - before > idle_seconds * 1e6:
+                known = False
+            if r.request:
+                current, known = r.revision, True
+            elif known and r.revision == current:
+                kept.append((key[0], r.at, r.number, r.revision))
+            before = max(now, before or now)
+        state.update((int(current), bool(known), int(before)))
+        state.setTimeoutTimestamp(max(int(before / 1000 + idle_seconds * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(kept, columns=["session", "at", "number", "revision"])
+
+    kind = events.schema["session"].dataType.simpleString()
+    rows = events.select("session", "at", "number", "request", "revision").withWatermark("at", watermark)
+    return rows.groupBy("session").applyInPandasWithState(judge, f"session {kind}, at timestamp, number long, revision long", "current long, known boolean, before long", "append", GroupStateTimeout.EventTimeTimeout)
