@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def resolve_alias(refs: DataFrame, code_col: str, acts: DataFrame) -> DataFrame:
     """refs with canonical (the act whose alias, in any case, the code is; else the code itself) and curated.
@@ -31,20 +36,36 @@ def first_by_priority(rows: DataFrame, keys: list[str], priority: str, payload:
     return rows.where(F.col(payload[0]).isNotNull()).groupBy(*keys).agg(F.min_by(F.struct(*payload, priority), F.col(priority)).alias("_x")).select(*keys, *[F.col(f"_x.{c}").alias(c) for c in payload], F.col(f"_x.{priority}").alias(priority))
 
 
-def title_citations(refs: DataFrame, text_col: str, titles: DataFrame, markers: list[str]) -> DataFrame:
-    """refs with section and title_id: citations of an article of an act by its official title.
+def marked_title(text: Column, languages: Sequence[Sequence[str]]) -> Column:
+    """section and title of a citation: a marker, the article's number and the title, or the title first; else the whole
+    text as the title, without section.
+
+    languages: the markers of each language. The first language of which one form fits decides, the marker ahead of the
+    title first; case and a dot behind the marker don't matter.
+    """
+    def cut(own: Column) -> Column:
+        out = F.struct(F.lit(None).cast("string").alias("section"), own.alias("title"))
+        for words in reversed(languages):
+            mark = "(?:" + "|".join(re.escape(w) for w in words) + ")[.]?"
+            forms = (rf"(?iu)\A{mark}\s*([0-9]+[a-z]?)\s+(.*)\z", 1, 2), (rf"(?iu)\A(.*?)\s+{mark}\s*([0-9]+[a-z]?)\z", 2, 1)
+            for form, section, title in reversed(forms):
+                out = F.when(own.rlike(form), F.struct(F.regexp_extract(own, form, section).alias("section"), F.regexp_extract(own, form, title).alias("title"))).otherwise(out)
+        return out
+
+    return let(F.trim(F.regexp_replace(text, r"\s+", " ")), cut)
+
+
+def title_citations(refs: DataFrame, text_col: str, titles: DataFrame, languages: Sequence[Sequence[str]]) -> DataFrame:
+    """refs with section and title_id: citations of an act, or of an article of it, by the act's official title.
 
-    titles: title, id, as unique_titles makes them. The text is a marker (`Article`, `Artikel`, in any case, a dot or none), the
-    article, and the whole title. Null where it has another form, or nobody or several have the title.
+    titles: title, id, as unique_titles makes them. languages: see marked_title. Null where nobody or several have the
+    title; a title alone has no section.
     """
-    words = "|".join(sorted((m.replace(".", "[.]") for m in markers), key=len, reverse=True))
-    pattern = rf"(?iu)\A\s*(?:{words})[.]?\s*([0-9]+[a-z]?)\s+(\S.*?)\s*\z"
-    text = F.col(text_col)
-    title = F.when(text.rlike(pattern), F.regexp_replace(F.lower(F.regexp_extract(text, pattern, 2)), r"\s+", " "))
+    own = marked_title(F.col(text_col), languages)
+    out = refs.withColumn("_cited", own).withColumn("_title", F.nullif(F.lower(F.trim(F.regexp_replace(F.col("_cited.title"), r"\s+", " "))), F.lit("")))
     known = titles.select(F.struct("title", "id").alias("_t"))
-    out = refs.withColumn("_title", title).join(known, F.col("_title") == F.col("_t.title"), "left")
-    section = F.when(F.col("_t").isNotNull(), F.regexp_extract(text, pattern, 1))
-    return out.select(*refs.columns, section.alias("section"), F.col("_t.id").alias("title_id"))
+    out = out.join(known, F.col("_title") == F.col("_t.title"), "left")
+    return out.select(*refs.columns, F.when(F.col("_t").isNotNull(), F.col("_cited.section")).alias("section"), F.col("_t.id").alias("title_id"))
 
 
 def exact_abbreviation(refs: DataFrame, code_col: str, results: DataFrame) -> DataFrame:

@@ -180,13 +180,22 @@ def act_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""WITH u AS (SELECT lower(p_name || ' ' || p_brand) AS t, min(p_partkey) AS id FROM part GROUP BY 1 HAVING min(p_partkey) = max(p_partkey))
-           SELECT p_partkey, CASE WHEN p_size % 4 <> 3 AND id IS NOT NULL THEN CAST(p_size AS VARCHAR) END AS section, CASE WHEN p_size % 4 <> 3 THEN id END AS title_id FROM part LEFT JOIN u ON t = lower(p_name || ' ' || p_brand)""")
+           SELECT p_partkey, CASE WHEN p_partkey % 6 < 4 AND id IS NOT NULL THEN CAST(p_size AS VARCHAR) || CASE WHEN p_partkey % 6 = 3 THEN 'A' ELSE '' END END AS section, CASE WHEN p_partkey % 6 <> 5 THEN id END AS title_id FROM part LEFT JOIN u ON t = lower(p_name || ' ' || p_brand)""")
 def citation_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations in the words of a language that changes from part to part: the marker ahead of the title (0, 1), behind
+    it (2, 3), a title alone (4), and with a word that is no marker (5)."""
     part = _table(spark, sf_dir, "part").withColumn("t", F.concat_ws(" ", "p_name", "p_brand"))
     titles = resolve.unique_titles(part, "t", "p_partkey")
-    mark = F.when(F.col("p_size") % 4 == 0, "Article ").when(F.col("p_size") % 4 == 1, "art.").when(F.col("p_size") % 4 == 2, "ARTIKEL ").otherwise("see ")
-    refs = part.select("p_partkey", F.concat(mark, F.col("p_size").cast("string"), F.lit("  "), F.upper("p_name"), F.lit("   "), "p_brand", F.lit(" ")).alias("c"))
-    return resolve.title_citations(refs, "c", titles, ["article", "art", "artikel"]).select("p_partkey", "section", "title_id")
+    words = [w[1] for w in catalogs.CITATION_WORDS]
+    f, n = F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    marks = F.element_at(F.array(*[F.array(*[F.lit(x) for x in own]) for own in words]), (F.col("p_partkey") % len(words) + 1).cast("int"))
+    mark = F.element_at(marks, (F.col("p_partkey") % 5 % F.size(marks) + 1).cast("int"))
+    title = F.concat(F.upper("p_name"), F.lit("   "), "p_brand")
+    text = (
+        F.when(f == 0, F.concat(mark, F.lit(" "), n, F.lit("  "), title, F.lit(" "))).when(f == 1, F.concat(F.lit(" "), F.upper(mark), F.lit("."), n, F.lit(" "), title)).when(f == 2, F.concat(title, F.lit(" "), mark, F.lit(" "), n))
+        .when(f == 3, F.concat(title, F.lit("  "), mark, F.lit(". "), n, F.lit("A "))).when(f == 4, title).otherwise(F.concat(F.lit("see "), n, F.lit(" "), title))
+    )
+    return resolve.title_citations(part.select("p_partkey", text.alias("c")), "c", titles, words).select("p_partkey", "section", "title_id")
 
 
 @_query("SELECT o_custkey AS ref_id, arg_min(o_orderkey, o_orderdate::VARCHAR || lpad(o_orderkey::VARCHAR, 12, '0')) AS o_orderkey FROM orders WHERE o_orderstatus = CASE WHEN o_custkey % 2 = 0 THEN 'O' ELSE 'F' END GROUP BY 1")

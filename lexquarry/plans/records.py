@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import laws
 from ..operators import tables
-from ..sources import cellar, eurlex, german
+from ..sources import cellar, eurlex, german, neuris
 from .registry import _CELEX, _VALID, _celex_of_orders, _query, _table
 
 _UUID_SQL = "printf('%08x-0000-4000-8000-%012x', o_orderkey, o_orderkey * 7)"
@@ -166,3 +166,30 @@ def gii_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     payloads = tables.stored(english.unionByName(own), "payloads")
     got = german.gii_sections(refs, payloads, catalog, F.lit("2024-05-06T07:08:09Z"))
     return got.select("ref_id", "status", "section_row.source_variant", "section_row.heading", "section_row.text")
+
+
+@_query("""WITH x AS (SELECT o_orderkey, o_orderkey % 6 AS f, o_orderkey % 300 AS n FROM orders)
+           SELECT o_orderkey AS ref_id, CASE WHEN f IN (2, 5) OR f < 2 AND n % 50 = 49 THEN 'not-found' WHEN f IN (3, 4) OR f < 2 AND n % 50 = 48 THEN 'unavailable' ELSE 'ok' END AS status,
+                  CASE WHEN f < 2 AND n % 50 < 48 THEN 'Kopf ' || n END AS heading, CASE WHEN f < 2 AND n % 50 < 48 THEN 'Absatz ' || n || ' & mehr' END AS text, CASE WHEN f < 2 AND n % 50 < 48 THEN CASE WHEN n % 2 = 0 THEN '2002-01-01' ELSE '1900-01-01' END END AS valid_from FROM x""")
+def neuris_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """German sections by three requests. By the order f: two laws (0, 1), one that the search hasn't (2), a search that
+    failed (3) or is no JSON (4), English (5); some sections are missing, some pages failed."""
+    key = F.col("o_orderkey")
+    f, n = key % 6, (key % 300).cast("string")
+    none = F.lit(None).cast("string")
+    refs = _table(spark, sf_dir, "orders").select(key.alias("ref_id"), F.element_at(F.array(*[F.lit(c) for c in ("bgb", "HGB", "XYZ", "ERR", "BAD", "BGB")]), (f + 1).cast("int")).alias("law_code"), n.alias("section"), F.when(f == 5, "translation-en").alias("variant"))
+    # the outline has books, in them titles, in them sections; a later part has the name of an earlier one
+    section = lambda i: F.concat(F.lit('{"name": "§ '), i, F.lit('", "eId": "art-'), i, F.lit('", "headline": "Kopf '), i, F.lit('"'), F.when(i.cast("int") % 2 == 0, ', "temporalCoverage": "2002-01-01/.."').otherwise(""), F.lit("}"))
+    book = lambda b: F.concat(F.lit('{"name": "Buch", "hasPart": [{"name": "Titel", "hasPart": ['), F.array_join(F.transform(F.sequence(b * 50, b * 50 + 48), lambda i: section(i.cast("string"))), ","), F.lit(']}, {"name": "§ '), (b * 50).cast("string"), F.lit('", "eId": "other"}]}'))
+    law = F.concat(F.lit('{"name": "Gesetz", "abbreviation": "'), F.upper("law_code"), F.lit('", "temporalCoverage": "1900-01-01/..", "encoding": [{"encodingFormat": "application/xml", "contentUrl": "/x.xml"}, {"encodingFormat": "text/html", "contentUrl": "/v1/'), F.lower("law_code"), F.lit('.html"}], "hasPart": ['), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), book), ","), F.lit("]}"))
+    search = F.when(F.col("law_code") == "BAD", "no").otherwise(F.concat(F.lit('{"member": [{"item": {"@id": "/v1/0"}}, {"item": {"@id": "/v1/1", "abbreviation": "BGBEG"}}, {"item": {"@id": "/v1/law/bgb", "abbreviation": "BGB"}}, {"item": {"@id": "/v1/law/hgb", "abbreviation": "Hgb"}}, {"item": {"@id": "/v1/2", "abbreviation": "BGB"}}]}')))
+    answer = lambda request, status, body: F.struct(request.alias("request"), F.lit(status).cast("int").alias("status") if isinstance(status, int) else status.cast("int").alias("status"), body.alias("body"))
+    codes = refs.select("law_code").distinct()
+    laws_ = codes.where("law_code in ('bgb', 'HGB')").select(answer(F.concat(F.lit(f"{neuris.BASE}/v1/law/"), F.lower("law_code")), 200, law).alias("a"))
+    pages = refs.where("law_code in ('bgb', 'HGB')").select("law_code", "section").distinct()
+    page = F.concat(F.lit("<html><body><p>Absatz "), F.col("section"), F.lit(" &amp; mehr</p></body></html>"))
+    pages = pages.select(answer(F.concat(F.lit(f"{neuris.BASE}/v1/"), F.lower("law_code"), F.lit("/art-"), "section", F.lit(".html")), F.when(F.col("section").cast("int") % 50 == 48, 502).otherwise(200), page).alias("a"))
+    searches = codes.select(answer(neuris.search_request(F.col("law_code")), F.when(F.col("law_code") == "ERR", 503).otherwise(200), search).alias("a"))
+    payloads = tables.stored(searches.unionByName(laws_).unionByName(pages).select("a.*"), "payloads")
+    got = neuris.neuris_sections(refs, payloads, F.lit("2024-05-06T07:08:09Z"))
+    return got.select("ref_id", "status", "section_row.heading", "section_row.text", "section_row.valid_from")
