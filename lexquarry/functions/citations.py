@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .catalogs import CITATION_WORDS, EU_ACTS, SOCIAL_CODE_PARTS, SWISS_CODES
+from .text import let
 
 #: What white space is, and the forms of codes, sections and markers.
 SPACE = r"[\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -147,7 +148,13 @@ def code_of_celex(celex: Column) -> Column:
 
 
 def _eu_reference(celex: Column, section: Column) -> Column:
-    return F.when(parse_celex(celex).isNotNull(), _reference(code_of_celex(celex), section, "article", "EU", None, celex, F.substring(celex, 6, 1)))
+    return let(celex, lambda c: F.when(parse_celex(c).isNotNull(), _reference(code_of_celex(c), section, "article", "EU", None, c, F.substring(c, 6, 1))))
+
+
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """All n groups of a pattern that covers the whole text, in one match; null if it doesn't. Groups hold no U+0001."""
+    taken = F.regexp_replace(text, pattern, "\u0001".join(["", *[f"${i}" for i in range(1, n + 1)], ""]))
+    return let(taken, lambda t: F.when(t.startswith("\u0001"), F.split(t, "\u0001")))
 
 
 def _first_of(*branches: tuple[Column, Column]) -> Column:
@@ -171,11 +178,14 @@ def _eu_alias_article(text: Column) -> Column:
     return _first_of((text.rlike(a), _eu_reference(celex_of_alias(take(a, 1)), take(a, 2))), (text.rlike(b), _eu_reference(celex_of_alias(take(b, 2)), take(b, 1))))
 
 
-def _words_table() -> Column:
-    """One literal row a language: its markers, names of acts by type, and code, in small letters."""
-    marked = lambda marks: ", ".join(f"'{m.lower()}'" for m in marks)
-    rows = [f"named_struct('marks', array({marked(marks)}), 'acts', {_map_sql({r.lower(): 'R', l.lower(): 'L', d.lower(): 'D'})}, 'org', '{org.lower()}')" for _, marks, r, l, d, org in CITATION_WORDS]
-    return F.expr(f"array({', '.join(rows)})")
+def _type_of_words(words: Column) -> Column:
+    """R, L or D for `marker|name of the act|code` in small letters, all of one language; null if there is none."""
+    types: dict[str, str] = {}
+    for _, marks, r, l, d, org in CITATION_WORDS:
+        for mark in marks:
+            for kind, name in (("R", r), ("L", l), ("D", d)):
+                types.setdefault(f"{mark}|{name}|{org}".lower(), kind)
+    return F.try_element_at(_literal_map(types), words)
 
 
 def document_type_of(label: Column) -> Column:
@@ -196,15 +206,15 @@ def _eu_named_article(text: Column) -> Column:
     word, act = r"([\p{L}\p{M}]+)", r"(?:\(([\p{L}\p{M}]+)\) ([0-9]{4})/([0-9]{1,6})|([0-9]{4})/([0-9]{1,6})/([\p{L}\p{M}0-9]+))"
     a, b = rf"\A{word}\.? ?({SECTION}) {word} {act}\z", rf"\A{word} {act} {word}\.? ?({SECTION})\z"
 
-    def branch(p: str, mark: int, section: int, label: int, first: int) -> tuple[Column, Column]:
-        take = lambda i: F.regexp_extract(text, p, i)
-        either = lambda i, j: F.when(take(i) != "", take(i)).otherwise(take(j))
-        org, year, number = either(first, first + 5), either(first + 1, first + 3), either(first + 2, first + 4)
-        fits = F.filter(_words_table(), lambda w: F.array_contains(w["marks"], F.lower(take(mark))) & F.map_contains_key(w["acts"], F.lower(take(label))) & (w["org"] == F.lower(org)))
-        kind = F.try_element_at(F.try_element_at(fits, F.lit(1))["acts"], F.lower(take(label)))
-        return text.rlike(p), _eu_reference(F.concat(F.lit("3"), year, kind, padded_number(number)), take(section))
+    def branch(p: str, mark: int, section: int, label: int, first: int) -> Column:
+        def made(g: Column) -> Column:
+            either = lambda i, j: F.when(g[i] != "", g[i]).otherwise(g[j])
+            kind = _type_of_words(F.lower(F.concat_ws("|", g[mark], g[label], either(first, first + 5))))
+            return _eu_reference(F.concat(F.lit("3"), either(first + 1, first + 3), kind, padded_number(either(first + 2, first + 4))), g[section])
+
+        return let(_groups(text, p, 9), made)
 
-    return _first_of(branch(a, 1, 2, 3, 4), branch(b, 8, 9, 1, 2))
+    return F.coalesce(branch(a, 1, 2, 3, 4), branch(b, 8, 9, 1, 2))
 
 
 def is_eu_alias(text: Column) -> Column:
