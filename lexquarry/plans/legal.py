@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalogs, languages, laws, present, text
 from ..operators import acts, lookup, resolve, tables, temporal
-from ..sources import boe, discovery
+from ..sources import boe, bwb, discovery
 from .registry import _query, _table
 
 
@@ -263,8 +263,8 @@ def bwb_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
         field("geldigheidsperiode_startdatum", day), field("geldigheidsperiode_einddatum", F.lit("9999-12-31")), field("zichtperiode_startdatum", day), field("zichtperiode_einddatum", F.lit("9999-12-31")), F.lit("</record>"),
     )
     xml = F.concat(F.lit("<searchRetrieveResponse>"), field("numberOfRecords", F.lit("2")), record, record, F.lit("</searchRetrieveResponse>"))
-    got = _table(spark, sf_dir, "orders").select("o_orderkey", discovery.bwb_search(xml, F.lit("1998-06-30"), code).alias("x"))
-    return got.select("o_orderkey", F.col("x.status").alias("status"))
+    answers = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ref_id"), F.lit("1998-06-30").alias("day"), code.alias("wanted"), xml.alias("xml"))
+    return bwb.states(answers)[0].select(F.col("ref_id").alias("o_orderkey"), "status")
 
 
 @_query("""SELECT p_partkey, 'titulo:' || replace(replace(p_brand, '-', '\\-'), '#', '#') || ' AND numero_oficial:' || CAST(p_size AS VARCHAR) || '\\/2015 AND titulo:' || CAST(p_partkey AS VARCHAR) || '*' AS query FROM part""")

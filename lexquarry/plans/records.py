@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import laws
 from ..operators import tables
-from ..sources import cellar, eurlex, german, neuris
+from ..sources import bwb, cellar, eurlex, german, neuris
 from .registry import _CELEX, _VALID, _celex_of_orders, _query, _table
 
 _UUID_SQL = "printf('%08x-0000-4000-8000-%012x', o_orderkey, o_orderkey * 7)"
@@ -193,3 +193,35 @@ def neuris_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     payloads = tables.stored(searches.unionByName(laws_).unionByName(pages).select("a.*"), "payloads")
     got = neuris.neuris_sections(refs, payloads, F.lit("2024-05-06T07:08:09Z"))
     return got.select("ref_id", "status", "section_row.heading", "section_row.text", "section_row.valid_from")
+
+
+@_query("""WITH x AS (SELECT o_orderkey, o_custkey % 9 AS f, o_custkey AS c, o_orderkey % 4 AS s FROM orders)
+           SELECT o_orderkey AS ref_id, CASE WHEN f IN (1, 6) OR s = 3 AND f NOT IN (2, 3, 4, 5, 7) THEN 'not-found' WHEN f IN (2, 3, 4, 7) THEN 'contract' WHEN f = 5 THEN 'unavailable' WHEN s = 2 THEN 'contract' ELSE 'ok' END AS status,
+                  CASE WHEN f IN (0, 8) AND s < 2 THEN CASE s WHEN 0 THEN 'Eerste ' || c || ' lid nadruk' || chr(10) || 'Tweede' ELSE 'Los' END END AS text, CASE WHEN f IN (0, 8) AND s < 2 THEN 'Wet & meer' END AS law_title FROM x""")
+def bwb_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dutch articles by two requests. By the law f: no state (1), two of them (2), one of another law (3) or day (4), a
+    failed answer (5), no document (6), another document (7). By the order s: articles 1a, 2, 3 (without text), 4 (twice)."""
+    orders = _table(spark, sf_dir, "orders")
+    code = F.format_string("BWBR%07d", (F.col("o_custkey") % 10000000).cast("int"))
+    s = F.col("o_orderkey") % 4
+    refs = orders.select(F.col("o_orderkey").alias("ref_id"), F.lower(code).alias("law_code"), F.when(s == 0, "1A").otherwise((s + 1).cast("string")).alias("section"))
+    once = orders.select((F.col("o_custkey") % 9).alias("f"), code.alias("code"), F.col("o_custkey").cast("string").alias("c")).distinct()
+    f, day = F.col("f"), "2000-06-30"
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value if not isinstance(value, str) else F.lit(value), F.lit(f"</{name.split(' ')[0]}>"))
+    state = F.concat(F.lit("http://wetten.overheid.nl/id/"), "code", F.lit("/2000-01-01/0"))
+    other = F.when(f == 3, "BWBR9999999").otherwise(F.col("code"))
+    place = F.concat(F.lit("https://repository.officiele-overheidspublicaties.nl/bwb/"), other, F.lit("/2000-01-01_0/xml/"), other, F.lit("_2000-01-01_0.xml"))
+    record = tag("srw:record", F.concat(
+        tag("dcterms:identifier", F.col("code")), tag("dcterms:title", " Wet  &amp; meer"), tag("overheidbwb:toestand", state), tag("overheidbwb:locatie_toestand", place), tag("overheidbwb:geldigheidsperiode_startdatum", "2000-01-01"),
+        tag("overheidbwb:geldigheidsperiode_einddatum", F.when(f == 4, "2000-06-29").otherwise(day)), tag("overheidbwb:zichtperiode_startdatum", day), tag("overheidbwb:zichtperiode_einddatum", "9999-12-31"),
+    ))
+    count = F.when(f == 1, 0).when(f == 2, 2).otherwise(1)
+    search = tag("srw:searchRetrieveResponse", F.concat(tag("srw:numberOfRecords", count.cast("string")), F.array_join(F.array_repeat(record, count), "")))
+    article = lambda label, inner: F.concat(F.lit(f'<artikel label="Artikel {label}">'), inner if not isinstance(inner, str) else F.lit(inner), F.lit("</artikel>"))
+    text = F.concat(article("1a", F.concat(F.lit("<kop>x</kop><lid><al>Eerste "), "c", F.lit(" <nadruk>nadruk</nadruk>lid</al></lid><lid><al> Tweede </al></lid>"))), article("2", "<al>Los</al>"), article("3", "<kop>y</kop>"), article("4", "<al>z</al>"), article("4", "<al>z</al>"))
+    document = F.concat(F.lit('<?xml version="1.0"?><toestand bwb-id="'), F.when(f == 7, "BWBR0").otherwise(F.col("code")), F.lit('" bwb-ng-vast-deel="'), state, F.lit('"><wetgeving xml:lang="nl">'), text, F.lit("</wetgeving></toestand>"))
+    answer = lambda request, status, body: F.struct(request.alias("request"), status.cast("int").alias("status"), body.alias("body"))
+    both = F.array(answer(bwb.search_request(F.col("code"), F.lit(day)), F.when(f == 5, 500).otherwise(200), search), answer(place, F.when(f == 6, 404).otherwise(200), document))
+    payloads = tables.stored(once.select(F.explode(both).alias("a")).select("a.*").where("request not like '%9999999%'"), "payloads")
+    got = bwb.bwb_sections(refs, payloads, F.lit(day), F.lit("2024-05-06T07:08:09Z"))
+    return got.select("ref_id", "status", "section_row.text", "section_row.law_title")

@@ -24,8 +24,6 @@ MOST = 8
 BOE_ID, BWB_ID = r"BOE-A-[0-9]{4}-[0-9]{1,5}", r"BWBR[0-9]{7}"
 LISTS_IN_DATA, LISTS = ("lista", "risultati", "results", "atti"), ("listaAtti", "lista", "risultati", "results", "atti")
 RESULT = "status string, reason string, entries array<struct<canonical_input:string,title:string,source_url:string>>"
-_STATE = re.compile(r"https?://wetten\.overheid\.nl/id/(BWBR[0-9]{7})/([0-9]{4}-[0-9]{2}-[0-9]{2})/([0-9]+)")
-_LOCATOR = re.compile(r"https://repository\.officiele-overheidspublicaties\.nl/bwb/(BWBR[0-9]{7})/([0-9]{4}-[0-9]{2}-[0-9]{2})_([0-9]+)/xml/\1_\2_\3\.xml")
 
 Entry = tuple[str, str, str | None]
 
@@ -141,31 +139,6 @@ def _normattiva(payload: str) -> list[Entry]:
     return [x for c in found if (x := normattiva_candidate(c))]
 
 
-def _bwb(xml: str, day: str, wanted: str | None) -> list[Entry]:
-    root = ET.fromstring(xml)
-    one = lambda node, name: "\0".join(tree_text(x) for x in _named(node, name))
-    if _local(root.tag) != "searchRetrieveResponse" or not re.fullmatch("[0-9]+", one(root, "numberOfRecords")):
-        raise Contract("root")
-    records, out = _named(root, "record"), {}
-    for r in records:
-        number, title, state, place = (one(r, n) for n in ("identifier", "title", "toestand", "locatie_toestand"))
-        a, b = _STATE.fullmatch(state), _LOCATOR.fullmatch(place)
-        days = [one(r, n) for n in ("geldigheidsperiode_startdatum", "geldigheidsperiode_einddatum", "zichtperiode_startdatum", "zichtperiode_einddatum")]
-        if not re.fullmatch(BWB_ID, number) or not title or not a or not b or not all(map(_is_day, days)):
-            raise Contract("record")
-        if a.groups() != b.groups() or a[1] != number:
-            raise Contract("identity")
-        if not (days[0] <= day <= days[1] and days[2] <= day <= days[3]):  # both intervals, ends included
-            raise Contract("date")
-        if wanted and number != wanted:
-            raise Contract("another law")
-        if out.setdefault(number, (number, title, place)) != (number, title, place):
-            raise Contract("conflict")
-    if int(one(root, "numberOfRecords")) and not records:
-        raise Contract("no records")
-    return list(out.values())
-
-
 def _finlex_document(xml: str, code: str) -> list[Entry]:
     number, year = code.split("/")
     title = _finlex_identity(ET.fromstring(xml), number, year, "fin")
@@ -181,11 +154,6 @@ def normattiva_search(payload: Column) -> Column:
     return _column(_normattiva, payload)
 
 
-def bwb_search(xml: Column, day: Column, wanted: Column) -> Column:
-    """One bad record makes the whole answer malformed. wanted: the number that was asked for, null for titles."""
-    return _column(_bwb, xml, day, wanted)
-
-
 def finlex_documents(xml: Column, code: Column) -> Column:
     return _column(_finlex_document, xml, code)
 
