@@ -32,7 +32,7 @@ def states(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     record has each field once, a state whose name and address agree, and both its intervals hold the day; one that
     hasn't, or two of a number that differ, make the whole answer malformed.
     """
-    nodes = stored(N.shred(answers, KEYS, "xml"), "records")
+    nodes = stored(N.shred(answers, KEYS, "xml", only_elements=True), "records")
     local = N.local_name(F.col("name"))
     records = N.elements(nodes).where(local == "record").select(*KEYS, F.col("pre").alias("at"), F.col("post").alias("to"))
     fields = N.elements(nodes).where(local.isin(*FIELDS)).select(*KEYS, "pre", "post", local.alias("name"), _plain(F.coalesce("text", F.lit(""))).alias("text"))
@@ -71,7 +71,7 @@ def articles(documents: DataFrame) -> DataFrame:
     documents: ref_id, number, version, label, xml. The text of a line is what stands in it directly, then what stands
     in its parts, in their order.
     """
-    nodes = stored(N.shred(documents, KEYS, "xml"), "toestanden")
+    nodes = stored(N.shred(documents, KEYS, "xml", only_elements=True), "toestanden")
     local, a = N.local_name(F.col("name")), F.col("attributes")
     every = N.elements(nodes).select(*KEYS, "pre", "post", local.alias("name"), "text", a["label"].alias("label"), F.coalesce(a["xml:lang"], a["lang"]).alias("lang"), a["bwb-id"].alias("law"), a["bwb-ng-vast-deel"].alias("part"))
     roots = every.groupBy(*KEYS).agg(F.max(F.when(F.col("pre") == 0, F.struct("name", "law", "part"))).alias("r"), F.array_sort(F.collect_list(F.when(F.col("name") == "wetgeving", F.col("lang")))).alias("langs"))

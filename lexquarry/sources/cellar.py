@@ -61,7 +61,7 @@ def rdf_works(records: DataFrame) -> DataFrame:
     languages are those of expressions that belong to it; titles are taken from all nodes, the last of a language.
     """
     keys = ["ref_id"]
-    nodes = stored(N.shred(records, keys, "rdf"), "records")
+    nodes = stored(N.shred(records, keys, "rdf", only_elements=True), "records")
     said = stored(N.statements(nodes, keys), "statements")
     known = records.select(*keys, "celex")
     subjects = N.elements(nodes).where(N.local_name(F.col("name")) == "Description").select(*keys, "pre", F.col("attributes")["rdf:about"].alias("node")).join(known, keys)

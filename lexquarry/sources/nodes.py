@@ -26,8 +26,8 @@ NODE = T.StructType(
 class _Reader:
     """The nodes of one document, in the order of NODE's fields."""
 
-    def __init__(self, markup_of: frozenset[str]):
-        self.markup_of = markup_of
+    def __init__(self, markup_of: frozenset[str], only_elements: bool):
+        self.markup_of, self.only_elements = markup_of, only_elements
 
     def read(self, xml: str) -> list[list]:
         self.direct: list[list[str]] = []
@@ -52,7 +52,8 @@ class _Reader:
         path = (above[7] if above else "") + (f"/{name}" if kind == "element" else "")
         row = [self.count, None, above[0] if above else None, len(self.open), kind, name, None, path, None, text, None]
         self.count += 1
-        self.rows.append(row)
+        if kind == "element" or not self.only_elements:
+            self.rows.append(row)
         return row
 
     def _leaf(self, kind: str, name: str | None, text: str) -> None:
@@ -97,21 +98,21 @@ class _Reader:
             row[10] = "" if empty else self.source[row[10] : self.parser.CurrentByteIndex].decode()
 
 
-def shred(payloads: DataFrame, keys: list[str], xml_col: str, markup_of: tuple[str, ...] = ()) -> DataFrame:
+def shred(payloads: DataFrame, keys: list[str], xml_col: str, markup_of: tuple[str, ...] = (), *, only_elements: bool = False) -> DataFrame:
     """keys and the fields of NODE: the nodes of each row's document. keys name a row.
 
     name is as written, namespace what its prefix stands for; attributes are as written, declarations of prefixes
     too. path has the names from the root, for other nodes than elements those around it. text is, of an
     element, all that stands directly in it (null if nothing does); markup is the source inside the elements that
     markup_of names. A document that can't be read, or has a document type, has one node, of kind
-    `error`; null has none.
+    `error`; null has none. With only_elements texts, comments and instructions are numbered but have no rows.
     """
     schema = T.StructType([*[payloads.schema[k] for k in keys], *NODE.fields])
     arrow = to_arrow_schema(schema)
     wanted = frozenset(markup_of)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(wanted)
+        reader = _Reader(wanted, only_elements)
         for batch in batches:
             held, of = [], []
             for i, xml in enumerate(batch.column(len(keys)).to_pylist()):
