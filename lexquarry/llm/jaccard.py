@@ -9,7 +9,8 @@
    sizes, and skipped by size and position of their blocks, they tell which different frames can have links.
 4. Two blocks meet in a task, which has the answers of one set, its counts with all sets of the other block, and derives
    those of each similar set from them: only the hashes in which both differ from it are looked up. Links leave the task
-   as a sum and a root for each set, never as pairs, so a large group of near copies costs rows by its size.
+   as a sum and a root for each set, never as pairs, so a large group of near copies costs rows by its size. A frame of
+   one block is compared where it lies; of a larger one, tiles of TILE by TILE blocks are dealt out.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ FRAME = 50
 LEADING = 2
 #: Bytes of hashes in a block of a frame, entries of an index list that meet in one task, blocks that follow another.
 FRAME_BYTES, LIST_ENTRIES, FOLLOWERS = 2 << 20, 4096, 64
+#: Blocks of one frame that a task holds while others of it pass: a block is copied once for so many that it meets.
+TILE = 16
 #: Hashes that a task holds before it hands its buckets on.
 HELD = 1_000_000
 CACHED_WORDS = 200_000
@@ -91,6 +94,13 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def _whole(low: np.ndarray, bucket: int, n: int) -> np.ndarray:
+    """Hashes from the low bits that travelled and their bucket of n, which stands for the high ones: 16 bits, or as many
+    more as there are buckets, which then tell as much as the bits whose place they take."""
+    bits = max(16, (n - 1).bit_length())
+    return low & np.uint64((1 << 64 - bits) - 1) | np.uint64(bucket << 64 - bits)
+
+
 def _packed(arrays: tuple[np.ndarray, ...]) -> bytes:
     return b"".join(len(x := a.tobytes()).to_bytes(8, "little") + x for a in arrays)
 
@@ -181,7 +191,7 @@ def _shared(n: int):
             names, sizes, counts, lows = (np.concatenate(p) for p in zip(*[_unpacked(b.as_py(), "V16", "<u4", "<u4", "u1") for b in blobs], strict=True))
             wide = np.zeros((len(lows) // 6, 8), np.uint8)
             wide[:, :6] = lows.reshape(-1, 6)
-            h = wide.view("<u8").ravel()
+            h = _whole(wide.view("<u8").ravel(), group.column("bucket")[0].as_py(), n)
             del wide, lows
             # a set that several tasks met counts once
             _, first = np.unique(names, return_index=True)
@@ -196,7 +206,7 @@ def _shared(n: int):
             often[order] = np.repeat(np.diff(edge), np.diff(edge))
             keep = often > 1
             owner = np.repeat(np.arange(len(names)), counts)[keep]
-            h, often = h[keep] | np.uint64(group.column("bucket")[0].as_py() << 48), often[keep]
+            h, often = h[keep], often[keep]
             edge = _edges(owner)
             used, lengths = owner[edge[:-1]], np.diff(edge)
             to = names[used].view("<u8")[::2] % np.uint64(n) if len(used) else np.zeros(0, np.uint64)
@@ -345,9 +355,16 @@ def _alike(x: Block, y: Block, percent: int) -> Iterator[tuple[bytes, bytes, int
         yield x.names[0], y.names[j], 1
 
 
+_FOUND = "x binary, y binary, n long"
+
+
+def _found(out: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["x", "y", "n"])
+
+
 def _meet(how, percent: int):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each group first a block, then those that it is to meet; a block that meets itself comes once."""
+        """Of each group first a block, then those that it is to meet."""
         key = left = None
         for batch in batches:
             out: list[tuple[bytes, bytes, int]] = []
@@ -355,8 +372,8 @@ def _meet(how, percent: int):
                 if b is None:
                     key, left = (a, salt), Block(members.as_py())
                 elif key == (a, salt):
-                    out.extend(how(left, left if a == b else Block(members.as_py()), percent))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["x", "y", "n"])
+                    out.extend(how(left, Block(members.as_py()), percent))
+            yield _found(out)
 
     return meet
 
@@ -369,7 +386,50 @@ def _compared(pairs: DataFrame, blocks: DataFrame, how, percent: int) -> DataFra
     right = right.join(blocks.withColumnRenamed("block", "b"), "b").select("a", "salt", "b", "members")
     left = often.select("a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")).join(blocks.withColumnRenamed("block", "a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "members")
     both = left.unionByName(right).repartition(partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return both.mapInArrow(_meet(how, percent), "x binary, y binary, n long")
+    return both.mapInArrow(_meet(how, percent), _FOUND)
+
+
+def _alone(how, percent: int):
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block with itself."""
+        for batch in batches:
+            for members in batch.column("members"):
+                block = Block(members.as_py())
+                yield _found(list(how(block, block, percent)))
+
+    return alone
+
+
+def _tile(how, percent: int):
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each tile first the blocks that are held, then those that pass; a tile of the diagonal has held ones alone."""
+        key, held = None, []
+        for batch in batches:
+            for frame, row, col, passing, members in zip(*[batch.column(c).to_pylist() for c in ("frame", "row", "col", "passing")], batch.column("members"), strict=True):
+                if key != (frame, row, col):
+                    key, held = (frame, row, col), []
+                block, out = Block(members.as_py()), []
+                if passing or row == col:
+                    for left in held:
+                        out.extend(how(left, block, percent))
+                if not passing:
+                    if row == col:
+                        out.extend(how(block, block, percent))
+                    held.append(block)
+                yield _found(out)
+
+    return tile
+
+
+def _within(blocks: DataFrame, how, percent: int) -> DataFrame:
+    """x, y, n of all pairs of blocks of the same frame, and of each block with itself."""
+    own = blocks.where("chunks = 1 and k > 1").select("members").mapInArrow(_alone(how, percent), _FOUND)
+    many = blocks.where("chunks > 1").withColumn("at", F.floor(F.col("chunk") / TILE).cast("int"))
+    last = F.floor((F.col("chunks") - 1) / TILE).cast("int")
+    held = many.select("frame", F.col("at").alias("row"), F.explode(F.sequence("at", last)).alias("col"), F.lit(False).alias("passing"), "members")
+    passing = many.where("at > 0").select("frame", F.explode(F.sequence(F.lit(0), F.col("at") - 1)).alias("row"), F.col("at").alias("col"), F.lit(True).alias("passing"), "members")
+    tiles = held.unionByName(passing).repartition(partitions(blocks.sparkSession), "frame", "row", "col").sortWithinPartitions("frame", "row", "col", "passing")
+    return own.unionByName(tiles.mapInArrow(_tile(how, percent), _FOUND))
 
 
 # frames
@@ -397,13 +457,14 @@ def _frames(sets: DataFrame) -> DataFrame:
 
 
 def _blocks(sets: DataFrame, frames: DataFrame) -> DataFrame:
-    """frame, block, k, members: the sets of a frame in blocks of about FRAME_BYTES."""
+    """frame, block, chunk (its number), chunks (of the frame), k, members: the sets of a frame in blocks of about
+    FRAME_BYTES."""
     size = F.octet_length("tokens") + 64
     chunks = sets.join(frames, "node").groupBy("frame").agg(F.ceil(F.sum(size) / FRAME_BYTES).cast("int").alias("chunks"))
     own = sets.join(frames, "node").join(chunks, "frame").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
     # dealt by both: after the join a frame's sets lie in one task
-    packed = own.repartition(partitions(sets.sparkSession), "frame", "chunk").groupBy("frame", "chunk").agg(F.collect_list(F.struct("node", "n", "tokens")).alias("members"))
-    return packed.select("frame", F.concat("frame", F.hex("chunk").cast("binary")).alias("block"), F.size("members").alias("k"), "members")
+    packed = own.repartition(partitions(sets.sparkSession), "frame", "chunk").groupBy("frame", "chunk").agg(F.max("chunks").alias("chunks"), F.collect_list(F.struct("node", "n", "tokens")).alias("members"))
+    return packed.select("frame", F.concat("frame", F.hex("chunk").cast("binary")).alias("block"), F.col("chunk").cast("int").alias("chunk"), "chunks", F.size("members").alias("k"), "members")
 
 
 def _frame_pairs(percent: int):
@@ -473,10 +534,10 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
     frames = _frames(sets)
     blocks = written(_blocks(sets, frames), "blocks")
     keys = blocks.select("frame", "block", "k")
-    within = keys.alias("l").join(keys.alias("r"), "frame").where("l.block < r.block or (l.block = r.block and l.k > 1)").select(F.col("l.block").alias("a"), F.col("r.block").alias("b"))
     across = cut(_crossing(sets, frames, n, percent)).join(keys.select(F.col("frame").alias("a"), F.col("block").alias("x"), F.col("k").alias("kx")), "a").join(keys.select(F.col("frame").alias("b"), F.col("block").alias("y"), F.col("k").alias("ky")), "b")
     across = across.select(F.when(F.col("kx") >= F.col("ky"), F.col("x")).otherwise(F.col("y")).alias("a"), F.when(F.col("kx") >= F.col("ky"), F.col("y")).otherwise(F.col("x")).alias("b"))  # the smaller one travels
-    found = written(_compared(cut(within.unionByName(across)), blocks.select("block", "members"), how, percent), "links")
+    met = _compared(cut(across), blocks.select("block", "members"), how, percent)
+    found = written(_within(blocks, how, percent).unionByName(met), "links")
     discard(blocks)
     return passed.where("blob is null").select("id", "node", "n"), found
 

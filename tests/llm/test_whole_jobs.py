@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from lexquarry.llm import jaccard, mixing
@@ -50,6 +53,41 @@ def test_jaccard_join_keeps_every_link(spark, docs):
     assert got[1].n_links == 3
 
 
+def test_frame_of_many_blocks(spark, docs, monkeypatch):
+    """Blocks of a few sets each, in tiles of two by two: every link of one large group is counted, and each pair listed once."""
+    monkeypatch.setattr(jaccard, "FRAME_BYTES", 4096)
+    monkeypatch.setattr(jaccard, "TILE", 2)
+    words = [f"w{i}" for i in range(140)]
+    texts = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in range(0, 96, 2)] + [" ".join(words)]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (t.split() for t in texts)]
+    links = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert len(links) > 1000
+    got = {r.doc_id: r for r in jaccard.jaccard_join(docs(texts)).collect()}
+    assert {k: r.n_links for k, r in got.items()} == {k: sum(k in p for p in links) for k in range(len(sets))}
+    assert {r.component_id for r in got.values()} == {0}
+    assert sorted(tuple(r) for r in jaccard.jaccard_links(docs(texts)).collect()) == sorted(links)
+
+
+def test_hashes_of_more_buckets_than_16_bits_name():
+    h = np.random.default_rng(3).integers(0, 1 << 63, 2000, dtype=np.uint64) * np.uint64(2)
+    for n in (1, 8, 65_536, 65_537, 6_500_000):
+        of = jaccard._bucket(h, n)
+        got = np.array([jaccard._whole(h[k : k + 1] & np.uint64((1 << 48) - 1), int(of[k]), n)[0] for k in range(len(h))])
+        assert len(np.unique(got)) == len(h) and (of.max() < n)
+    n = 1 << 20
+    words = [" ".join(f"v{i}" for i in range(k, k + 40)) for k in (0, 0, 5)]
+    ids, text = pa.array([0, 1, 2], pa.int64()), pa.array([f"x{k} {t}".encode() for k, t in enumerate(words)], pa.binary())
+    posts = pa.Table.from_batches(list(jaccard._post(n, 4)(iter([pa.RecordBatch.from_arrays([ids, text], names=["id", "text"])]))))
+    posts = posts.filter(pc.is_valid(posts.column("blob")))
+    kept = set()
+    for b in posts.column("bucket").unique().to_pylist():
+        assert b < n
+        shared = jaccard._shared(n)(posts.filter(pc.equal(posts.column("bucket"), b)))
+        for blob in shared.column("blob").drop_null():
+            kept |= set(jaccard._unpacked(blob.as_py(), "V16", "<u4", "<u4", "<u8", "<u4")[3].tolist())
+    assert len(kept) == 37  # what the first two texts share; the third one's others are its own
+
+
 def test_every_template_is_found_whole_and_against_brute_force(spark, docs):
     """A text with each template, one with most of it, one with half: containment by brute force over all windows."""
     import re
