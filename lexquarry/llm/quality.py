@@ -168,9 +168,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
 def score_quality(docs: DataFrame, model: RuleModel, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with the score in [0, 1]; a column of that name is replaced. Null and empty texts are scored as empty."""
-    own = [c for c in docs.columns if c != score_col]
-    with_stats = docs.select(*[F.col(f"`{c}`") for c in own], *[c.alias(f"_{s}") for s, c in statistics(F.col(text_col)).items()])
-    return with_stats.select(*[F.col(f"`{c}`") for c in own], model.score().alias(score_col))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != score_col])  # so that no name can clash with a statistic's
+    with_stats = docs.select(own.alias("row"), *[c.alias(f"_{s}") for s, c in statistics(F.col(text_col)).items()])
+    return with_stats.select("row.*", model.score().alias(score_col))
 
 
 def keep_quality(docs: DataFrame, model: RuleModel, threshold: float, *, text_col: str = "text") -> DataFrame:
@@ -179,6 +179,6 @@ def keep_quality(docs: DataFrame, model: RuleModel, threshold: float, *, text_co
     A filter on the score would be pushed below the statistics, and every rule would make its own again; it stops at
     a projection with a row number, which it therefore looks at.
     """
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    with_stats = docs.select(*own, F.monotonically_increasing_id().alias("_row"), *[c.alias(f"_{s}") for s, c in statistics(F.col(text_col)).items()])
-    return with_stats.where((model.score() >= threshold) & (F.col("_row") >= 0)).select(*own)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    with_stats = docs.select(own, F.monotonically_increasing_id().alias("_row"), *[c.alias(f"_{s}") for s, c in statistics(F.col(text_col)).items()])
+    return with_stats.where((model.score() >= threshold) & (F.col("_row") >= 0)).select("row.*")

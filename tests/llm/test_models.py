@@ -155,3 +155,12 @@ def test_mixing_edges(spark, docs):
     assert mixing.mix(docs([])).count() == 0
     sample = mixing.mix(docs(["a b c"] * 3000), keep=0.4).count()
     assert 1050 < sample < 1350
+
+
+def test_quality_beside_columns_named_as_its_own(spark):
+    model = quality.fit_rules(np.array([[float(i), float(i % 7)] for i in range(60)]), np.array([float(i > 30) for i in range(60)]), list(quality.statistics(F.lit("")))[:2])
+    rows = spark.createDataFrame([(1, "a text of words", "p", 2, 3, 0.5), (2, None, "q", 4, 5, 0.5)], "doc_id long, text string, _chars string, _row long, row long, score double")
+    got = quality.score_quality(rows, model)
+    assert got.columns == ["doc_id", "text", "_chars", "_row", "row", "score"] and [r._chars for r in got.orderBy("doc_id").collect()] == ["p", "q"]
+    kept = quality.keep_quality(rows, model, 0.0)
+    assert kept.columns == rows.columns and sorted(map(tuple, kept.collect()), key=lambda r: r[0]) == sorted(map(tuple, rows.collect()), key=lambda r: r[0])
