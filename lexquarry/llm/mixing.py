@@ -102,21 +102,21 @@ def measured(docs: DataFrame, *, text_col: str = "text", topic: Column | None =
     return docs.withColumns({"topic": topic, "n_tokens": n_tokens(F.col(text_col))})
 
 
-def mixing_weights(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, targets: dict[str, DataFrame] | None = None, keep: float = 0.5, counted: bool = False) -> DataFrame:
+def mixing_weights(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, targets: dict[str, DataFrame] | None = None, keep: float = 0.5, lift: float = LIFT, counted: bool = False) -> DataFrame:
     """docs with topic, n_tokens, weight, probability and margin_error (columns of these names are replaced).
 
     keep is the share of all tokens that the sample is to have at most: the factor of a cell is its raked share over
     its share of the tokens, a probability keep times that. Where the largest factor would pass 1 by that, all cells
     have the same smaller constant in place of keep, 1 over the largest factor: no probability is cut off, the margins
     of probability times tokens stay the targets, and the cell that needs it most is kept whole. Targets that are given
-    are taken as they are; the default ones are balanced_targets, whose lift is limited. Null sources and
+    are taken as they are; the default ones are balanced_targets, none over lift times its own share. Null sources and
     languages are values of their own. A document without tokens has the probability of its cell, 0 if the whole cell
     has no tokens. counted says that docs has topic and n_tokens, by measured(), and needs no text.
     """
     docs = docs.drop("weight", "probability", "margin_error")
     rows = docs if counted else measured(docs, text_col=text_col, topic=topic)
     cells = written(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    targets = targets or {d: balanced_targets(cells, d) for d in DIMENSIONS}
+    targets = targets or {d: balanced_targets(cells, d, lift=lift) for d in DIMENSIONS}
     raked = rake(cells, targets)
     raked = raked.withColumn("weight", F.when(F.col("tokens") > 0, F.col("weight") * F.lit(_total(cells, "tokens")) / F.col("tokens")).otherwise(0.0))
     largest = raked.agg(F.max("weight")).first()[0] or 0.0
