@@ -18,9 +18,9 @@ from pyspark.sql import types as T
 from .common import small_batches, uniform
 from .compression import Compressors, windows
 
-#: Rows of a language that its dictionary is made from at most (about), bytes of the window that is drawn from each, at
-#: a place by chance within its whole text, and bytes of the dictionary.
-TRAINING_ROWS, ROW_BYTES, DICTIONARY_BYTES = 160, 512, 64 << 10
+#: Rows of a language that its dictionary is made from (about), and bytes of the window that is drawn from each, at a
+#: place by chance within its whole text: all that is drawn is in the dictionary.
+TRAINING_ROWS, ROW_BYTES = 128, 512
 WINDOW_BYTES = 2048
 #: From this zstandard level on matches of few letters are found, which tell related languages apart.
 LEVEL = 9
@@ -40,7 +40,7 @@ def letters(text: str) -> bytes:
 class LanguageModel:
     def __init__(self, samples: dict[str, list[bytes]]):
         self.languages = sorted(samples)
-        self.compressors = Compressors([_content(samples[k]) for k in self.languages], raw=True, level=LEVEL)
+        self.compressors = Compressors([b" ".join(samples[k]) or b"\0" * 8 for k in self.languages], raw=True, level=LEVEL)
 
     def predict(self, text: bytes) -> tuple[str, float, bool]:
         """The language, the score in [0, 1] and whether the margin is narrow."""
@@ -57,23 +57,13 @@ class LanguageModel:
         return self.languages[order[0]], float(1 / np.exp(-np.minimum(more, 600) / 4).sum()), bool(margin < NARROW)
 
 
-def _content(samples: list[bytes]) -> bytes:
-    out, size = [], 0
-    for s in samples:
-        if size >= DICTIONARY_BYTES:
-            break
-        out.append(s)
-        size += len(s)
-    return b" ".join(out)[-DICTIONARY_BYTES:] or b"\0" * 8
-
-
 def train_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAINING_ROWS) -> LanguageModel:
     """A dictionary for each language that any row names, from a bounded sample of its rows.
 
-    Rows without text or language teach nothing. The number of rows of a language sets the share that is drawn, so no
-    language's rows meet in one task.
+    Rows without text or language teach nothing. The number of rows of a language sets the share that is drawn, by a hash
+    of id and text, so no language's rows meet in one task, and rows that share an id aren't drawn together.
     """
-    own = docs.select(F.col(lang_col).alias("_lang"), uniform(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "language").alias("_u"), F.col(text_col).alias("_text")).where("_lang is not null and _text is not null and _text <> ''")
+    own = docs.select(F.col(lang_col).alias("_lang"), uniform(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(text_col), "language").alias("_u"), F.col(text_col).alias("_text")).where("_lang is not null and _text is not null and _text <> ''")
     counts = {r[0]: r[1] for r in own.groupBy("_lang").count().collect()}
     if not counts:
         return LanguageModel({})
@@ -94,7 +84,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, *, text_col: str =
     first language by name.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DICTIONARY_BYTES for each language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # about TRAINING_ROWS * ROW_BYTES for each language
     out = docs.drop("lang_pred", "score", "rejected")
     schema = T.StructType([*out.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
