@@ -11,6 +11,7 @@ from .languages import native_name
 #: The notices and the footer of a formatted section.
 ENGLISH_NOTICE = "Textvariante: Englischer Gesetzestext von Gesetze im Internet (nicht amtlich)."
 AUSTRIAN_NOTICE = "Bundesrecht konsolidiert; Informationsfassung, rechtlich unverbindlich."
+FINNISH_NOTICE = "Finlex consolidated text from an official source; the retrieved consolidated expression is marked non-authoritative."
 LANGUAGE_NOTICE = "Amtliche EU-Sprachfassung: %s."
 CELEX_NOTICE = "CELEX: %s."
 SOURCE_NOTICE, CACHE_NOTICE = "Quelle: %s%s, %s, abgerufen am %s.", "Cache: %s."
@@ -64,3 +65,25 @@ def markdown_section(s: Column, footer: bool = True) -> Column:
     if footer:
         parts.append(F.array(blank, F.format_string(SOURCE_NOTICE, s["provider"], optional(law, ", %s"), label, F.substring(s["retrieved_at"], 1, 10)), F.format_string(CACHE_NOTICE, s["cache_status"])))
     return F.array_join(F.concat(*parts), "\n")
+
+
+def preview(s: Column, footer: bool = True) -> Column:
+    """A section as it is shown before it is taken over: struct of title, paragraphs (the lines of its text) and
+    metadata_lines (notices, and with footer where it is from).
+
+    s as for markdown_section, with is_authoritative_text; a Finnish text has a notice unless that is true. A null text
+    has no paragraphs, an empty one has one that is empty.
+    """
+    label, law = reference_label(s["reference_type"], s["section"], s["subsection"]), law_label(s["jurisdiction"], s["law_code"], s["law_title"])
+    has = lambda c: F.coalesce(c != "", F.lit(False))
+    after = lambda c, mark: F.when(has(c), F.concat(F.lit(mark), c)).otherwise("")
+    name, eu = native_name(s["language"]), s["jurisdiction"] == "EU"
+    lines = [
+        F.when(s["variant"] == "translation-en", ENGLISH_NOTICE), F.when(s["jurisdiction"] == "AT", AUSTRIAN_NOTICE),
+        F.when((s["jurisdiction"] == "FI") & ~F.coalesce(s["is_authoritative_text"], F.lit(False)), FINNISH_NOTICE),
+        F.when(eu & name.isNotNull(), F.format_string(LANGUAGE_NOTICE, name)), F.when(eu & has(s["celex"]), F.format_string(CELEX_NOTICE, s["celex"])),
+    ]
+    if footer:
+        lines += [F.format_string(SOURCE_NOTICE, s["provider"], after(law, ", "), label, F.substring(s["retrieved_at"], 1, 10)), F.format_string(CACHE_NOTICE, s["cache_status"])]
+    title = F.concat(label, after(law, " "), after(s["heading"], " – "))
+    return F.struct(title.alias("title"), F.coalesce(F.split(s["text"], "\n"), F.array().cast("array<string>")).alias("paragraphs"), F.array_compact(F.array(*lines)).alias("metadata_lines"))

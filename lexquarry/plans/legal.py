@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalogs, languages, laws, present, text
-from ..operators import acts, lookup, resolve, tables, temporal
+from ..operators import acts, lookup, ordering, resolve, tables, temporal
 from ..sources import boe, bwb, discovery
 from .registry import _query, _table
 
@@ -343,6 +343,49 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", present.markdown_section(s).alias("markdown"))
 
 
+@_query(f"""WITH {_LANGUAGES}, d AS (SELECT doc_id, doc_id % 7 AS f, CAST(doc_id % 300 AS VARCHAR) AS s, text FROM documents)
+            SELECT doc_id, CASE WHEN f = 1 THEN 'Art. ' || s || ' § 2' ELSE '§ ' || s END || CASE f WHEN 4 THEN ' Il titolo' WHEN 5 THEN '' ELSE ' ABC' END || CASE WHEN f = 2 THEN ' – Kopf' ELSE '' END AS title,
+              CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INT) AS n_paragraphs, md5(text) AS text_md5,
+              CASE f WHEN 0 THEN 'Textvariante: Englischer Gesetzestext von Gesetze im Internet (nicht amtlich).|' WHEN 2 THEN 'Bundesrecht konsolidiert; Informationsfassung, rechtlich unverbindlich.|'
+                     WHEN 3 THEN 'Amtliche EU-Sprachfassung: ' || (SELECT name FROM languages WHERE eli = 'deu') || '.|CELEX: 32016R0679.|'
+                     WHEN 6 THEN CASE WHEN doc_id % 2 = 0 THEN 'Finlex consolidated text from an official source; the retrieved consolidated expression is marked non-authoritative.|' ELSE '' END ELSE '' END
+              || 'Quelle: p' || CASE f WHEN 4 THEN ', Il titolo' WHEN 5 THEN '' ELSE ', ABC' END || ', ' || CASE WHEN f = 1 THEN 'Art. ' || s || ' § 2' ELSE '§ ' || s END || ', abgerufen am 2024-05-06.|Cache: ' || CASE WHEN doc_id % 5 = 0 THEN 'stale' ELSE 'live' END || '.' AS metadata FROM d WHERE text IS NOT NULL""")
+def section_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = F.col("doc_id") % 7
+    s = F.struct(
+        F.when(f == 2, "AT").when(f == 3, "EU").when(f == 4, "IT").when(f == 5, "NL").when(f == 6, "FI").otherwise("DE").alias("jurisdiction"), F.lit("ABC").alias("law_code"), F.when(f == 4, " Il titolo ").otherwise("").alias("law_title"),
+        (F.col("doc_id") % 300).cast("string").alias("section"), F.when(f == 1, "2").alias("subsection"), F.when(f == 1, "article").otherwise("section").alias("reference_type"), F.when(f == 2, "Kopf").alias("heading"), F.col("text"),
+        F.when(f == 0, "translation-en").alias("variant"), F.when(f == 3, "deu").alias("language"), F.when(f == 3, "32016R0679").alias("celex"), (F.col("doc_id") % 2 == 1).alias("is_authoritative_text"),
+        F.lit("p").alias("provider"), F.lit("2024-05-06T07:08:09Z").alias("retrieved_at"), F.when(F.col("doc_id") % 5 == 0, "stale").otherwise("live").alias("cache_status"),
+    )
+    got = _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", present.preview(s).alias("p"))
+    return got.select("doc_id", "p.title", F.size("p.paragraphs").alias("n_paragraphs"), F.md5(F.array_join("p.paragraphs", "\n").cast("binary")).alias("text_md5"), F.array_join("p.metadata_lines", "|").alias("metadata"))
+
+
+#: Names of jurisdictions as readers of three languages see them.
+_NAMES = {
+    "en": {"EU": "European Union", "DE": "Germany", "AT": "Austria", "CH": "Switzerland", "ES": "Spain", "FI": "Finland", "IT": "Italy", "NL": "Netherlands"},
+    "de": {"EU": "Europäische Union", "DE": "Deutschland", "AT": "Österreich", "CH": "Schweiz", "ES": "Spanien", "FI": "Finnland", "IT": "Italien", "NL": "Niederlande"},
+    "sv": {"EU": "Europeiska unionen", "DE": "Tyskland", "AT": "Österrike", "CH": "Schweiz", "ES": "Spanien", "FI": "Finland", "IT": "Italien", "NL": "Nederländerna"},
+}
+
+
+@_query(f"""WITH n(i, locale, code, label) AS (VALUES {", ".join(f"({i}, '{loc}', '{c}', '{n}')" for loc, own in _NAMES.items() for i, (c, n) in enumerate(own.items()))}),
+           r AS (SELECT o_custkey, o_orderkey, locale, code, CASE WHEN o_orderkey % 3 = 0 THEN upper(label) ELSE label END AS label FROM orders
+                 JOIN n ON i = o_orderkey // 4 % 8 AND locale = CASE o_custkey % 3 WHEN 0 THEN 'de' WHEN 1 THEN 'sv' ELSE 'en' END)
+           SELECT o_custkey, o_orderkey, locale, label, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY code <> 'EU',
+             CASE locale WHEN 'sv' THEN replace(replace(lower(label), 'ä', '|'), 'ö', '}}') ELSE strip_accents(lower(label)) END, code, o_orderkey) AS INT) AS position FROM r""")
+def jurisdictions_by_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jurisdictions in the order of the reader's language: Austria is last in Swedish, behind the Netherlands in German."""
+    key, locale = F.col("o_orderkey"), F.when(F.col("o_custkey") % 3 == 0, "de").when(F.col("o_custkey") % 3 == 1, "sv").otherwise("en")
+    codes = F.array(*[F.lit(c) for c in _NAMES["en"]])
+    names = F.create_map(*[x for loc, own in _NAMES.items() for c, n in own.items() for x in (F.lit(f"{loc}:{c}"), F.lit(n))])
+    rows = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", locale.alias("locale"), F.element_at(codes, (F.floor(key / 4) % 8 + 1).cast("int")).alias("code"))
+    name = names[F.concat_ws(":", "locale", "code")]
+    rows = rows.withColumn("label", F.when(key % 3 == 0, F.upper(name)).otherwise(name))
+    return ordering.positions(rows, ["o_custkey"], more=("o_orderkey",), locales=("en", "de", "sv")).drop("code")
+
+
 def _boe_case(orders: DataFrame) -> DataFrame:
     """ref_id, f and what the composed answers of a Spanish law have in common."""
     key = F.col("o_orderkey")
