@@ -91,8 +91,8 @@ def _characters(text: Column, source: str, rules: TextRules) -> Column:
     if source != "boe":
         return decoded(text, rules.names, any_case=rules.any_case)
     # this source decodes one kind after the other, so that &amp;lt; ends as <
-    numbers = decoded(F.regexp_replace(text, r"&(?!#[0-9]+;)", "&\u0000"), {})
-    text = F.when(text.contains("&#"), F.replace(numbers, F.lit("\u0000"), F.lit(""))).otherwise(text)
+    numbers = lambda own: F.replace(decoded(F.regexp_replace(own, r"&(?!#[0-9]+;)", "&\u0000"), {}), F.lit("\u0000"), F.lit(""))
+    text = let(text, lambda own: F.when(own.contains("&#"), numbers(own)).otherwise(own))
     for name, value in (("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">")):
         text = F.regexp_replace(text, f"(?i)&{name};", value)
     return text

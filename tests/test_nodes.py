@@ -136,3 +136,27 @@ def test_a_section_of_five_answers(spark):
 def test_notices_and_records_without_rows(spark):
     assert cellar.notice_uuids(spark.createDataFrame([(1, "32016R0679", None), (2, None, "<NOTICE type='identifier'/>")], "ref_id int, celex string, notice string")).where("uuid is not null").count() == 0
     assert cellar.rdf_works(spark.createDataFrame([(1, "32016R0679", None), (2, "32016R0679", "<x/>")], "ref_id int, celex string, rdf string")).count() == 0
+
+
+def test_nodes_of_a_row_are_those_of_the_table(spark):
+    rng = random.Random(5)
+    docs = [*[_random_tree(rng) for _ in range(40)], "<a>", "<!DOCTYPE a><a/>", '<p:a xmlns:p="urn:x" z="1"><b q="2" c="é>"/><?x y?></p:a>', None]
+    df = spark.createDataFrame(list(enumerate(docs)), "k int, x string")
+    got = {r.k: r.nodes for r in nodes.whole(df, "x", ("q",), ("/a",), namespaces=True).collect()}
+    table = {}
+    for r in nodes.shred(df, ["k"], "x", ("a",), only_elements=True).where("kind = 'element'").orderBy("k", "pre").collect():
+        table.setdefault(r.k, []).append(r)
+    for k in range(len(docs)):
+        own = table.get(k, [])
+        assert [(n.name, n.path, n.namespace, n.text, n.depth, n["@q"], n.more) for n in got[k]] == [(r.name, r.path, r.namespace, r.text, r.depth, r.attributes.get("q"), len(r.attributes) - ("q" in r.attributes)) for r in own]
+        assert [(n.at, n.size) for n in got[k]] == [(i, sum(d.pre > r.pre and d.post < r.post for d in own)) for i, r in enumerate(own, 1)]
+        assert [n.markup for n in got[k]] == [r.markup if r.path == "/a" else None for r in own]
+    leaves = nodes.whole(spark.createDataFrame([("<!--c--><a>t<?p?><b/></a>",)], "x string"), "x", levels=1, leaves=True).first().nodes
+    assert [(n.name, n.path, n.depth, n.size) for n in leaves] == [(None, "", 0, 0), ("a", "/a", 0, 2), (None, None, 1, 0), ("b", None, 1, 0)]
+
+
+def test_descriptions_are_read_without_joins_of_nodes(spark, tmp_path):
+    laws = spark.createDataFrame([(1, "BOE-A-2015-1", "w")], "ref_id int, code string, work string")
+    got = boe.version_days(laws, spark.createDataFrame([(1, "<a/>")], "ref_id int, body string"), F.lit("2026-01-01"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Aggregate" not in plan and [tuple(r) for r in got.collect()] == [(1, None, False)]
