@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexquarry.functions import citations, extract, laws, references
 from lexquarry.operators import acts, index, resolve
+from lexquarry.plans import legal
 from lexquarry.sources import discovery
 
 
@@ -94,3 +95,8 @@ def test_search_answers(spark):
 def test_catalog_order(spark):
     got = [r.display_code for r in laws.supported_laws(laws.laws(spark)).where("jurisdiction = 'AT'").orderBy("position").collect()]
     assert got[:3] == ["ABGB", "AktG", "AVG"]  # by letters, not by capitals
+
+
+def test_numbers_of_parts_meet_the_index(spark):
+    got = legal.entry_by_celex(spark, "/root/testdata/sf0.001")
+    assert got.where("title is not null").count() > 0
