@@ -1,4 +1,4 @@
-"""Dutch law: answers of the search service, and articles of a law's state, as joins over their nodes."""
+"""Dutch law: answers of the search service, and articles of a law's state, read in their rows as arrays of nodes."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sections import section_row
+from ..functions.text import let
 from ..operators.hops import CONTRACT, NOT_FOUND, OK, asked_once, decide, fetch
 from ..operators.tables import stored
 from . import nodes as N
 from .boe import day_of
-from .discovery import BWB_ID, conflicting, first_of_each
+from .discovery import BWB_ID, MOST
 
 KEYS = ["ref_id"]
 SEARCH = "https://zoekservice.overheid.nl/sru/Search"
@@ -24,69 +25,71 @@ def _plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def states(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """ref_id, records (how many), status (`results`, `no-results`, `malformed`); and the records of good answers: ref_id, position, number,
-    title, state, place, the first of each number, eight at most.
+def read_states(answers: DataFrame) -> DataFrame:
+    """ref_id, records (how many), status (`results`, `no-results`, `malformed`), found: of a good answer number, title, state,
+    place, the first of each number, eight at most. An answer is read in its row.
 
     answers: ref_id, day (yyyy-mm-dd), wanted (the law that was asked for, null for a search by title), xml. Every
     record has each field once, a state whose name and address agree, and both its intervals hold the day; one that
     hasn't, or two of a number that differ, make the whole answer malformed.
     """
-    nodes = stored(N.shred(answers, KEYS, "xml", only_elements=True), "records")
-    local = N.local_name(F.col("name"))
-    records = N.elements(nodes).where(local == "record").select(*KEYS, F.col("pre").alias("at"), F.col("post").alias("to"))
-    fields = N.elements(nodes).where(local.isin(*FIELDS)).select(*KEYS, "pre", "post", local.alias("name"), _plain(F.coalesce("text", F.lit(""))).alias("text"))
-    inside = records.join(fields, KEYS).where((F.col("pre") > F.col("at")) & (F.col("post") < F.col("to")))
-    once = inside.groupBy(*KEYS, "at").agg(*[f for n in FIELDS for f in (F.count_if(F.col("name") == n).alias(f"n_{n}"), F.max(F.when(F.col("name") == n, F.col("text"))).alias(n))])
-    rows = records.select(*KEYS, "at").join(once, [*KEYS, "at"], "left").join(answers.select(*KEYS, "day", "wanted"), KEYS)
+    nodes = N.whole(answers.select(*KEYS, "day", "wanted", "xml"), "xml", levels=0)
+    local = lambda x: N.local_name(x["name"])
     part = lambda c, p, i: F.regexp_extract(c, p, i)
-    same = F.lit(True)
-    for i in (1, 2, 3):
-        same = same & (part("toestand", _STATE, i) == part("locatie_toestand", _PLACE, i))
-    days = F.lit(True)
-    for n in FIELDS[4:]:
-        days = days & day_of(F.col(n)).isNotNull() & F.col(n).rlike("-")
-    held = F.col("day").between(F.col(FIELDS[4]), F.col(FIELDS[5])) & F.col("day").between(F.col(FIELDS[6]), F.col(FIELDS[7]))
-    good = F.lit(True)
-    for n in FIELDS:
-        good = good & (F.col(f"n_{n}") == 1)
-    good = good & F.col("identifier").rlike(rf"\A{BWB_ID}\z") & (F.col("title") != "") & F.col("toestand").rlike(_STATE) & F.col("locatie_toestand").rlike(_PLACE) & same & (part("toestand", _STATE, 1) == F.col("identifier")) & days & held & (F.col("wanted").isNull() | (F.col("wanted") == F.col("identifier")))
-    rows = stored(rows.select(*KEYS, "at", F.col("identifier").alias("number"), "title", F.col("toestand").alias("state"), F.col("locatie_toestand").alias("place"), F.coalesce(good, F.lit(False)).alias("good")), "states")
-    torn = conflicting(rows.where("good"), "ref_id", "number", ["title", "state", "place"]).select(*KEYS).distinct().withColumn("torn", F.lit(True))
-    numbers = local == "numberOfRecords"
-    form = N.elements(nodes).groupBy(*KEYS).agg(F.max(F.when(F.col("pre") == 0, local)).alias("root"), F.count_if(numbers).alias("n"), F.max(F.when(numbers, F.trim("text"))).alias("told"))
-    told = rows.groupBy(*KEYS).agg(F.bool_and("good").alias("all"), F.count("*").alias("records"))
-    out = answers.select(*KEYS).join(form, KEYS, "left").join(told, KEYS, "left").join(torn, KEYS, "left")
-    framed = (F.col("root") == "searchRetrieveResponse") & (F.col("n") == 1) & F.col("told").rlike(r"\A[0-9]+\z")
-    right = framed & F.coalesce("all", F.lit(True)) & F.col("torn").isNull() & (F.col("records").isNotNull() | F.col("told").rlike(r"\A0+\z"))
-    status = out.select(*KEYS, F.coalesce("records", F.lit(0)).alias("records"), F.when(~F.coalesce(right, F.lit(False)), "malformed").when(F.col("records").isNull(), "no-results").otherwise("results").alias("status"))
-    kept = first_of_each(rows.drop("good"), "ref_id", "number", "at")
-    return status, kept.join(status.where("status = 'results'"), KEYS, "left_semi").select(*KEYS, "position", "number", "title", "state", "place")
+
+    def fields(x: Column) -> Column:
+        """Each field's text, if the record has it once."""
+        own = F.filter(N.inside(x), lambda y: local(y).isin(*FIELDS))
+        one = lambda c, n: let(F.filter(c, lambda y: local(y) == n), lambda f: F.when(F.size(f) == 1, _plain(F.coalesce(F.get(f, F.lit(0))["text"], F.lit("")))))
+        return let(own, lambda c: F.struct(*[one(c, n).alias(n) for n in FIELDS]))
+
+    def record(r: Column) -> Column:
+        state, place = r["toestand"], r["locatie_toestand"]
+        good = r["identifier"].rlike(rf"\A{BWB_ID}\z") & (r["title"] != "") & state.rlike(_STATE) & place.rlike(_PLACE) & (part(state, _STATE, 1) == r["identifier"]) & (F.col("wanted").isNull() | (F.col("wanted") == r["identifier"]))
+        for i in (1, 2, 3):
+            good = good & (part(state, _STATE, i) == part(place, _PLACE, i))
+        for n in FIELDS[4:]:
+            good = good & day_of(r[n]).isNotNull() & r[n].rlike("-")
+        good = good & F.col("day").between(r[FIELDS[4]], r[FIELDS[5]]) & F.col("day").between(r[FIELDS[6]], r[FIELDS[7]])
+        return F.struct(F.coalesce(good, F.lit(False)).alias("good"), F.struct(r["identifier"].alias("number"), r["title"].alias("title"), state.alias("state"), place.alias("place")).alias("x"))
+
+    rows = nodes.select(
+        *KEYS, "wanted", "day", F.transform(F.filter("nodes", lambda x: local(x) == "record"), fields).alias("fields"),
+        N.local_name(F.get("nodes", F.lit(0))["name"]).alias("root"), F.filter("nodes", lambda x: local(x) == "numberOfRecords").alias("numbers"),
+    )
+    rows = rows.withColumn("all", F.transform("fields", record)).withColumn("found", F.array_distinct(F.transform("all", lambda r: r["x"])))
+    told = F.trim(F.get("numbers", F.lit(0))["text"])
+    framed = (F.col("root") == "searchRetrieveResponse") & (F.size("numbers") == 1) & told.rlike(r"\A[0-9]+\z")
+    torn = F.size("found") > F.size(F.array_distinct(F.transform("found", lambda x: x["number"])))
+    right = framed & F.forall("all", lambda r: r["good"]) & ~torn & ((F.size("all") > 0) | told.rlike(r"\A0+\z"))
+    status = F.when(~F.coalesce(right, F.lit(False)), "malformed").when(F.size("all") == 0, "no-results").otherwise("results")
+    out = rows.select(*KEYS, F.coalesce(F.size("all"), F.lit(0)).cast("long").alias("records"), status.alias("status"), "found")
+    return out.withColumn("found", F.when(F.col("status") == "results", F.slice("found", 1, MOST)))
+
+
+def states(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What read_states says, and the records of good answers one by one: ref_id, position, number, title, state, place."""
+    read = read_states(answers)
+    return read.drop("found"), read.select(*KEYS, F.posexplode("found").alias("position", "x")).select(*KEYS, (F.col("position") + 1).alias("position"), "x.*")
 
 
 def articles(documents: DataFrame) -> DataFrame:
     """ref_id, right (whether the document is the state of the law that was asked for, in Dutch), n (articles with the
-    label), text (null where there isn't just one, or it has none).
+    label), text (null where there isn't just one, or it has none). A document is read in its row.
 
     documents: ref_id, number, version, label, xml. The text of a line is what stands in it directly, then what stands
     in its parts, in their order.
     """
-    nodes = stored(N.shred(documents, KEYS, "xml", only_elements=True), "toestanden")
-    local, a = N.local_name(F.col("name")), F.col("attributes")
-    every = N.elements(nodes).select(*KEYS, "pre", "post", local.alias("name"), "text", a["label"].alias("label"), F.coalesce(a["xml:lang"], a["lang"]).alias("lang"), a["bwb-id"].alias("law"), a["bwb-ng-vast-deel"].alias("part"))
-    roots = every.groupBy(*KEYS).agg(F.max(F.when(F.col("pre") == 0, F.struct("name", "law", "part"))).alias("r"), F.array_sort(F.collect_list(F.when(F.col("name") == "wetgeving", F.col("lang")))).alias("langs"))
-    asked = documents.select(*KEYS, "number", "version", F.col("label").alias("wanted"))
-    found = every.where(F.col("name") == "artikel").join(asked, KEYS).where(F.col("label") == F.col("wanted")).select(*KEYS, F.col("pre").alias("at"), F.col("post").alias("to"))
-    counted = found.groupBy(*KEYS).agg(F.count("*").alias("n"))
-    lines = every.where(F.col("name") == "al").select(*KEYS, F.col("pre").alias("line"), F.col("post").alias("end"))
-    lines = found.join(lines, KEYS).where((F.col("line") > F.col("at")) & (F.col("end") < F.col("to"))).select(*KEYS, "line", "end")
-    words = every.where("text is not null").select(*KEYS, "pre", "post", "text")
-    words = lines.join(words, KEYS).where((F.col("pre") >= F.col("line")) & (F.col("post") <= F.col("end")))
-    ordered = lambda at, text, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, text))), lambda x: x[text]), by)
-    texts = words.groupBy(*KEYS, "line").agg(_plain(ordered("pre", "text", " ")).alias("t")).groupBy(*KEYS).agg(F.trim(ordered("line", "t", "\n")).alias("text"))
-    out = asked.join(roots, KEYS, "left").join(counted, KEYS, "left").join(texts, KEYS, "left")
-    right = (F.col("r.name") == "toestand") & (F.col("r.law") == F.col("number")) & (F.col("r.part") == F.col("version")) & (F.col("langs") == F.array(F.lit("nl")))
-    return out.select(*KEYS, F.coalesce(right, F.lit(False)).alias("right"), F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.nullif(F.col("text"), F.lit(""))).alias("text"))
+    nodes = N.whole(documents.select(*KEYS, "number", "version", "label", "xml"), "xml", ("label", "xml:lang", "lang", "bwb-id", "bwb-ng-vast-deel"), levels=0)
+    local = lambda x: N.local_name(x["name"])
+    langs = F.filter(F.transform(F.filter("nodes", lambda x: local(x) == "wetgeving"), lambda x: F.coalesce(x["@xml:lang"], x["@lang"])), lambda v: v.isNotNull())
+    rows = nodes.withColumns({"root": F.get("nodes", F.lit(0)), "langs": langs, "found": F.filter("nodes", lambda x: (local(x) == "artikel") & (x["@label"] == F.col("label")))})
+    words = lambda line: F.filter(F.transform(F.slice("nodes", line["at"], line["size"] + 1), lambda x: x["text"]), lambda t: t.isNotNull())
+    lines = F.transform(F.filter(N.inside(F.col("article")), lambda x: local(x) == "al"), words)
+    text = F.trim(F.array_join(F.transform(F.filter(lines, lambda w: F.size(w) > 0), lambda w: _plain(F.array_join(w, " "))), "\n"))
+    rows = rows.withColumn("article", F.when(F.size("found") == 1, F.get("found", F.lit(0)))).withColumn("text", text)
+    right = (N.local_name(F.col("root.name")) == "toestand") & (F.col("root.@bwb-id") == F.col("number")) & (F.col("root.@bwb-ng-vast-deel") == F.col("version")) & (F.col("langs") == F.array(F.lit("nl")))
+    return rows.select(*KEYS, F.coalesce(right, F.lit(False)).alias("right"), F.coalesce(F.size("found"), F.lit(0)).alias("n"), F.nullif(F.col("text"), F.lit("")).alias("text"))
 
 
 def search_request(code: Column, day: Column) -> Column:
@@ -106,9 +109,9 @@ def bwb_sections(refs: DataFrame, payloads: DataFrame, day: Column, retrieved_at
         known = code.rlike(rf"\A{BWB_ID}\z") & section.rlike(r"\A[0-9]+(?:[:.][0-9]+|[A-Za-z])?\z")
         rows = decide(rows.withColumn("_code", code), F.when(~F.coalesce(known, F.lit(False)), NOT_FOUND))
         rows = stored(fetch(rows, payloads, search_request(F.col("_code"), day), "_search"), "searched")
-        status, found = states(rows.where("verdict is null").select("ref_id", day.alias("day"), F.col("_code").alias("wanted"), F.col("_search").alias("xml")))
-        state = found.groupBy("ref_id").agg(F.min(F.struct("state", "place", "title")).alias("_s"))
-        rows = rows.drop("_search").join(status.select("ref_id", F.col("status").alias("_told"), F.col("records").alias("_n")), "ref_id", "left").join(state, "ref_id", "left")
+        read = read_states(rows.where("verdict is null").select("ref_id", day.alias("day"), F.col("_code").alias("wanted"), F.col("_search").alias("xml")))
+        state = F.array_min(F.transform("found", lambda x: F.struct(x["state"], x["place"], x["title"])))
+        rows = rows.drop("_search").join(read.select("ref_id", F.col("status").alias("_told"), F.col("records").alias("_n"), state.alias("_s")), "ref_id", "left")
         rows = decide(rows, F.when((F.col("_told") == "malformed") | (F.col("_n") > 1), CONTRACT).when(F.col("_n") == 0, NOT_FOUND))
         rows = stored(fetch(rows, payloads, F.col("_s.place"), "_state"), "fetched")
         shown = F.when(section.rlike("[A-Z]\\z"), F.lower(section)).otherwise(section)

@@ -8,7 +8,7 @@ import xml.etree.ElementTree as ET
 from pyspark.sql import functions as F
 
 from lexquarry.operators import index
-from lexquarry.sources import boe, cellar, nodes
+from lexquarry.sources import boe, bwb, cellar, nodes
 
 
 def _shred(spark, docs, **how):
@@ -160,3 +160,15 @@ def test_descriptions_are_read_without_joins_of_nodes(spark, tmp_path):
     got = boe.version_days(laws, spark.createDataFrame([(1, "<a/>")], "ref_id int, body string"), F.lit("2026-01-01"))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "Aggregate" not in plan and [tuple(r) for r in got.collect()] == [(1, None, False)]
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dutch_answers_are_read_without_joins_of_nodes(spark):
+    answers = spark.createDataFrame([(1, "2024-01-01", None, "<r/>"), (2, "2024-01-01", None, "<searchRetrieveResponse><numberOfRecords>0</numberOfRecords></searchRetrieveResponse>")], "ref_id int, day string, wanted string, xml string")
+    got = bwb.states(answers)[0]
+    assert "Join " not in _optimized(got) and sorted(tuple(r) for r in got.collect()) == [(1, 0, "malformed"), (2, 0, "no-results")]
+    got = bwb.articles(spark.createDataFrame([(1, "n", "v", "Artikel 1", '<toestand bwb-id="n" bwb-ng-vast-deel="v"><wetgeving xml:lang="nl"><artikel label="Artikel 1"><al>a <b>c</b> d</al><al/><al>e</al></artikel></wetgeving></toestand>')], "ref_id int, number string, version string, label string, xml string"))
+    assert "Join " not in _optimized(got) and [tuple(r) for r in got.collect()] == [(1, True, 1, "a d c\ne")]
