@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import duckdb
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,9 +109,21 @@ def _level_queries() -> str:
     )
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of buckets that hold about SPAN leaves together, at most twice as many: a leaf's proof is many
+    times its size, so what is made at once is bounded by leaves."""
+    for got in batches:
+        begun, held = 0, 0
+        for i, n in enumerate(pc.list_value_length(got["_rows"]).to_pylist()):
+            held += n
+            if held >= SPAN or i == got.num_rows - 1:
+                yield got.slice(begun, i + 1 - begun)
+                begun, held = i + 1, 0
+
+
 def _bucket_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     con = _engine()
-    for got in batches:
+    for got in _parts(batches):
         batch = pa.table({"_b": pa.array(range(got.num_rows), pa.int64()), "_tree": got["_tree"], "_pos": got["_bucket"], "_m": got["_buckets"], "_inner": got["_inner"], "_rows": got["_rows"]})
         con.register("batch", batch)
         out = con.sql(f"WITH {_LEAVES}, {_level_queries()} SELECT batch._tree, batch._pos, batch._m, l{HEIGHT}.h AS _h FROM l{HEIGHT} JOIN batch USING (_b)").to_arrow_table()
@@ -123,7 +136,7 @@ def _bucket_proofs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     at = [f"64 * ((l0.p // {ARITY ** (k - 1)}) % {ARITY})" for k in range(1, HEIGHT + 1)]
     step = [f"CASE WHEN l0._inner >= {k} THEN [{{'left': left(r{k}.run, {a}), 'right': substr(r{k}.run, {a} + 65)}}] ELSE [] END" for k, a in enumerate(at, 1)]
     joins = " ".join(f"JOIN r{k} ON r{k}._b = l0._b AND r{k}.p = l0.p // {ARITY**k}" for k in range(1, HEIGHT + 1))
-    for got in batches:
+    for got in _parts(batches):
         batch = pa.table({"_b": pa.array(range(got.num_rows), pa.int64()), **{c: got[c] for c in ("_inner", "_rows", "_steps", "_subroot", "_root")}})
         con.register("batch", batch)
         out = con.sql(f"""WITH {_LEAVES}, {_level_queries()}

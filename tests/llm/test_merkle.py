@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexquarry.llm import merkle
@@ -102,3 +103,9 @@ def test_digest_verifies_what_is_untouched(spark):
     for i, _, _, _, t in rows:
         hit = zlib.crc32(str(i).encode()) % 5 == 0 and t is not None and any("A" <= c <= "Z" for c in t)
         assert got[i].verified == (not hit) and (got[i].folded_root == got[i].root) == (not hit)
+
+
+def test_buckets_are_taken_by_their_leaves():
+    rows = pa.array([[0] * n for n in (merkle.SPAN, 5, merkle.SPAN - 5, 1, 2, merkle.SPAN)])
+    parts = list(merkle._parts(iter([pa.record_batch([rows], names=["_rows"]), pa.record_batch([rows[:2]], names=["_rows"])])))
+    assert [[len(r) for r in p["_rows"]] for p in parts] == [[merkle.SPAN], [5, merkle.SPAN - 5], [1, 2, merkle.SPAN], [merkle.SPAN], [5]]
