@@ -35,7 +35,7 @@ def _notice(key: Column, f: Column, celex: Column) -> Column:
 @_query(f"""WITH c AS ({_CELEX}) SELECT o_orderkey AS ref_id, CASE WHEN o_orderkey % 16 NOT BETWEEN 1 AND 11 THEN {_UUID_SQL} END AS uuid FROM c""")
 def identifier_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Works by composed notices, one for each order, of which most are wrong in one way."""
-    acts = _celex_of_orders(_table(spark, sf_dir, "orders"))
+    acts = _celex_of_orders(_table(spark, sf_dir, "orders")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")  # they are small, the notices aren't
     key = F.col("o_orderkey")
     return cellar.notice_uuids(acts.select(key.alias("ref_id"), "celex", _notice(key, key % 16, F.col("celex")).alias("notice")))
 

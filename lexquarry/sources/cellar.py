@@ -1,10 +1,11 @@
-"""Records of European acts: identifier notices and RDF descriptions of works, as joins over their nodes."""
+"""Records of European acts: identifier notices and RDF descriptions of works, in their rows as arrays of nodes, or by joins over their nodes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..operators.index import reachable
 from ..operators.tables import stored
 from . import nodes as N
@@ -24,33 +25,31 @@ def notice_uuids(notices: DataFrame) -> DataFrame:
     else: each has one type, identifier and value. One of them, and only one, is the act's CELEX address, and one is
     the work's, whose number is its identifier.
     """
-    keys = ["ref_id"]
-    nodes = stored(N.shred(notices, keys, "notice"), "notices")
+    nodes = N.whole(notices.select("ref_id", "celex", "notice"), "notice", ("type", "embargo-date"), leaves=True)
     fields = [f"{p}/{f}" for p in _PLACES for f in _FIELDS]
-    root = (F.col("path") == "/NOTICE") & (F.col("attributes")["type"] == "identifier") & (F.size(F.array_except(F.map_keys("attributes"), F.array(F.lit("type"), F.lit("embargo-date")))) == 0)
-    inner = F.col("path").isin("/NOTICE/SAMEAS", *_PLACES, *fields) & (F.size(F.map_keys("attributes")) == 0)
-    blank = (F.col("kind") == "text") & (F.col("path").isin(*fields) | (F.regexp_replace("text", r"\s", "") == ""))
-    fits = F.when(F.col("kind") == "element", F.coalesce(root | inner, F.lit(False))).otherwise(blank)
-    empty = N.elements(nodes, *_FIELDS).where("text is null")
-    misfits = nodes.where(~fits).select(*keys).unionByName(empty.select(*keys)).distinct()
-
-    fields = N.elements(nodes, *_FIELDS).where("text is not null")
-    pick = lambda f: F.max(F.when(F.col("name") == f, N.trimmed(F.col("text")))).alias(f.lower())
-    blocks = fields.groupBy(*keys, F.col("parent").alias("pre")).agg(*[pick(f) for f in _FIELDS], ((F.count_distinct("name") == 3) & (F.count("*") == 3)).alias("_whole"))
-    blocks = N.elements(nodes, "URI").select(*keys, "pre", "parent", "path").join(blocks, [*keys, "pre"], "left")
-    whole = F.coalesce("_whole", F.lit(False))
+    bare = lambda x: x["@type"].isNull() & x["@embargo-date"].isNull() & (x["more"] == 0)
+    root = lambda x: (x["path"] == "/NOTICE") & (x["@type"] == "identifier") & (x["more"] == 0)
+    blank = lambda x: F.regexp_replace(F.coalesce(x["text"], F.lit("")), r"\s", "") == ""
+    field = lambda x: x["path"].isin(*fields) & x["text"].isNotNull() & bare(x)
+    outer = lambda x: (root(x) | (x["path"].isin("/NOTICE/SAMEAS", *_PLACES) & bare(x))) & blank(x)
+    fits = F.forall("nodes", lambda x: F.coalesce(x["name"].isNotNull() & (field(x) | outer(x)), F.lit(False)))
     # a SAMEAS holds one address
-    same = N.elements(nodes, "SAMEAS").select(*keys, F.col("pre").alias("parent")).join(blocks.where(F.col("path") == _PLACES[1]).groupBy(*keys, "parent").count(), [*keys, "parent"], "left")
-    crowded = same.where("count is null or count <> 1").select(*keys).distinct()
+    single = F.forall(F.filter("nodes", lambda x: x["name"] == "SAMEAS"), lambda x: F.size(F.filter(N.inside(x), lambda y: y["path"] == _PLACES[1])) == 1)
+
+    def block(x: Column) -> Column:
+        pick = lambda own, f: N.trimmed(F.get(F.filter(own, lambda y: y["name"] == f), F.lit(0))["text"]).alias(f.lower())
+        own = F.filter(N.inside(x), lambda y: y["name"].isin(*_FIELDS))
+        return let(own, lambda o: F.struct(*[pick(o, f) for f in _FIELDS], ((F.size(o) == 3) & (F.size(F.array_distinct(F.transform(o, lambda y: y["name"]))) == 3)).alias("whole")))
 
-    address = lambda kind: F.coalesce(F.col("value").rlike(rf"\Ahttps?://{RESOURCE}{kind}/[^/]+\z"), F.lit(False))
-    is_celex, is_work = (F.col("type") == "celex") | address("celex"), (F.col("type") == "cellar") | address("cellar")
-    blocks = blocks.join(notices.select(*keys, "celex"), keys)
-    good_celex = is_celex & address("celex") & (F.col("type") == "celex") & (F.col("identifier") == F.col("celex")) & (F.regexp_replace("value", r"\Ahttps?://", "") == F.concat(F.lit(f"{RESOURCE}celex/"), "celex"))
-    good_work = is_work & (F.col("type") == "cellar") & address("cellar") & (F.substring_index("value", "/", -1) == F.col("identifier")) & F.col("identifier").rlike(_UUID)
-    told = blocks.groupBy(*keys).agg(F.bool_and(whole).alias("_all"), F.count_if(is_celex).alias("_n"), F.count_if(good_celex).alias("_ok"), F.count_if(is_work).alias("_works"), F.max(F.when(good_work, F.col("identifier"))).alias("_uuid"))
-    told = told.where("_all and _n = 1 and _ok = 1 and _works = 1").join(misfits, keys, "left_anti").join(crowded, keys, "left_anti")
-    return notices.select(*keys).join(told.select(*keys, F.col("_uuid").alias("uuid")), keys, "left")
+    rows = nodes.select("ref_id", "celex", (fits & single).alias("fits"), F.transform(F.filter("nodes", lambda x: x["name"] == "URI"), block).alias("blocks"))
+    address = lambda b, kind: F.coalesce(b["value"].rlike(rf"\Ahttps?://{RESOURCE}{kind}/[^/]+\z"), F.lit(False))
+    celexes = F.filter("blocks", lambda b: (b["type"] == "celex") | address(b, "celex"))
+    works = F.filter("blocks", lambda b: (b["type"] == "cellar") | address(b, "cellar"))
+    rows = rows.select("ref_id", "celex", (F.col("fits") & F.forall("blocks", lambda b: b["whole"]) & (F.size(celexes) == 1) & (F.size(works) == 1)).alias("fits"), F.get(celexes, F.lit(0)).alias("c"), F.get(works, F.lit(0)).alias("w"))
+    c, w = F.col("c"), F.col("w")
+    good_celex = address(c, "celex") & (c["type"] == "celex") & (c["identifier"] == F.col("celex")) & (F.regexp_replace(c["value"], r"\Ahttps?://", "") == F.concat(F.lit(f"{RESOURCE}celex/"), "celex"))
+    good_work = (w["type"] == "cellar") & address(w, "cellar") & (F.substring_index(w["value"], "/", -1) == w["identifier"]) & w["identifier"].rlike(_UUID)
+    return rows.select("ref_id", F.when(F.col("fits") & good_celex & good_work, w["identifier"]).alias("uuid"))
 
 
 def rdf_works(records: DataFrame) -> DataFrame:

@@ -172,3 +172,12 @@ def test_dutch_answers_are_read_without_joins_of_nodes(spark):
     assert "Join " not in _optimized(got) and sorted(tuple(r) for r in got.collect()) == [(1, 0, "malformed"), (2, 0, "no-results")]
     got = bwb.articles(spark.createDataFrame([(1, "n", "v", "Artikel 1", '<toestand bwb-id="n" bwb-ng-vast-deel="v"><wetgeving xml:lang="nl"><artikel label="Artikel 1"><al>a <b>c</b> d</al><al/><al>e</al></artikel></wetgeving></toestand>')], "ref_id int, number string, version string, label string, xml string"))
     assert "Join " not in _optimized(got) and [tuple(r) for r in got.collect()] == [(1, True, 1, "a d c\ne")]
+
+
+def test_notices_are_read_without_joins_of_nodes(spark):
+    own = lambda kind, name: f"<URI><VALUE>http://publications.europa.eu/resource/{kind}/{name}</VALUE><IDENTIFIER>{name}</IDENTIFIER><TYPE>{kind}</TYPE></URI>"
+    uuid, celex = "0a1b2c3d-0000-1111-2222-333344445555", "32016R0679"
+    notice = f'<NOTICE type="identifier">{own("cellar", uuid)} <SAMEAS>{own("celex", celex)}</SAMEAS></NOTICE>'
+    wrong = [notice.replace("</SAMEAS>", "<!--c--></SAMEAS>"), notice.replace("<SAMEAS>", "<SAMEAS>x"), notice.replace("<SAMEAS>", '<SAMEAS a="1">'), notice.replace("<SAMEAS>", "<SAMEAS/><SAMEAS>"), notice.replace("<TYPE>celex</TYPE>", "<TYPE/>")]
+    got = cellar.notice_uuids(spark.createDataFrame([(i, celex, n) for i, n in enumerate([notice, *wrong])], "ref_id int, celex string, notice string"))
+    assert "Join " not in _optimized(got) and [r.uuid for r in got.orderBy("ref_id").collect()] == [uuid, *[None] * len(wrong)]
