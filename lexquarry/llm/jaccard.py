@@ -3,8 +3,9 @@
 1. Texts are shingled once. A set's hashes are exchanged in packed buckets, where each learns how many sets have it, and
    those that several have go back to their sets. A set of which fewer than the needed share are with others at all has
    no partner; with natural text nearly all go here, and only hashes that somebody shares are kept of the others.
-2. Sets gather in frames: each is compared with the first set of the index list of its rarest hashes, and joins it if it
-   is broadly like it. Frames are cut into blocks of a bounded size.
+2. Sets gather in frames: each is compared with the first sets of the index lists of its rarest and its least hashes, and
+   joins one that it is broadly like. Rare hashes lead to sets changed in the same way, the least ones, a sketch that copies
+   share, to all copies of a text, however they were changed. Frames are cut into blocks of a bounded size.
 3. Index lists of first hashes (prefixes, rarest first) hold a row for each frame, not for each set. Cut by bands of
    sizes, and skipped by size and position of their blocks, they tell which different frames can have links.
 4. Two blocks meet in a task, which has the answers of one set, its counts with all sets of the other block, and derives
@@ -30,8 +31,8 @@ from .components import connected_components
 SHINGLE, PERCENT = 4, 85
 #: Similarity, in percent, with the first set of a frame that makes a set join it. It changes the cost and no result.
 FRAME = 50
-#: A set looks for frames in the lists of so many of its first hashes.
-LEADING = 2
+#: A set looks for frames in the lists of so many of its first hashes, and of its least ones.
+LEADING, LEAST = 2, 6
 #: Bytes of hashes in a block of a frame, entries of an index list that meet in one task, blocks that follow another.
 FRAME_BYTES, LIST_ENTRIES, FOLLOWERS = 2 << 20, 4096, 64
 #: Blocks of one frame that a task holds while others of it pass: a block is copied once for so many that it meets.
@@ -125,7 +126,7 @@ def _gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-_OUT = ("bucket", "id", "node", "n", "blob", "first")
+_OUT = ("bucket", "id", "node", "n", "blob", "first", "heads")
 
 
 def _rows(schema: pa.Schema, **cols: list) -> pa.RecordBatch:
@@ -134,7 +135,7 @@ def _rows(schema: pa.Schema, **cols: list) -> pa.RecordBatch:
 
 
 def _schema(id_type: pa.DataType) -> pa.Schema:
-    return pa.schema(list(zip(_OUT, (pa.int32(), id_type, pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)))
+    return pa.schema(list(zip(_OUT, (pa.int32(), id_type, pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)))
 
 
 def _post(n: int, size: int):
@@ -225,8 +226,8 @@ def _shared(n: int):
 
 
 def _viable(percent: int):
-    """The sets of a bucket that can have partners: their shared hashes, rarest first, and as first those of which
-    every similar set has one."""
+    """The sets of a bucket that can have partners: their shared hashes, rarest first, as first those of which every
+    similar set has one, and as heads those in whose lists they look for frames."""
 
     def viable(group: pa.Table) -> pa.Table:
         rows = [group.filter(pa.compute.is_null(group.column("blob")))]
@@ -238,7 +239,7 @@ def _viable(percent: int):
             own: dict[bytes, list[int]] = {}
             for k in order.tolist():
                 own.setdefault(names[k].tobytes(), []).append(k)
-            nodes, ns, tokens, firsts = [], [], [], []
+            nodes, ns, tokens, firsts, heads = [], [], [], [], []
             for node, parts in own.items():
                 size = int(sizes[parts[0]])
                 least, has = needed(size, percent), int(counts[parts].sum())
@@ -250,7 +251,8 @@ def _viable(percent: int):
                 ns.append(size)
                 tokens.append(mine.tobytes())
                 firsts.append(mine[: has - least + 1].view(np.int64))
-            rows.append(pa.Table.from_batches([_rows(group.schema, node=nodes, n=ns, blob=tokens, first=firsts)]))
+                heads.append(np.unique(np.concatenate((firsts[-1][:LEADING], np.sort(mine)[:LEAST].view(np.int64)))))
+            rows.append(pa.Table.from_batches([_rows(group.schema, node=nodes, n=ns, blob=tokens, first=firsts, heads=heads)]))
         return pa.concat_tables(rows)
 
     return viable
@@ -442,7 +444,7 @@ def _single(sets: DataFrame) -> DataFrame:
 
 def _frames(sets: DataFrame) -> DataFrame:
     """node, frame (the node of its first set) of each set."""
-    heads = sets.select("node", "n", F.explode(F.slice("first", 1, LEADING)).alias("token"))
+    heads = sets.select("node", "n", F.explode("heads").alias("token"))
     leaders = heads.groupBy("token").agg(F.min("node").alias("a"))
     pairs = heads.join(leaders, "token").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     blocks = _single(sets)
@@ -526,11 +528,11 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     n = buckets(rows, "text")
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"bucket int, id {kind}, node binary, n long, blob binary, first array<long>"
+    schema = f"bucket int, id {kind}, node binary, n long, blob binary, first array<long>, heads array<long>"
     posts = rows.mapInArrow(_post(n, size), schema).repartition(n, "bucket")
     shared = posts.groupBy("bucket").applyInArrow(_shared(n), schema).repartition(n, "bucket")
     passed = written(shared.groupBy("bucket").applyInArrow(_viable(percent), schema), "sets")
-    sets = passed.where("blob is not null").select("node", "n", F.col("blob").alias("tokens"), "first")
+    sets = passed.where("blob is not null").select("node", "n", F.col("blob").alias("tokens"), "first", "heads")
     frames = _frames(sets)
     blocks = written(_blocks(sets, frames), "blocks")
     keys = blocks.select("frame", "block", "k")
