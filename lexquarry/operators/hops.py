@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import stored
+
 OK, NOT_FOUND, LANGUAGE_UNAVAILABLE, UNAVAILABLE, CONTRACT = "ok", "not-found", "language-unavailable", "unavailable", "contract"
 
 
@@ -36,6 +38,8 @@ def asked_once(refs: DataFrame, asked: list[str], chain: Callable[[DataFrame], D
     """ref_id and what the chain says of its row. The chain sees each different row of the asked columns once, with
     ref_id (its text) and an open verdict: a law that a third of all references name is looked up once."""
     key = F.to_json(F.struct(*asked))
-    rows = refs.select(key.alias("ref_id"), *asked).dropDuplicates(["ref_id"]).withColumn("verdict", F.lit(None).cast("string"))
-    found = chain(rows).withColumnRenamed("ref_id", "_asked")
+    # different by all columns, so that what a task holds is what is asked, not rows sorted to find the first of each
+    rows = refs.select(*asked).distinct().select(key.alias("ref_id"), "*").withColumn("verdict", F.lit(None).cast("string"))
+    # both are tables, whose sizes are known: where they are small, the references aren't sorted, or sent around, to meet them
+    found = stored(chain(stored(rows, "asked")), "found").withColumnRenamed("ref_id", "_asked")
     return refs.select("ref_id", key.alias("_asked")).join(found, "_asked").drop("_asked")

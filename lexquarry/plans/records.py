@@ -99,8 +99,8 @@ def eurlex_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _captured(refs: DataFrame, jurisdiction: str, catalog: DataFrame, variant: str | None, status: Column, body: Column) -> DataFrame:
-    """The answers to the requests of refs, each once."""
-    own = refs.withColumns({"jurisdiction": F.lit(jurisdiction), "variant": F.lit(variant).cast("string")})
+    """The answers to the requests of refs, each once. They are composed for what is asked, not for every reference."""
+    own = refs.select("law_code", "section", "subsection", "reference_type").distinct().withColumns({"jurisdiction": F.lit(jurisdiction), "variant": F.lit(variant).cast("string")})
     return laws.section_url(own, catalog).where("url is not null").select(F.col("url").alias("request"), status.cast("int").alias("status"), body.alias("body")).dropDuplicates(["request"])
 
 
@@ -160,7 +160,8 @@ def gii_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     norms = every(lambda i: F.concat(F.lit('<div class="jnnorm"><h3><span class="x">Art&nbsp;'), i, F.lit('</span> <span class="jnentitel">Norm '), i, F.lit('</span></h3><div class="jnhtml"><div class="jurAbsatz">Artikel '), i, F.lit("</div></div></div>")))
     catalog = laws.laws(spark)
     body = F.when(code == "BGB", F.concat(contents, F.lit("<p>table of contents</p>"), sections)).when(code == "GG", articles).otherwise("<p>Section x</p>")
-    english = _captured(refs.where("variant is not null").select(*refs.columns).dropDuplicates(["law_code"]), "DE", catalog, "translation-en", F.lit(200), body)
+    # an English page holds all sections of its law: one of them names it
+    english = _captured(refs.where("variant is not null").withColumn("section", F.lit("1")), "DE", catalog, "translation-en", F.lit(200), body)
     page = F.when(code == "EGBGB", norms).otherwise(F.concat(F.lit('<span class="jnentitel">Titel</span><div class="jnhtml"><div class="jurAbsatz">Absatz '), s, F.lit("</div></div>")))
     own = _captured(refs.where("law_code <> 'BGB' and law_code <> 'GG'"), "DE", catalog, None, F.when(code == "HGB", 404).when(code == "ZPO", 500).otherwise(200), page)
     payloads = tables.stored(english.unionByName(own), "payloads")

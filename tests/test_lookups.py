@@ -162,3 +162,17 @@ def test_streamed_answers_are_the_batch(spark, tmp_path):
             wanted.append((s, n))
     assert sorted(tuple(x) for x in batch.collect()) == sorted(wanted) and 20 < len(wanted) < 200
     assert sorted((x.session, x.number) for x in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(wanted)
+
+
+def test_references_are_not_sorted_to_be_asked_once(spark):
+    refs = spark.createDataFrame([(i, "a", None if i % 2 else "b") for i in range(40)], "ref_id int, x string, y string")
+    plans = []
+
+    def chain(rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return rows.select("ref_id", F.concat_ws("|", "x", "y").alias("z"))
+
+    got = hops.asked_once(refs, ["x", "y"], chain)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert not any("Sort" in p for p in plans)
+    assert sorted((r.ref_id, r.z) for r in got.collect()) == [(i, "a" if i % 2 else "a|b") for i in range(40)]
