@@ -12,13 +12,14 @@ OPEN_END = "99999999"
 def latest_as_of(versions: DataFrame, keys: list[str], date_col: str, as_of: Column, payload: list[str]) -> DataFrame:
     """The one version of each key with the largest date up to as_of; keys where several have it are left out.
 
-    A maximum and the number of rows that have it, summed up before the exchange: no key's rows are sorted.
+    A maximum and the number of rows that have it, summed up before the exchange: no key's rows are sorted. Of a key the
+    second aggregation sees a date once, so columns are picked one by one, and values of fixed width need no sort either.
     """
     d = F.col(date_col)
     own = versions.where(d <= as_of)
     grouped = own.groupBy(*keys, date_col).agg(F.count("*").alias("_n"), *[F.min(c).alias(c) for c in payload])
-    best = grouped.groupBy(*keys).agg(F.max_by(F.struct(date_col, "_n", *payload), d).alias("_x"))
-    return best.where("_x._n = 1").select(*keys, F.col(f"_x.{date_col}").alias(date_col), *[F.col(f"_x.{c}").alias(c) for c in payload])
+    best = grouped.groupBy(*keys).agg(F.max_by("_n", d).alias("_n"), F.max(d).alias("_d"), *[F.max_by(c, d).alias(c) for c in payload])
+    return best.where("_n = 1").select(*keys, F.col("_d").alias(date_col), *payload)
 
 
 def validity_intervals(versions: DataFrame, keys: list[str], date_col: str, ties: list[str]) -> DataFrame:

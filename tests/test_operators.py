@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexquarry.functions import extract, present
-from lexquarry.operators import index, resolve, search, temporal
+from lexquarry.operators import index, resolve, search, tables, temporal
+from lexquarry.plans import legal
 from lexquarry.streaming import sync
 
 
@@ -128,3 +129,14 @@ def test_presentation(spark):
     assert key(lit("EU"), lit("x")) is None
     assert key(lit("CH"), lang=lit("en")) is None
     assert key(lit("FI"), lang=lit("swe")) == "FI:BGB:art:5a:official-sv"
+
+
+def test_versions_are_held_in_bounded_parts(spark, monkeypatch):
+    df = spark.createDataFrame([("a", "2021", 1), ("a", "2020", 2), ("b", "2021", 1), ("b", "2021", 1)], "k string, d string, v int").withColumn("d", F.to_date("d"))
+    got = temporal.latest_as_of(df, ["k"], "d", F.lit("2022-01-01"), ["v"])
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [(r.k, r.v) for r in got.collect()] == [("a", 1)]
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    plan = legal.block_version_asof(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {-(-lines // 100)}), REPARTITION_BY_NUM") == 2
