@@ -61,7 +61,7 @@ def _description(key: Column, f: Column, celex: Column) -> Column:
             FROM c WHERE o_orderkey % 8 NOT IN (1, 3)""")
 def rdf_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Works by composed RDF records, one for each order; all use the same names of nodes."""
-    acts = _celex_of_orders(_table(spark, sf_dir, "orders"))
+    acts = _celex_of_orders(_table(spark, sf_dir, "orders")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")  # they are small, the records aren't
     key = F.col("o_orderkey")
     got = cellar.rdf_works(acts.select(key.alias("ref_id"), "celex", _description(key, key % 8, F.col("celex")).alias("rdf")))
     titles = F.array_join(F.transform(F.map_entries("titles"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")

@@ -1,4 +1,4 @@
-"""Records of European acts: identifier notices and RDF descriptions of works, in their rows as arrays of nodes, or by joins over their nodes."""
+"""Records of European acts: identifier notices and RDF descriptions of works, in their rows as arrays of nodes."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from ..operators.index import reachable
-from ..operators.tables import stored
 from . import nodes as N
 
 #: Namespaces, and forms of addresses.
@@ -59,25 +57,52 @@ def rdf_works(records: DataFrame) -> DataFrame:
     from a node with its number); one of them must have the act's document number, else the record has no row. Its
     languages are those of expressions that belong to it; titles are taken from all nodes, the last of a language.
     """
-    keys = ["ref_id"]
-    nodes = stored(N.shred(records, keys, "rdf", only_elements=True), "records")
-    said = stored(N.statements(nodes, keys), "statements")
-    known = records.select(*keys, "celex")
-    subjects = N.elements(nodes).where(N.local_name(F.col("name")) == "Description").select(*keys, "pre", F.col("attributes")["rdf:about"].alias("node")).join(known, keys)
-    named = subjects.where(F.col("node").endswith(F.concat(F.lit("/celex/"), "celex"))).groupBy(*keys).agg(F.min_by("node", "pre").alias("node"))
-    numbered = said.where(F.col("predicate") == f"{CDM}id_celex").join(known, keys).where(F.col("object") == F.col("celex")).select(*keys, F.col("subject").alias("node"))
-    seeds = named.unionByName(numbered.join(named.select(*keys), keys, "left_semi"))
-    edges = said.where((F.col("predicate") == f"{OWL}sameAs") & F.col("resource").isNotNull()).select(*keys, F.col("subject").alias("a"), F.col("resource").alias("b"))
-    work = reachable(seeds, edges, keys)
-
-    inside = said.join(work.withColumnRenamed("node", "subject"), [*keys, "subject"], "left_semi")
-    proven = inside.where(F.col("predicate") == f"{CDM}work_id_document").join(known, keys).where(F.col("object") == F.concat(F.lit("celex:"), "celex")).select(*keys, "celex").distinct()
-    code = F.lower(F.col("object"))
-    languages = said.where((F.col("predicate") == f"{PURL}identifier") & code.rlike(r"\A[a-z]{3}\z")).groupBy(*keys, F.col("subject").alias("resource")).agg(F.max_by(code, "at").alias("code"))
-    belongs = said.where(F.col("predicate") == f"{CDM}expression_belongs_to_work").join(work.withColumnRenamed("node", "resource"), [*keys, "resource"], "left_semi").select(*keys, "node").distinct()
-    uses = said.where(F.col("predicate") == f"{CDM}expression_uses_language").join(belongs, [*keys, "node"], "left_semi").join(languages, [*keys, "resource"])
-    spoken = uses.groupBy(*keys).agg(F.array_sort(F.collect_set("code")).alias("languages"))
-    titles = said.where((F.col("predicate") == f"{CDM}title") & (F.col("object") != "") & F.col("lang").rlike(r"\A[a-z]{3}\z")).groupBy(*keys, "lang").agg(F.max_by("object", "at").alias("title"))
-    titles = titles.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "title")))).alias("titles"))
-    out = proven.join(titles, keys, "left").join(spoken, keys, "left")
-    return out.select(*keys, "celex", F.coalesce("titles", F.create_map().cast("map<string,string>")).alias("titles"), F.coalesce("languages", F.array().cast("array<string>")).alias("languages"))
+    nodes = N.whole(records.select("ref_id", "celex", "rdf"), "rdf", ("rdf:about", "rdf:resource", "xml:lang"), namespaces=True)
+    act = F.get(F.filter("nodes", lambda x: (N.local_name(x["name"]) == "Description") & x["@rdf:about"].endswith(F.concat(F.lit("/celex/"), "celex"))), F.lit(0))["@rdf:about"]
+    work = let(act, lambda a: F.when(a.isNotNull(), let(N.statements("nodes"), lambda said: _work(a, said))))
+    # not filtered by what is made of the nodes, which Spark would then make twice
+    rows = nodes.select("ref_id", "celex", F.explode_outer(F.array(work)).alias("work")).where(F.col("work").isNotNull())
+    return rows.select("ref_id", "celex", "work.titles", "work.languages")
+
+
+def _work(act: Column, said: Column) -> Column:
+    """titles and languages of the work that has the node act, by the statements of its record; null if it isn't it."""
+    of = lambda predicate: F.filter(said, lambda s: s["predicate"] == predicate)
+    numbered = F.transform(F.filter(of(f"{CDM}id_celex"), lambda s: s["object"] == F.col("celex")), lambda s: s["subject"])
+    same = F.filter(of(f"{OWL}sameAs"), lambda s: s["resource"].isNotNull())
+    coded = F.filter(F.transform(of(f"{PURL}identifier"), lambda s: F.struct(s["subject"].alias("of"), s["at"].alias("at"), F.lower(s["object"]).alias("x"))), lambda c: c["x"].rlike(r"\A[a-z]{3}\z"))
+    titled = F.filter(of(f"{CDM}title"), lambda s: (s["object"] != "") & s["lang"].rlike(r"\A[a-z]{3}\z"))
+    titled = F.transform(titled, lambda s: F.struct(s["lang"].alias("of"), s["at"].alias("at"), s["object"].alias("x")))
+
+    def spoken(work: Column) -> Column:
+        own = F.transform(F.filter(of(f"{CDM}expression_belongs_to_work"), lambda s: s["resource"].isNotNull() & F.array_contains(work, s["resource"])), lambda s: s["node"])
+        uses = let(own, lambda belongs: F.filter(of(f"{CDM}expression_uses_language"), lambda s: F.array_contains(belongs, s["node"])))
+        codes = let(_last(coded), lambda known: F.transform(uses, lambda s: F.try_element_at(known, s["resource"])))
+        return F.array_sort(F.array_distinct(F.filter(codes, lambda c: c.isNotNull())))
+
+    def told(work: Column) -> Column:
+        proven = F.exists(of(f"{CDM}work_id_document"), lambda s: (s["object"] == F.concat(F.lit("celex:"), "celex")) & F.array_contains(work, s["subject"]))
+        return F.when(proven, F.struct(_last(titled).alias("titles"), spoken(work).alias("languages")))
+
+    return let(_reached(F.array_distinct(F.concat(F.array(act), numbered)), same), told)
+
+
+def _reached(seeds: Column, same: Column) -> Column:
+    """All that statements of sameness lead to, either way, from the seeds. A path has no more steps than there are
+    statements; once nothing new is found a step costs nothing."""
+    def step(state: Column, statements: Column) -> Column:
+        met = lambda here, there: F.transform(F.filter(statements, lambda s: F.array_contains(state["new"], s[here])), lambda s: s[there])
+        found = F.array_except(F.concat(met("subject", "resource"), met("resource", "subject")), state["all"])
+        return F.when(F.size(state["new"]) == 0, state).otherwise(let(found, lambda new: F.struct(F.concat(state["all"], new).alias("all"), new.alias("new"))))
+
+    return let(same, lambda own: F.aggregate(own, F.struct(seeds.alias("all"), seeds.alias("new")), lambda state, _: step(state, own)))["all"]
+
+
+def _last(told: Column) -> Column:
+    """The map, sorted, from each `of` to the x of the last place."""
+    def pick(own: Column) -> Column:
+        names = F.array_sort(F.array_distinct(F.transform(own, lambda t: t["of"])))
+        latest = lambda name: F.array_max(F.transform(F.filter(own, lambda t: t["of"] == name), lambda t: F.struct(t["at"], t["x"].alias("x"))))["x"]
+        return F.map_from_entries(F.transform(names, lambda name: F.struct(name.alias("key"), latest(name).alias("value"))))
+
+    return let(told, pick)

@@ -181,3 +181,16 @@ def test_notices_are_read_without_joins_of_nodes(spark):
     wrong = [notice.replace("</SAMEAS>", "<!--c--></SAMEAS>"), notice.replace("<SAMEAS>", "<SAMEAS>x"), notice.replace("<SAMEAS>", '<SAMEAS a="1">'), notice.replace("<SAMEAS>", "<SAMEAS/><SAMEAS>"), notice.replace("<TYPE>celex</TYPE>", "<TYPE/>")]
     got = cellar.notice_uuids(spark.createDataFrame([(i, celex, n) for i, n in enumerate([notice, *wrong])], "ref_id int, celex string, notice string"))
     assert "Join " not in _optimized(got) and [r.uuid for r in got.orderBy("ref_id").collect()] == [uuid, *[None] * len(wrong)]
+
+
+def test_records_are_read_without_joins_of_nodes(spark):
+    about = lambda node, inner: f'<rdf:Description rdf:about="{node}">{inner}</rdf:Description>'
+    to = lambda name, node: f'<{name} rdf:resource="{node}"/>'
+    chain = "".join(about(f"n{i}", to("owl:sameAs", f"n{i + 1}")) for i in reversed(range(9)))  # it is met from its far end
+    record = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:cdm="http://publications.europa.eu/ontology/cdm#" xmlns:dc="http://purl.org/dc/elements/1.1/">' + about(
+        "http://x/celex/32016R0679", to("owl:sameAs", "n0")
+    ) + chain + about("n9", "<cdm:work_id_document> celex:32016R0679 </cdm:work_id_document>") + about("e", to("cdm:expression_belongs_to_work", "n4") + to("cdm:expression_uses_language", "d") + '<cdm:title xml:lang="DEU">A</cdm:title><cdm:title xml:lang="deu">B</cdm:title>') + about("d", "<dc:identifier>DEU</dc:identifier>") + "</rdf:RDF>"
+    docs = [record, record.replace('rdf:resource="n5"', 'rdf:resource="m"'), record.replace('rdf:resource="d"', 'rdf:resource="q"'), record.replace("cdm:title", "cdm:name"), record.replace("/celex/", "/x/"), "<a"]
+    got = cellar.rdf_works(spark.createDataFrame([(i, "32016R0679", d) for i, d in enumerate(docs)], "ref_id int, celex string, rdf string"))
+    assert "Join " not in _optimized(got)
+    assert sorted((r.ref_id, r.titles, r.languages) for r in got.collect()) == [(0, {"deu": "B"}, ["deu"]), (2, {"deu": "B"}, []), (3, {}, ["deu"])]
