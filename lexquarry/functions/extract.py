@@ -93,9 +93,13 @@ def _characters(text: Column, source: str, rules: TextRules) -> Column:
     # this source decodes one kind after the other, so that &amp;lt; ends as <
     numbers = lambda own: F.replace(decoded(F.regexp_replace(own, r"&(?!#[0-9]+;)", "&\u0000"), {}), F.lit("\u0000"), F.lit(""))
     text = let(text, lambda own: F.when(own.contains("&#"), numbers(own)).otherwise(own))
-    for name, value in (("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">")):
-        text = F.regexp_replace(text, f"(?i)&{name};", value)
-    return text
+
+    def named(own: Column) -> Column:
+        for name, value in (("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">")):
+            own = F.regexp_replace(own, f"(?i)&{name};", value)
+        return own
+
+    return let(text, lambda own: F.when(own.contains("&"), named(own)).otherwise(own))
 
 
 def elements_of_class(page: str, name: str) -> list[str]:

@@ -194,3 +194,43 @@ def test_records_are_read_without_joins_of_nodes(spark):
     got = cellar.rdf_works(spark.createDataFrame([(i, "32016R0679", d) for i, d in enumerate(docs)], "ref_id int, celex string, rdf string"))
     assert "Join " not in _optimized(got)
     assert sorted((r.ref_id, r.titles, r.languages) for r in got.collect()) == [(0, {"deu": "B"}, ["deu"]), (2, {"deu": "B"}, []), (3, {}, ["deu"])]
+
+
+_PICK = (
+    nodes.Counts(("/a", "/a/b")), nodes.First("/a", ("@x", "text", "children", nodes.Inside("c"))),
+    nodes.Found("/a", "b", ("@x", "text", nodes.One("c", ("@x", "text")))), nodes.Found("/a/b", None, ("text", "markup", nodes.Each("c", ("@x", "markup")))),
+)
+
+
+def _added(picker, doc):
+    before = [len(c) for c in picker.columns]
+    picker.add(doc)
+    return [c[k:] for c, k in zip(picker.columns, before, strict=True)]
+
+
+def test_documents_of_a_form_are_read_once():
+    picker, reads = nodes._Picker(_PICK, frozenset(("/a/b", "/a/b/c"))), []
+    read = picker.whole.read
+    picker.whole.read = lambda xml: reads.append(read(xml))
+    for i in range(200):
+        got = _added(picker, f'<a x="{i}"><b x="{i}%">p{i}q &amp;lt; {i}é<c x="">"{i}"</c></b><b/></a>')
+        assert got[0] == [[1, 2]] and got[1] == [str(i)] and got[6] == [f"{i}%", None] and got[7] == [f"p{i}q &lt; {i}é", None], i
+        assert f'p{i}q &amp;lt; {i}é<c x="">"{i}"</c>' in got[13], i
+    assert len(reads) <= 4  # a new form, one that comes again, and its marks
+
+
+def test_a_form_reads_what_the_parser_reads():
+    rng, plain = random.Random(11), nodes._Picker(_PICK, frozenset(("/a/b", "/a/b/c")))
+    bits = ['"', "'", "<", ">", "&", ";", "=", '="', "&amp;", "&lt;", "&#65;", " ", "\n", "\t", "\r", "]]", "%", "%s", "\x01", "\x00", "\ufffe", "\ue0001\ue001", "é", "7", " x=", "/>", "<c/>", "<!--", "-->", "<?p?>", ""]
+    bases = [
+        '<a x="1"><b x="2">t<c x="3">u</c></b></a>', "<a x = \"x=\" y=\"z\"><b>t</b></a>", "<a x='q=\"1\"'><b>t=\"v\"</b></a>", '<a x="a&amp;b" y="c&lt;d"><b>a&amp;b;c&gt;d</b></a>',
+        '<a x=">t&amp;"><b y=">u">v</b></a>', "<a><b>s&ampt</b></a>", "<a><b>]]&gt;x</b>y</a>", "<a><b>1</b></a>t<a/>", "<a><B>1</B><b><C>x</C><c/></b></a>",
+    ]
+    for base in bases:
+        picker = nodes._Picker(_PICK, frozenset(("/a/b", "/a/b/c")))
+        for _ in range(400):
+            at = rng.randrange(len(base) + 1)
+            doc = base[:at] + rng.choice(bits) + base[at + rng.randint(0, 1) :]
+            for d in (doc, base):
+                assert _added(picker, d) == plain._read(d), d
+    assert _added(plain, None) == _added(plain, "<a>") == _added(plain, "<!DOCTYPE a><a/>")
